@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from brookmill.llm.query_mixing import SQL as MIXING_SQL
 from brookmill.llm.query_mixing import op5_mixing
+from brookmill.llm.query_rules import op9_rules
 
-QUERIES = {"op5_mixing": op5_mixing}
+QUERIES = {"op5_mixing": op5_mixing, "op9_rules": op9_rules}
 SQL = {"op5_mixing": MIXING_SQL}
