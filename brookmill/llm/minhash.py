@@ -55,7 +55,9 @@ def weights_of(counts: np.ndarray) -> np.ndarray:
 
 
 def signature(codes: np.ndarray, weights: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
-    """The shingle that comes first in each register, as 16 bits of its code."""
+    """The shingle that comes first in each register, as 16 bits of its code; 2,048 registers at most."""
+    if not 0 < registers <= 1 << 11:
+        raise ValueError("registers must be from 1 to 2048")
     best, winner = np.full(registers, np.inf), np.zeros(registers, np.uint64)
     # enough arrivals at a time to fill the registers of a small set at once
     step = max(1, int(1.2 * registers * (np.log(registers) + 0.6) / max(len(codes), 1)))
