@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 from brookmill.llm.query_language import op10_language
+from brookmill.llm.query_licenses import op3_licenses
 from brookmill.llm.query_minhash import op1_minhash
 from brookmill.llm.query_mixing import SQL as MIXING_SQL
 from brookmill.llm.query_mixing import op5_mixing
 from brookmill.llm.query_packing import op2_packing
 from brookmill.llm.query_rules import op9_rules
+from brookmill.llm.query_syncmers import op7_syncmers
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_packing": op2_packing, "op5_mixing": op5_mixing, "op9_rules": op9_rules, "op10_language": op10_language}
+QUERIES = {
+    "op1_minhash": op1_minhash,
+    "op2_packing": op2_packing,
+    "op3_licenses": op3_licenses,
+    "op5_mixing": op5_mixing,
+    "op7_syncmers": op7_syncmers,
+    "op9_rules": op9_rules,
+    "op10_language": op10_language,
+}
 SQL = {"op5_mixing": MIXING_SQL}
