@@ -9,12 +9,14 @@ from brookmill.llm.query_mixing import SQL as MIXING_SQL
 from brookmill.llm.query_mixing import op5_mixing
 from brookmill.llm.query_packing import op2_packing
 from brookmill.llm.query_rules import op9_rules
+from brookmill.llm.query_sequences import op4_sequences
 from brookmill.llm.query_syncmers import op7_syncmers
 
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_packing": op2_packing,
     "op3_licenses": op3_licenses,
+    "op4_sequences": op4_sequences,
     "op5_mixing": op5_mixing,
     "op7_syncmers": op7_syncmers,
     "op9_rules": op9_rules,
