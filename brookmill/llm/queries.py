@@ -8,6 +8,7 @@ from brookmill.llm.query_minhash import op1_minhash
 from brookmill.llm.query_mixing import SQL as MIXING_SQL
 from brookmill.llm.query_mixing import op5_mixing
 from brookmill.llm.query_packing import op2_packing
+from brookmill.llm.query_quality import op6_quality
 from brookmill.llm.query_rules import op9_rules
 from brookmill.llm.query_sequences import op4_sequences
 from brookmill.llm.query_syncmers import op7_syncmers
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_licenses": op3_licenses,
     "op4_sequences": op4_sequences,
     "op5_mixing": op5_mixing,
+    "op6_quality": op6_quality,
     "op7_syncmers": op7_syncmers,
     "op9_rules": op9_rules,
     "op10_language": op10_language,

@@ -1,0 +1,58 @@
+"""Quality classifier: held-out accuracy, counts against a plain count, awkward rows."""
+
+import zlib
+
+import numpy as np
+
+from brookmill.llm import quality
+from brookmill.llm.quality import BUCKETS, descend, features, learned, log_ratios, scored
+from brookmill.llm.query_quality import op6_quality
+from brookmill.sources.tables import table
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def test_held_out_accuracy(spark):
+    truth = {r.doc_id: r.quality for r in table(spark, FOLDER, "labels").collect()}
+    rows = op6_quality(spark, FOLDER).collect()
+    assert len(rows) == 1000
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    out = [r for r in rows if r.held_out and r.doc_id in truth]
+    assert np.mean([r.predicted == truth[r.doc_id] for r in out]) >= 0.93
+    good, bad = ([r.score for r in out if truth[r.doc_id] == k] for k in (1, 0))
+    assert np.mean([g > b for g in good for b in bad]) >= 0.97
+
+
+def test_fit_separates_and_respects_bounds():
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 50, 20)) if i % 4 else np.unique(rng.integers(40, 90, 20)) for i in range(400)]
+    signs = np.where(np.arange(400) % 4 > 0, 1.0, -1.0)
+    counts = np.zeros((2, BUCKETS))
+    for r, s in zip(rows, signs):
+        counts[int(s > 0)][r] += 1
+    scale = log_ratios(counts[1], counts[0])
+    assert scale[10] > 0 > scale[80]
+    weights, offset = descend(rows, signs, scale)
+    margin = quality.margins(rows, weights, offset, scale)
+    assert np.mean((margin > 0) == (signs > 0)) > 0.99
+
+
+def test_awkward_rows(spark):
+    rows = [(i, "good words of a text " * (1 + i % 5) if i % 3 else "JUNK!! JUNK!! " * (1 + i % 5), int(i % 3 > 0)) for i in range(120)]
+    rows += [(500, None, 1), (501, "", 0), (502, "x", None), (None, "y", 1), (503, "good " * 300_000, 1), (1, rows[1][1], 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = learned(docs)
+    clash = docs.withColumnRenamed("label", "quality_score")
+    got = scored(clash, model)
+    assert got.columns == ["doc_id", "text", "quality_score"]
+    found = got.collect()
+    assert len(found) == len(rows) and all(0 <= r.quality_score <= 1 for r in found)
+    by_id = {r.doc_id: r.quality_score for r in found}
+    assert all((by_id[i] > 0.5) == (i % 3 > 0) for i in range(120))
+    assert learned(docs).score("good words") == model.score("good words")
+    assert learned(docs.where("label = 1")).score("anything") == 1.0
+    empty = docs.limit(0)
+    assert learned(empty).score("") == 0.5 and scored(empty, model).collect() == []
+    assert features("").size > 0
