@@ -9,6 +9,8 @@ from brookmill.llm.query_mixing import SQL as MIXING_SQL
 from brookmill.llm.query_mixing import op5_mixing
 from brookmill.llm.query_packing import op2_packing
 from brookmill.llm.query_quality import op6_quality
+from brookmill.llm.query_revisits import SQL as REVISITS_SQL
+from brookmill.llm.query_revisits import op8_revisits
 from brookmill.llm.query_rules import op9_rules
 from brookmill.llm.query_sequences import op4_sequences
 from brookmill.llm.query_syncmers import op7_syncmers
@@ -21,7 +23,8 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
     "op7_syncmers": op7_syncmers,
+    "op8_revisits": op8_revisits,
     "op9_rules": op9_rules,
     "op10_language": op10_language,
 }
-SQL = {"op5_mixing": MIXING_SQL}
+SQL = {"op5_mixing": MIXING_SQL, "op8_revisits": REVISITS_SQL}
