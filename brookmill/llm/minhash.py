@@ -12,11 +12,11 @@ Texts with equal sets are one node. Nodes that share a band of registers are
 candidates. In each bucket all nodes are first compared with one of them, which
 settles a group of copies in linear work. Where a bucket then still holds nodes
 of several components, those outside its largest component are compared with
-all others by signature; buckets too large for that are divided by further
-bands, and what no band divides is compared block by block. Every candidate is
-verified on the sets themselves: a link needs a probability Jaccard, or a
-Jaccard of the plain sets, of at least the threshold. Classes are the connected
-components of links.
+all others, first by signature; buckets too large for that are divided by
+further bands, and what no band divides is compared block by block. Every link
+is verified on the sets themselves: it needs a probability Jaccard, or a Jaccard
+of the plain sets, of at least the threshold. Between two components one link is
+enough. Classes are the connected components of links.
 
 Nulls: a null text is an empty one, and texts without a word are one class; a
 null id is a row like others. Repeated rows are members of one class. A class
@@ -27,6 +27,7 @@ text are read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -135,10 +136,9 @@ def handle(doc_id):
     return F.coalesce(doc_id.cast("string"), F.lit(""))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are alike enough; pairs is a written table."""
-    asked = pairs.select(F.col("a").alias("near_key")).unionByName(pairs.select(F.col("b").alias("near_key"))).distinct()
-    asked = written(texts.join(asked, "near_key").select(handle(F.col("near_doc")).alias("near_handle"), "near_key"), "near-asked")
+def sets_of(nodes: DataFrame, texts: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """near_key, near_codes, near_weights (empty where all are 1) of the nodes (near_key), as a written table."""
+    asked = written(texts.join(nodes, "near_key").select(handle(F.col("near_doc")).alias("near_handle"), "near_key"), "near-asked")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,22 +151,30 @@ def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, size: int, thr
                     keys.append(key)
                     found.append(short.astype("<u4").tobytes())
                     weights.append(b"" if counts.max() == 1 else weights_of(counts[at]).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (keys, found, weights)], names=["near_key", "codes", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (keys, found, weights)], names=["near_key", "near_codes", "near_weights"])
 
     rows = join_checked(docs.select("text", handle(F.col("doc_id")).alias("near_handle")), asked, ["near_handle"], "inner").select("near_key", "text")
-    table = written(rows.mapInArrow(sets, "near_key binary, codes binary, weights binary").dropDuplicates(["near_key"]), "near-sets")
-    side = lambda k: table.select(F.col("near_key").alias(k), F.col("codes").alias(f"codes_{k}"), F.col("weights").alias(f"weights_{k}"))
+    return written(rows.mapInArrow(sets, "near_key binary, near_codes binary, near_weights binary").dropDuplicates(["near_key"]), "near-sets")
+
+
+def weighed_alike(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    """By probability Jaccard; without weights it is the plain one, which is known then."""
+    if not len(x) and not len(y):
+        return False
+    x, y = (w.astype(np.float64) if len(w) else np.ones(n) for w, n in ((x, len(a)), (y, len(b))))
+    return probability_jaccard(a, x, b, y) >= threshold
+
+
+def verified(pairs: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are alike enough; both tables are written ones."""
+    side = lambda k: table.select(F.col("near_key").alias(k), F.col("near_codes").alias(f"codes_{k}"), F.col("near_weights").alias(f"weights_{k}"))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for row in zip(*[batch.column(c) for c in ("codes_a", "weights_a", "codes_b", "weights_b")]):
                 a, x, b, y = [np.frombuffer(v.as_buffer(), "<u4" if k % 2 == 0 else "<f4") for k, v in enumerate(row)]
-                fits = plain_jaccard(a, b) >= threshold
-                if not fits and (len(x) or len(y)):
-                    weigh = lambda w, n: w.astype(np.float64) if len(w) else np.ones(n)
-                    fits = probability_jaccard(a, weigh(x, len(a)), b, weigh(y, len(b))) >= threshold
-                good.append(fits)
+                good.append(plain_jaccard(a, b) >= threshold or weighed_alike(a, x, b, y, threshold))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     # the side that may be a hub comes last, when the other side's set is already there
@@ -183,48 +191,71 @@ def unsettled(rows: DataFrame) -> DataFrame:
     return rows.join(buckets, "near_bucket").withColumn("near_out", F.col("near_root") != F.col("near_most")).drop("near_most")
 
 
-def compared(rows: DataFrame, texts: DataFrame, registers: int, threshold: float, block: int) -> DataFrame:
-    """Pairs (a, b) from rows of unsettled() that differ in component and whose signatures look alike.
+def links_within(table: pa.Table, registers: int, rows: int, threshold: float, level: int, levels: int) -> pa.Table:
+    """Links between the components that meet in a group of rows, one for each two components that they join."""
+    lowest = threshold - 5.5 * np.sqrt(threshold * (1 - threshold) / registers)
+    keys, names, last = table.column("near_key").to_pylist(), table.column("near_root").to_pylist(), table.column("near_band")[0].as_py()
+    number: dict[bytes, int] = {}
+    root = np.array([number.setdefault(r, len(number)) for r in names])
+    asks = table.column("asks").to_numpy()
+    sig = np.frombuffer(b"".join(table.column("near_sig").to_pylist()), "<u2").reshape(len(keys), registers)
+    codes = [np.frombuffer(v, "<u4") for v in table.column("near_codes").to_pylist()]
+    weights = [np.frombuffer(v, "<f4") for v in table.column("near_weights").to_pylist()]
+    others, found = np.flatnonzero(~asks), []
+    sizes = np.array([len(codes[o]) for o in others], np.int64)
+    flat, owner = np.concatenate([np.zeros(0, "<u4"), *[codes[o] for o in others]]), np.repeat(np.arange(len(others)), sizes)
+    for k in np.flatnonzero(asks).tolist() if len(others) else []:
+        same = sig[others] == sig[k]
+        bands = same.reshape(len(others), registers // rows, rows).all(axis=2)
+        # two nodes meet once for each of their shared bands; the first meeting will do where it is sure to come
+        turn = (bands[:, : last + 1].sum(axis=1) == level + 1) | (bands.sum(axis=1) <= levels)
+        tried = np.flatnonzero(turn & (same.mean(axis=1) >= lowest) & (root[others] != root[k]))
+        if not len(tried):
+            continue
+        at = np.minimum(np.searchsorted(codes[k], flat), len(codes[k]) - 1)
+        both = np.bincount(owner[codes[k][at] == flat], minlength=len(others))[tried]
+        plain = both / (sizes[tried] + len(codes[k]) - both) >= threshold
+        for o, fits in zip(others[tried].tolist(), plain.tolist()):
+            if root[o] != root[k] and (fits or weighed_alike(codes[k], weights[k], codes[o], weights[o], threshold)):
+                found.append((keys[k], keys[o]))
+                root[root == root[o]] = root[k]
+    return pa.table([pa.array([p[n] for p in found], pa.binary()) for n in (0, 1)], names=["a", "b"])
+
+
+def compared(rows: DataFrame, texts: DataFrame, sets: DataFrame, registers: int, band_rows: int, threshold: float, block: int, level: int, levels: int) -> DataFrame:
+    """Links (a, b) between components, from rows of unsettled().
 
     A bucket's nodes are dealt into blocks, and so are those outside its
     largest component; each pair of two blocks is one group, of bounded size.
     """
-    lowest = threshold - 5.5 * np.sqrt(threshold * (1 - threshold) / registers)
     parts = lambda n: F.ceil(F.col(n) / block).cast("int")
     own = lambda n: F.pmod(F.xxhash64("near_key"), parts(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
-    sigs = rows.join(texts.select("near_key", "near_sig"), "near_key")
-    columns = ["near_bucket", "near_key", "near_root", "near_sig"]
-    left = sigs.select(*columns, own("near_all").alias("i"), every("near_rest").alias("j"), F.lit(False).alias("asks"))
-    right = sigs.where("near_out").select(*columns, own("near_rest").alias("j"), every("near_all").alias("i"), F.lit(True).alias("asks"))
-
-    def pairs(table: pa.Table) -> pa.Table:
-        keys, roots, asks = table.column("near_key").to_pylist(), table.column("near_root").to_pylist(), table.column("asks").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("near_sig").to_pylist()), "<u2").reshape(len(keys), registers)
-        number: dict[bytes, int] = {}
-        root = np.array([number.setdefault(r, len(number)) for r in roots])
-        others, found = np.flatnonzero(~asks), set()
-        for k in np.flatnonzero(asks).tolist():
-            like = (sig[others] == sig[k]).mean(axis=1) >= lowest
-            for o in others[like & (root[others] != root[k])].tolist():
-                found.add((max(keys[k], keys[o]), min(keys[k], keys[o])))
-        return pa.table([pa.array([p[n] for p in sorted(found)], pa.binary()) for n in (0, 1)], names=["a", "b"])
-
-    return left.unionByName(right).groupBy("near_bucket", "i", "j").applyInArrow(pairs, "a binary, b binary")
-
-
-def remaining_pairs(shared: DataFrame, roots: DataFrame, texts: DataFrame, registers: int, rows: int, threshold: float, block: int, most_blocks: int, levels: int) -> DataFrame | None:
-    """Candidate pairs between components that meet in a bucket; None if there are none. shared and roots are written tables."""
+    full = rows.join(texts.select("near_key", "near_sig"), "near_key").join(sets, "near_key")
+    columns = ["near_bucket", "near_band", "near_key", "near_root", "near_sig", "near_codes", "near_weights"]
+    left = full.select(*columns, own("near_all").alias("i"), every("near_rest").alias("j"), F.lit(False).alias("asks"))
+    right = full.where("near_out").select(*columns, every("near_all").alias("i"), own("near_rest").alias("j"), F.lit(True).alias("asks"))
+    links = functools.partial(links_within, registers=registers, rows=band_rows, threshold=threshold, level=level, levels=levels)
+    return left.unionByName(right).groupBy("near_bucket", "i", "j").applyInArrow(lambda table: links(table), "a binary, b binary")
+
+
+def remaining_links(
+    shared: DataFrame, roots: DataFrame, texts: DataFrame, docs: DataFrame, size: int, registers: int, rows: int, threshold: float,
+    block: int, most_blocks: int, levels: int,
+) -> DataFrame | None:
+    """Links between components that meet in a bucket; None if there are no such buckets. shared and roots are written tables."""
     current = shared.join(roots.select(F.col("node").alias("near_key"), F.col("root")), "near_key", "left")
     current = current.select("near_bucket", "near_band", "near_key", F.coalesce("root", "near_key").alias("near_root"))
-    out = None
+    out = sets = None
     for level in range(levels + 1):
         open_rows = written(unsettled(current), "near-open")
         work = F.ceil(F.col("near_all") / block) * F.ceil(F.col("near_rest") / block)
         last = (F.col("near_band") == registers // rows - 1) | F.lit(level == levels)
         sizes = open_rows.agg(F.count("*"), F.count_if((work > most_blocks) & ~last)).first()
+        if sizes[0] and sets is None:  # later levels have no other nodes
+            sets = sets_of(open_rows.select("near_key").distinct(), texts, docs, size)
         if sizes[0] > sizes[1]:
-            found = written(compared(open_rows.where((work <= most_blocks) | last), texts, registers, threshold, block), "near-pairs")
+            found = written(compared(open_rows.where((work <= most_blocks) | last), texts, sets, registers, rows, threshold, block, level, levels), "near-links")
             out = found if out is None else out.unionByName(found)
         if not sizes[1]:
             return out
@@ -248,15 +279,15 @@ def near_classes(
     full = texts.where("near_size > 0")
     shared = written(shared_buckets(full, registers, rows), "near-shared")
     stars = shared.where(F.col("near_key") != F.col("near_first")).select(F.col("near_key").alias("a"), F.col("near_first").alias("b")).distinct()
-    links = written(verified(written(stars, "near-stars"), full, docs, size, threshold), "near-links")
+    stars = written(stars, "near-stars")
+    nodes = stars.select(F.col("a").alias("near_key")).unionByName(stars.select(F.col("b").alias("near_key"))).distinct()
+    links = written(verified(stars, sets_of(nodes, full, docs, size), threshold), "near-links")
     roots = written(connected(links), "near-roots")
-    rest = remaining_pairs(shared, roots, full, registers, rows, threshold, block, most_blocks, levels)
-    if rest is not None:
-        more = written(verified(written(rest.distinct(), "near-rest"), full, docs, size, threshold), "near-links")
-        if more.limit(1).count():
-            # each component is one node of the second round, tied to its root
-            tied = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            roots = written(connected(tied.unionByName(more)), "near-roots")
+    more = remaining_links(shared, roots, full, docs, size, registers, rows, threshold, block, most_blocks, levels)
+    if more is not None and more.limit(1).count():
+        # a component stays tied to its root
+        tied = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = written(connected(tied.unionByName(more)), "near-roots")
     nodes = texts.select("near_key", "near_doc", "near_rows").join(roots.select(F.col("node").alias("near_key"), "root"), "near_key", "left")
     nodes = written(nodes.select("near_key", "near_doc", "near_rows", F.coalesce("root", "near_key").alias("near_root")), "near-nodes")
     classes = written(nodes.groupBy("near_root").agg(F.min("near_doc").alias("class_id"), F.sum("near_rows").alias("class_size")), "near-classes")
