@@ -48,18 +48,19 @@ def words_of(text: Column) -> Column:
 def repeated_words(words: Column) -> Column:
     """How many words lie in a 3-word window that the text has twice or more.
 
-    The windows are sorted with their places, so that equal ones are
-    neighbours: n log n for a text of n words.
+    Windows are told apart by 64-bit hashes. Where some are equal, they are
+    sorted with their places, so that equal ones are neighbours: n log n for a
+    text of n words.
     """
 
-    def of(w):
-        windows = F.transform(F.slice(w, F.lit(1), F.size(w) - 2), lambda x, i: F.struct(F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)).alias("w"), i.alias("i")))
-
-        def places(s):
-            again = F.filter(s, lambda x, i: (x["w"] == F.get(s, i - 1)["w"]).eqNullSafe(True) | (x["w"] == F.get(s, i + 1)["w"]).eqNullSafe(True))
-            return F.size(F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+    def places(s):
+        again = F.filter(s, lambda x, i: (x["w"] == F.get(s, i - 1)["w"]).eqNullSafe(True) | (x["w"] == F.get(s, i + 1)["w"]).eqNullSafe(True))
+        return F.size(F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
-        some = let(windows, lambda v: F.when(F.size(F.array_distinct(F.transform(v, lambda x: x["w"]))) < F.size(v), let(F.sort_array(v), places)).otherwise(0))
+    def of(w):
+        hashes = F.transform(F.slice(w, F.lit(1), F.size(w) - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+        placed = lambda v: F.sort_array(F.transform(v, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
+        some = let(hashes, lambda v: F.when(F.size(F.array_distinct(v)) < F.size(v), let(placed(v), places)).otherwise(0))
         return F.when(F.size(w) >= 3, some).otherwise(0)
 
     return let(words, of).cast("long")
@@ -121,16 +122,21 @@ def divergence(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
-def word_shares(words: Column, n: Column, common: Column) -> Column:
-    """Shares of each common word, and of all other words, among n words."""
+def word_shares(words: Column, n: Column, common: Column, most: int) -> Column:
+    """Shares of each common word (there are at most `most`), and of all other words, among n words.
+
+    Each common word found adds its own character to a string; what taking a
+    character out of it shortens the string by is the word's count.
+    """
+    marks = F.array(*[F.lit(chr(0x4E00 + k)) for k in range(most)])
 
-    def of(places):
-        # what is left after taking a place's number out tells how often it was there
-        counts = F.transform(F.sequence(F.lit(1), F.size(common)), lambda k: F.size(places) - F.size(F.array_remove(places, k.cast("long"))))
-        return F.transform(F.concat(counts, F.array(n.cast("int") - F.size(places))), lambda c: c / n)
+    def of(x):
+        found, all_words = x["found"], x["n"]
+        counts = F.transform(F.slice(marks, F.lit(1), F.size(common)), lambda c: F.char_length(found) - F.char_length(F.replace(found, c, F.lit(""))))
+        return F.transform(F.concat(counts, F.array(all_words - F.char_length(found))), lambda c: c / all_words)
 
-    hits = F.filter(F.transform(words, lambda w: F.array_position(common, w)), lambda x: x > 0)
-    return let(hits, of)
+    found = F.array_join(F.transform(words, lambda w: F.get(marks, F.array_position(common, w).cast("int") - 1)), "")
+    return let(F.struct(found.alias("found"), n.cast("int").alias("n")), of)
 
 
 def judged(
@@ -147,7 +153,7 @@ def judged(
     out = join_checked(out, refs, ["rule_lang"], "left", most=10_000)
     classes = F.array(*[F.col(f"rule_{k}") / F.col("rule_chars") for k in KINDS])
     seen = F.col("ref_common").isNotNull() & (F.size("ref_common") > 0)
-    shares = word_shares(words_of(F.lower("text")), F.col("rule_words"), F.col("ref_common"))
+    shares = word_shares(words_of(F.lower("text")), F.col("rule_words"), F.col("ref_common"), int(1 / min_share) + 1)
     ref_all = F.concat(F.col("ref_shares"), F.array(F.greatest(F.lit(1.0) - F.aggregate("ref_shares", F.lit(0.0), lambda a, x: a + x), F.lit(0.0))))
     out = out.withColumns({
         "rule_class_divergence": F.when((F.col("rule_chars") >= min_chars) & F.col("ref_classes").isNotNull(), divergence(classes, F.col("ref_classes"))),
