@@ -1,67 +1,76 @@
-"""Token ids of whole texts with public tokenizers, by Arrow batches within tasks.
+"""Token ids of whole texts with public tokenizers, within tasks.
 
-White space between words never lies inside a token of the word tokenizer, so a
-text's ids are those of its space-separated chunks in a row. Each worker keeps
-the ids of chunks it has met, up to a fixed number, and runs the tokenizer on
-the others only. The byte tokenizer is handled alike, by the pieces into which
-its own pattern splits a text.
+The word tokenizer's merges are applied by two libraries. For texts of Latin-1
+characters, the usual case, its pieces (contractions, letters, single digits,
+runs of other characters) are parted by one space each, which stands for the
+word end in a byte-level table of its merges; that is several times as fast as
+the tokenizer's own library, which takes all other texts.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
 
-#: Chunks whose ids a worker remembers; about 150 bytes each.
-REMEMBERED = 300_000
-CHUNK = re.compile(r"[^ \n\t\r]+")
 WORD_FILE, BYTE_FILE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
+OTHERS = "".join(re.escape(chr(c)) for c in range(256) if not chr(c).isalnum() and not chr(c).isspace())
+#: Pieces of a lower-case Latin-1 text besides its letters.
+PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{OTHERS}]+|[0-9\xb2\xb3\xb9\xbc-\xbe]")
+#: What is white space for Python alone, or no Latin-1.
+UNUSUAL = re.compile("[\x1c-\x1fĀ-\U0010ffff]")
+WORD_END = "</w>"
 
 
-def _remembering(pieces: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable[list[int]]]) -> Callable[[str], np.ndarray]:
-    known: dict[str, bytes] = {}
+def _bytes_of_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable
+    Latin-1 characters for themselves, letters from U+0100 on for the other bytes in order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(0x100 + n): b for n, b in enumerate(rest)}
 
-    def ids(text: str) -> np.ndarray:
-        found = pieces(text)
-        new = list({p for p in found if p not in known})
-        local = known
-        if new:
-            got = {p: np.asarray(i, dtype="<u4").tobytes() for p, i in zip(new, encode(new))}
-            if len(known) + len(got) <= REMEMBERED:
-                known.update(got)
-            else:
-                local = _Either(got, known)
-        return np.frombuffer(b"".join([local[p] for p in found]), dtype="<u4")
-
-    return ids
 
+def _merge_table(model: dict) -> tuple[dict[bytes, int], np.ndarray]:
+    """Ranks of the merges of bytes, with a space for the word end, and the id of each rank."""
+    letters = _bytes_of_letters()
 
-class _Either(dict):
-    """The pieces of one text, backed by those remembered."""
+    def raw(token: str) -> bytes:
+        return bytes(letters[c] for c in token.removesuffix(WORD_END)) + b" " * token.endswith(WORD_END)
 
-    def __init__(self, own, known):
-        super().__init__(own)
-        self.known = known
-
-    def __missing__(self, key):
-        return self.known[key]
+    id_of = {raw(token): number for token, number in model["vocab"].items() if all(c in letters for c in token.removesuffix(WORD_END))}
+    single = [bytes([b]) for b in range(256)]
+    merges = (pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"])
+    order = [*single, *[b + b" " for b in single], *[raw(a + b) for a, b in merges]]
+    return {token: rank for rank, token in enumerate(order)}, np.array([id_of[token] for token in order], "<u4")
 
 
 @functools.lru_cache(maxsize=4)
 def word_ids(path: str | None = None) -> Callable[[str], np.ndarray]:
     """Ids of the word tokenizer, without special tokens."""
+    import tiktoken
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer = Tokenizer.from_file(path or public_tokenizers.path(WORD_FILE))
+    path = path or public_tokenizers.path(WORD_FILE)
+    tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return _remembering(CHUNK.findall, lambda new: (e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)))
+    with open(path) as f:
+        ranks, id_of = _merge_table(json.load(f)["model"])
+    merging = tiktoken.Encoding("word", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+
+    def ids(text: str) -> np.ndarray:
+        if UNUSUAL.search(text):
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        words = PIECE.sub(r" \g<0> ", text.lower()).split()
+        return id_of[np.array(merging.encode_ordinary(" ".join(words) + " "), np.int64)] if words else id_of[:0]
+
+    return ids
 
 
 @functools.lru_cache(maxsize=4)
@@ -76,7 +85,5 @@ def byte_encoding(path: str | None = None):
 @functools.lru_cache(maxsize=4)
 def byte_ids(path: str | None = None) -> Callable[[str], np.ndarray]:
     """Ids of the byte-level tokenizer; every text can be restored from them."""
-    import regex
-
-    encoding, pieces = byte_encoding(path), regex.compile(public_tokenizers.PATTERN)
-    return _remembering(pieces.findall, lambda new: [encoding.encode_ordinary(p) for p in new])
+    encoding = byte_encoding(path)
+    return lambda text: np.array(encoding.encode_ordinary(text), dtype="<u4")

@@ -11,13 +11,16 @@ from tokenizers import Tokenizer
 from brookmill.llm.packing import Bins, pack, packed
 from brookmill.llm.tokens import byte_encoding, byte_ids, word_ids
 
-TEXTS = ["", "a", "Don't  stop\tNOW 1234", "x" * 3000, "été́ ́x Å b c ΑΣ ς", "<|endoftext|> a", "  lead\r\n\r\ntrail  ", "日本語 text ❤️‍🔥", "it's we'll\x0bok\x1cfs"]
+TEXTS = ["", "a", "Don't  stop\tNOW 1234", "x" * 3000, "Ab, cd. E-f,) g1. e\u0301, Σ. ΑΣ, a_b. don't. A\u0301. \u2167. a., b.c. x\u00a0y,\u2003z.",  "été́ ́x Å b c ΑΣ ς", "<|endoftext|> a", "  lead\r\n\r\ntrail  ", "日本語 text ❤️‍🔥", "it's we'll\x0bok\x1cfs"]
 
 
 def test_ids_are_those_of_whole_texts():
     whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     whole.encode_special_tokens = True
-    for text in [*TEXTS, *TEXTS]:
+    rng = random.Random(6)
+    odd = "".join(map(chr, range(0x180))) + "'s't're 12.,Aé\u0301Σ"
+    texts = ["".join(rng.choices(odd if i % 2 else "abest d'm.,12é\n", k=rng.randint(1, 60))) for i in range(4000)]
+    for text in [*TEXTS, *texts]:
         assert word_ids()(text).tolist() == whole.encode(text, add_special_tokens=False).ids
         assert byte_ids()(text).tolist() == byte_encoding().encode_ordinary(text)
         assert byte_encoding().decode(byte_ids()(text).tolist()) == text
