@@ -2,31 +2,335 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from brookmill.functions.columns import day, moment, money, revenue
+from brookmill.operators.groups import distinct_by_parts, sessions, top_per_group
+from brookmill.operators.joins import asof_join, range_join, salted_join
 from brookmill.sources.tables import table
+from brookmill.streaming.windows import counts_by_window, events, run_all, without_repeats
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 
-def pricing_summary(spark, folder):
-    """Sums and means of line items by return flag and status."""
-    items = table(spark, folder, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
-    price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return items.groupBy("l_returnflag", "l_linestatus").agg(
-        F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
-        F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"),
-        F.round(F.sum(price), 2).alias("sum_disc_price"),
-        F.round(F.avg("l_discount"), 6).alias("avg_disc"),
-        F.count("*").alias("count_order"),
-    )
 
+def query(sql: str):
+    """Register a function of (read, spark, folder), where read(name) is a table, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, folder: f(lambda name: table(spark, folder, name), spark, folder)
+        QUERIES[f.__name__].__doc__ = f.__doc__
+        SQL[f.__name__] = sql
+        return f
 
-QUERIES = {"pricing_summary": pricing_summary}
+    return add
 
-SQL = {
-    "pricing_summary": """
+
+def ntz(text: str):
+    return F.lit(text).cast("timestamp_ntz")
+
+
+@query("""
 SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty,
        round(sum(l_extendedprice), 2) AS sum_base_price,
        round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
        round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
-FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""",
-}
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
+def pricing_summary(read, spark, folder):
+    """Sums and means of line items by return flag and status."""
+    return read("lineitem").where(F.col("l_shipdate") <= ntz("1998-09-02")).groupBy("l_returnflag", "l_linestatus").agg(
+        money(F.sum("l_quantity")).alias("sum_qty"),
+        money(F.sum("l_extendedprice")).alias("sum_base_price"),
+        money(F.sum(revenue())).alias("sum_disc_price"),
+        money(F.avg("l_discount"), 6).alias("avg_disc"),
+        F.count("*").alias("count_order"),
+    )
+
+
+@query("""
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
+WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1998-03-15' AND l_shipdate > TIMESTAMP '1998-03-15'
+GROUP BY ALL ORDER BY revenue DESC, o_orderkey LIMIT 10""")
+def unshipped_orders(read, spark, folder):
+    """The ten open orders of a segment with the greatest revenue."""
+    c = read("customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    o = read("orders").where(F.col("o_orderdate") < ntz("1998-03-15"))
+    items = read("lineitem").where(F.col("l_shipdate") > ntz("1998-03-15"))
+    joined = o.join(c, o.o_custkey == c.c_custkey).join(items, items.l_orderkey == o.o_orderkey)
+    sums = joined.groupBy("o_orderkey", day("o_orderdate").alias("o_orderdate")).agg(money(F.sum(revenue())).alias("revenue"))
+    return sums.orderBy(F.desc("revenue"), "o_orderkey").limit(10)
+
+
+@query("""
+SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
+JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+WHERE r_name = 'ASIA' GROUP BY n_name""")
+def local_supplier_volume(read, spark, folder):
+    """Revenue within each nation of a region, customer and supplier being of that nation."""
+    nations = read("nation").join(read("region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name")
+    s = read("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_name")
+    bought = read("customer").join(read("orders"), F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", "c_nationkey")
+    items = read("lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    return items.join(bought, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("c_nationkey") == F.col("s_nationkey"))).groupBy("n_name").agg(money(F.sum(revenue())).alias("revenue"))
+
+
+@query("""
+SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem
+WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24""")
+def discount_revenue(read, spark, folder):
+    """What certain discounts cost in a year."""
+    rows = read("lineitem").where((F.col("l_shipdate") >= ntz("1996-01-01")) & (F.col("l_shipdate") < ntz("1997-01-01")) & F.col("l_discount").between(0.05, 0.07) & (F.col("l_quantity") < 24))
+    return rows.agg(money(F.sum(F.col("l_extendedprice") * F.col("l_discount"))).alias("revenue"))
+
+
+@query("""
+SELECT o_orderpriority, count(*) AS order_count FROM orders o
+WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey AND l_returnflag = 'R') GROUP BY ALL""")
+def returned_orders(read, spark, folder):
+    """Orders with a returned item, by priority (semi join)."""
+    returned = read("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return read("orders").join(returned, "o_orderkey", "left_semi").groupBy("o_orderpriority").agg(F.count("*").alias("order_count"))
+
+
+@query("""
+SELECT c_custkey, c_name FROM customer c
+WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey AND o_orderdate >= TIMESTAMP '2000-06-01')""")
+def lost_customers(read, spark, folder):
+    """Customers without an order since a day (anti join)."""
+    recent = read("orders").where(F.col("o_orderdate") >= ntz("2000-06-01")).select(F.col("o_custkey").alias("c_custkey"))
+    return read("customer").join(recent, "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
+@query("""
+SELECT n, count(*) AS customers FROM (
+  SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority <> '5-LOW' GROUP BY c_custkey
+) GROUP BY n""")
+def orders_per_customer(read, spark, folder):
+    """How many customers have how many orders (outer join)."""
+    o = read("orders").where("o_orderpriority <> '5-LOW'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    each = read("customer").join(o, "c_custkey", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
+    return each.groupBy("n").agg(F.count("*").alias("customers"))
+
+
+@query("""
+SELECT coalesce(a.k, b.k) AS k, a.n AS orders, b.n AS suppliers FROM
+  (SELECT c_nationkey + 3 AS k, count(*) AS n FROM customer GROUP BY ALL) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY ALL) b ON a.k = b.k""")
+def nations_of_both(read, spark, folder):
+    """Counts of two tables side by side (full outer join)."""
+    a = read("customer").groupBy((F.col("c_nationkey") + 3).alias("k")).agg(F.count("*").alias("orders"))
+    b = read("supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers"))
+    return a.join(b, "k", "full")
+
+
+@query("""
+SELECT round(100.0 * sum(CASE WHEN p_type = 'PROMO' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 4) AS promo_share
+FROM lineitem JOIN part ON l_partkey = p_partkey""")
+def promo_share(read, spark, folder):
+    """Share of revenue with a part type (conditional aggregation)."""
+    joined = read("lineitem").join(read("part"), F.col("l_partkey") == F.col("p_partkey"))
+    return joined.agg(F.round(100.0 * F.sum(F.when(F.col("p_type") == "PROMO", revenue()).otherwise(0)) / F.sum(revenue()), 4).alias("promo_share"))
+
+
+@query("""
+SELECT o_orderkey, o_custkey, sum(l_quantity) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+GROUP BY ALL HAVING sum(l_quantity) > 250""")
+def large_orders(read, spark, folder):
+    """Orders above a sum; items are added up before they meet their orders."""
+    sums = read("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("quantity")).where("quantity > 250")
+    return read("orders").join(sums, "o_orderkey").select("o_orderkey", "o_custkey", "quantity")
+
+
+@query("""
+SELECT p_partkey, p_brand, p_retailprice FROM part p WHERE p_retailprice > (SELECT avg(p_retailprice) + 40 FROM part WHERE p_brand = p.p_brand)""")
+def dear_parts(read, spark, folder):
+    """Parts well above their brand's mean (correlated subquery as aggregate and join)."""
+    means = read("part").groupBy("p_brand").agg((F.avg("p_retailprice") + 40).alias("least"))
+    return read("part").join(means, "p_brand").where("p_retailprice > least").select("p_partkey", "p_brand", "p_retailprice")
+
+
+@query("""
+SELECT r_name, n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)""")
+def balance_rollup(read, spark, folder):
+    """Customers and balances by region and nation with totals."""
+    joined = read("customer").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return joined.rollup("r_name", "n_name").agg(F.count("*").alias("customers"), money(F.sum("c_acctbal")).alias("balance"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def orders_cube(read, spark, folder):
+    """Orders by status and priority with all totals."""
+    return read("orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_brand, p_type, p_size, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_type, p_size), ())")
+def parts_grouping_sets(read, spark, folder):
+    """Parts by several groupings in one pass."""
+    p = read("part")
+    return p.groupingSets([[p.p_brand], [p.p_type, p.p_size], []], p.p_brand, p.p_type, p.p_size).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderdate) AS days, min(o_totalprice) AS lowest, max(o_totalprice) AS highest,
+       round(stddev_samp(o_totalprice), 2) AS deviation, round(quantile_cont(o_totalprice, 0.5), 2) AS median FROM orders GROUP BY ALL""")
+def order_statistics(read, spark, folder):
+    """Distinct counts, extremes, deviation and exact median."""
+    return read("orders").groupBy("o_orderpriority").agg(
+        F.count_distinct("o_custkey").alias("customers"), F.count_distinct("o_orderdate").alias("days"), F.min("o_totalprice").alias("lowest"), F.max("o_totalprice").alias("highest"),
+        F.round(F.stddev_samp("o_totalprice"), 2).alias("deviation"), F.round(F.percentile("o_totalprice", 0.5), 2).alias("median"))
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+def users_by_event(read, spark, folder):
+    """Distinct users where one type may hold most events."""
+    return distinct_by_parts(read("events"), ["event_type"], "user_id", "users")
+
+
+@query("""
+SELECT o_custkey, o_orderkey, o_totalprice, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3""")
+def top_orders(read, spark, folder):
+    """Each customer's three dearest orders."""
+    return top_per_group(read("orders"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 3).select("o_custkey", "o_orderkey", "o_totalprice", "rank")
+
+
+@query("""
+SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER w, 2) AS running, round(sum(o_totalprice) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving,
+       rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS by_priority, ntile(4) OVER w AS quarter, round(percent_rank() OVER w, 6) AS part
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
+def order_windows(read, spark, folder):
+    """Running sum, moving sum, rank, quartile and relative rank of a customer's orders."""
+    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return read("orders").select(
+        "o_custkey", "o_orderkey", F.round(F.sum("o_totalprice").over(w), 2).alias("running"), F.round(F.sum("o_totalprice").over(w.rowsBetween(-2, 0)), 2).alias("moving"),
+        F.rank().over(W.partitionBy("o_custkey").orderBy("o_orderpriority")).alias("by_priority"), F.ntile(4).over(w).alias("quarter"), F.round(F.percent_rank().over(w), 6).alias("part"))
+
+
+@query("""
+SELECT event_id, lag(event_type) OVER w AS before, lead(event_type, 2, 'none') OVER w AS after, first_value(event_id) OVER w AS first_id
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def event_neighbours(read, spark, folder):
+    """What a user did before and after."""
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    return read("events").select("event_id", F.lag("event_type").over(w).alias("before"), F.lead("event_type", 2, "none").over(w).alias("after"), F.first("event_id").over(w).alias("first_id"))
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey + 20 FROM supplier")
+def nations_union(read, spark, folder):
+    return read("customer").select(F.col("c_nationkey").alias("k")).union(read("supplier").select(F.col("s_nationkey") + 20)).distinct()
+
+
+@query("SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def customers_intersect(read, spark, folder):
+    of = lambda s: read("orders").where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("k"))
+    return of("F").intersect(of("P"))
+
+
+@query("SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' EXCEPT ALL SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
+def customers_except_all(read, spark, folder):
+    of = lambda s: read("orders").where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("k"))
+    return of("F").exceptAll(of("O"))
+
+
+@query("""
+SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS "F", count(*) FILTER (o_orderstatus = 'O') AS "O", count(*) FILTER (o_orderstatus = 'P') AS "P" FROM orders GROUP BY ALL""")
+def status_pivot(read, spark, folder):
+    return read("orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("o_orderkey")).na.fill(0)
+
+
+@query("""
+SELECT s_suppkey, 'balance' AS measure, s_acctbal AS value FROM supplier UNION ALL SELECT s_suppkey, 'nation', s_nationkey::DOUBLE FROM supplier""")
+def supplier_unpivot(read, spark, folder):
+    s = read("supplier").select("s_suppkey", F.col("s_acctbal").alias("balance"), F.col("s_nationkey").cast("double").alias("nation"))
+    return s.unpivot("s_suppkey", ["balance", "nation"], "measure", "value")
+
+
+@query("SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def event_properties(read, spark, folder):
+    """Events by a field of a JSON column."""
+    return read("events").groupBy("event_type", F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"), money(F.sum("value")).alias("total"))
+
+
+@query("""
+SELECT p_partkey, upper(p_name) AS shout, substr(p_brand, 7) AS number, regexp_extract(p_name, '([a-z]+)$', 1) AS last_word, length(p_name) AS size,
+       replace(p_type, 'O', '0') AS masked, p_name LIKE '%a%' AS has_a FROM part""")
+def part_strings(read, spark, folder):
+    return read("part").select(
+        "p_partkey", F.upper("p_name").alias("shout"), F.substring("p_brand", 7, 100).alias("number"), F.regexp_extract("p_name", "([a-z]+)$", 1).alias("last_word"),
+        F.length("p_name").alias("size"), F.replace("p_type", F.lit("O"), F.lit("0")).alias("masked"), F.col("p_name").like("%a%").alias("has_a"))
+
+
+@query("""
+SELECT year(o_orderdate) AS y, quarter(o_orderdate) AS q, month(o_orderdate) AS m, count(*) AS n, strftime(max(o_orderdate + INTERVAL 1 MONTH), '%Y-%m-%d') AS latest FROM orders GROUP BY ALL""")
+def order_calendar(read, spark, folder):
+    d = F.col("o_orderdate")
+    return read("orders").groupBy(F.year(d).alias("y"), F.quarter(d).alias("q"), F.month(d).alias("m")).agg(F.count("*").alias("n"), day(F.max(d + F.expr("INTERVAL 1 MONTH"))).alias("latest"))
+
+
+@query("""
+SELECT user_id, session, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS began FROM (
+  SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts FROM events)) GROUP BY ALL""")
+def user_sessions(read, spark, folder):
+    """Sessions of users, parted by pauses of half an hour."""
+    s = sessions(read("events"), ["user_id"], "ts", 1800)
+    return s.groupBy("user_id", "session").agg(F.count("*").alias("n"), moment(F.min("ts")).alias("began"))
+
+
+@query("""
+SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS began, event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY ALL""")
+def tumbling_windows(read, spark, folder):
+    rows = read("events").groupBy(F.window("ts", "6 hours"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    return rows.select(moment("window.start").alias("began"), "event_type", "n", "mean")
+
+
+@query("""
+SELECT strftime(began, '%Y-%m-%d %H:%M:%S') AS began, count(*) AS n FROM (
+  SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS began FROM events) GROUP BY ALL""")
+def sliding_windows(read, spark, folder):
+    rows = read("events").groupBy(F.window("ts", "2 hours", "1 hour")).agg(F.count("*").alias("n"))
+    return rows.select(moment("window.start").alias("began"), "n")
+
+
+@query("""
+SELECT p.event_id, c.event_id AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+LEFT JOIN LATERAL (SELECT event_id FROM events c WHERE c.event_type = 'click' AND c.user_id = p.user_id AND c.ts <= p.ts ORDER BY c.ts DESC, c.event_id DESC LIMIT 1) c ON true""")
+def click_before_purchase(read, spark, folder):
+    """Each purchase with its user's latest click until then (as-of join)."""
+    e = read("events").select("event_id", "user_id", "ts", "event_type")
+    of = lambda kind: e.where(F.col("event_type") == kind).drop("event_type")
+    return asof_join(of("purchase"), of("click"), ["user_id"], "ts", "ts", {"event_id": "click_id"}, "event_id").select("event_id", "click_id")
+
+
+@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_acctbal BETWEEN s_acctbal - 2.5 AND s_acctbal + 2.5")
+def like_balances(read, spark, folder):
+    """Customers and suppliers of nearly one balance (range join)."""
+    low, high = F.col("s_acctbal") - 2.5, F.col("s_acctbal") + 2.5
+    return range_join(read("customer").select("c_custkey", "c_acctbal"), read("supplier").select("s_suppkey", "s_acctbal"), F.col("c_acctbal"), low, high, 5.0).select("c_custkey", "s_suppkey")
+
+
+@query("SELECT p_type, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type")
+def quantity_by_type(read, spark, folder):
+    """A join whose keys may be very uneven (salted)."""
+    items, parts = read("lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity"), read("part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    return salted_join(items, parts, ["l_partkey"], 8).groupBy("p_type").agg(F.count("*").alias("n"), money(F.sum("l_quantity")).alias("quantity"))
+
+
+@query("SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS began, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_daily_counts(read, spark, folder):
+    """Windowed counts as a stream with a watermark, run over what is there."""
+    found = run_all(counts_by_window(events(spark, f"{folder}/events.parquet"), "ts", "1 day", "2 days", ["event_type"]), "update", ["window", "event_type"])
+    return found.select(moment("window.start").alias("began"), "event_type", "n")
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_first_seen(read, spark, folder):
+    """The users of a stream, each kept once while it is remembered."""
+    stream = events(spark, f"{folder}/events.parquet").select("user_id", "ts")
+    return run_all(without_repeats(stream, "ts", "60 days", ["user_id"]), "append", ["user_id"]).select("user_id")

@@ -1,0 +1,72 @@
+"""Joins, groups, files and streams on rows made for them."""
+
+import datetime as dt
+import random
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from brookmill.operators.groups import distinct_by_parts, sessions, top_per_group
+from brookmill.operators.joins import asof_join, range_join, salted_join
+from brookmill.sources import files
+from brookmill.streaming.windows import counts_by_window, run_all, without_repeats
+
+
+def test_asof_join(spark):
+    rng = random.Random(1)
+    left = [(i, rng.choice([1, 2, None]), rng.choice([None, *range(20)])) for i in range(60)]
+    right = [(100 + i, rng.choice([1, 2, None]), rng.choice([None, *range(20)])) for i in range(40)]
+    got = asof_join(spark.createDataFrame(left, "id int, k int, t int"), spark.createDataFrame(right, "rid int, k int, u int"), ["k"], "t", "u", {"rid": "found"}, "rid")
+    for i, k, t in left:
+        fits = [(u, r) for r, j, u in right if None not in (k, t, u) and j == k and u <= t]
+        assert (i, k, t, max(fits)[1] if fits else None) in [tuple(r) for r in got.collect()]
+    assert got.count() == len(left)
+
+
+def test_range_join(spark):
+    rng = random.Random(2)
+    points = [(i, rng.uniform(-50, 50)) for i in range(100)] + [(100, None)]
+    ranges = [(i, a, a + rng.choice([0.0, 1.0, 30.0, -1.0])) for i in range(50) for a in [rng.uniform(-50, 50)]]
+    got = range_join(spark.createDataFrame(points, "p int, x double"), spark.createDataFrame(ranges, "r int, a double, b double"), F.col("x"), F.col("a"), F.col("b"), 4.0)
+    assert sorted((r.p, r.r) for r in got.collect()) == sorted((p, r) for p, x in points for r, a, b in ranges if x is not None and a <= x <= b)
+
+
+def test_salted_join_and_distinct(spark):
+    big = spark.createDataFrame([(1 if i % 3 else i, i % 7) for i in range(500)], "k int, v int")
+    small = spark.createDataFrame([(1, "a"), (1, "b"), (6, "c")], "k int, w string")
+    want = big.join(small, "k")
+    got = salted_join(big, small, ["k"], 4)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {r.k: r.n for r in distinct_by_parts(big, ["k"], "v", "n").where("k = 1").collect()} == {1: 7}
+
+
+def test_groups(spark):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    df = spark.createDataFrame([("a", at(0)), ("a", at(10)), ("a", at(21)), ("a", at(21)), ("b", at(5))], "u string, ts timestamp")
+    assert sorted((r.u, r.ts, r.session) for r in sessions(df, ["u"], "ts", 10).collect()) == [("a", at(0), 1), ("a", at(10), 1), ("a", at(21), 2), ("a", at(21), 2), ("b", at(5), 1)]
+    assert sorted(r.ts for r in top_per_group(df, ["u"], [F.desc("ts")], 1).collect()) == [at(5), at(21)]
+
+
+@pytest.mark.parametrize("kind", ["parquet", "orc", "json", "csv"])
+def test_files(spark, tmp_path, kind):
+    df = spark.createDataFrame([(i, f"x{i}", i % 2) for i in range(20)], "a int, b string, p int")
+    files.write(df, f"{tmp_path}/t", kind, ["p"])
+    back = files.read(spark, f"{tmp_path}/t", kind, "a int, b string, p int")
+    assert sorted(map(tuple, back.select("a", "b", "p").collect())) == sorted(map(tuple, df.collect()))
+    with pytest.raises(ValueError):
+        files.read(spark, f"{tmp_path}/t", "nothing")
+
+
+def test_late_rows_and_repeats_in_a_stream(spark, tmp_path):
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    schema = "ts timestamp, id int"
+    for n, rows in enumerate([[(at(1), 1), (at(30), 2)], [(at(32), 5)], [(at(2), 3), (at(31), 2)], [(at(90), 4)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{n}")
+        time.sleep(1.1)  # files are taken in the order of their times, in seconds
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = run_all(counts_by_window(stream(), "ts", "1 day", "3 hours", []), "update", ["window"])
+    counts = {r.window.start: r.n for r in got.collect()}
+    assert counts[at(24)] == 3 and counts[at(72)] == 1 and counts[at(0)] == 1  # the row of hour 2 came too late
+    once = run_all(without_repeats(stream(), "ts", "48 hours", ["id"]), "append", ["id"])
+    assert sorted(r.id for r in once.collect()) == [1, 2, 3, 4, 5]
