@@ -19,6 +19,8 @@ empty result. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,7 +102,10 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer_path: str | No
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.append(ids_of(text.as_py() or ""), end_id).astype("<u2")
+                ids = array("H", ids_of(text.as_py() or ""))
+                ids.append(end_id)
+                if sys.byteorder == "big":
+                    ids.byteswap()
                 rows += [(doc_id, k, at, ids[at : at + capacity].tobytes()) for k, at in enumerate(range(0, len(ids), capacity))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, schema.types)], schema=schema)
 

@@ -26,6 +26,7 @@ PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{OTHERS}]+|[0-9\xb2\xb3\xb9\xbc-\xbe
 #: What is white space for Python alone, or no Latin-1.
 UNUSUAL = re.compile("[\x1c-\x1fĀ-\U0010ffff]")
 WORD_END = "</w>"
+RUN = re.compile(r"\s\s")
 
 
 def _bytes_of_letters() -> dict[str, int]:
@@ -73,17 +74,22 @@ def word_ids(path: str | None = None) -> Callable[[str], np.ndarray]:
     return ids
 
 
-@functools.lru_cache(maxsize=4)
-def byte_encoding(path: str | None = None):
+@functools.lru_cache(maxsize=8)
+def byte_encoding(path: str | None = None, pattern: str = public_tokenizers.PATTERN):
     import tiktoken
 
     with open(path or public_tokenizers.path(BYTE_FILE), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 @functools.lru_cache(maxsize=4)
-def byte_ids(path: str | None = None) -> Callable[[str], np.ndarray]:
-    """Ids of the byte-level tokenizer; every text can be restored from them."""
+def byte_ids(path: str | None = None) -> Callable[[str], list[int]]:
+    """Ids of the byte-level tokenizer; every text can be restored from them.
+
+    The pattern's look-ahead matters for runs of white space only, and costs
+    time: texts without such runs are split without it.
+    """
     encoding = byte_encoding(path)
-    return lambda text: np.array(encoding.encode_ordinary(text), dtype="<u4")
+    simple = byte_encoding(path, public_tokenizers.PATTERN.replace(r"\s+(?!\S)|", ""))
+    return lambda text: (encoding if RUN.search(text) else simple).encode_ordinary(text)
