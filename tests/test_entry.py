@@ -1,0 +1,32 @@
+"""The entry module: names, SQL and the flagship query."""
+
+import os
+import subprocess
+import sys
+from pathlib import Path
+
+import __spark_entry__
+
+REPO = Path(__file__).resolve().parents[1]
+
+
+def test_names_and_flagship(spark):
+    queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+    assert set(sql) <= set(queries) and all(callable(f) for f in queries.values())
+    assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_workers_find_the_library_from_another_folder(tmp_path):
+    """A session started elsewhere, without this folder in its environment, runs every kind of query."""
+    code = f"""
+import sys; sys.path.insert(0, {str(REPO)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").getOrCreate()
+import __spark_entry__
+known = __spark_entry__.queries()
+name = next((n for n in ("op3_licenses", "pricing_summary") if n in known))
+print("ROWS", known[name](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS" in done.stdout, done.stderr[-2000:]
