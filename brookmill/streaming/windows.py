@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def work_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; for a local session without one, a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-        folder = tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams"
-    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+from brookmill.session import shared_folder
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
@@ -41,7 +33,7 @@ def run_all(result: DataFrame, mode: str, key: list[str]) -> DataFrame:
     Each batch is written to a folder of its own, so a batch that is run again replaces what it wrote.
     """
     spark = result.sparkSession
-    folder = work_folder(spark)
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
