@@ -1,31 +1,18 @@
-"""Shared working folder, written intermediate tables and joins with a checked size."""
+"""Written intermediate tables and joins with a checked size."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brookmill.session import shared_folder
+
 #: Most rows (of a few dozen bytes each) that a join may broadcast.
 BROADCAST_ROWS = 1_000_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where none is set.
-
-    A local master gets a temporary folder, any other master a folder in the
-    warehouse, which all executors share.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-        folder = tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: it is computed once, and
     lost executors cost no more than a second read."""
