@@ -11,7 +11,7 @@ import functools
 import numpy as np
 
 #: Bytes of a text coded at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 MULTIPLIER = 0x9E3779B97F4A7C13
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
