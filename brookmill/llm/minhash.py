@@ -269,7 +269,8 @@ def near_classes(
     docs: DataFrame, threshold: float = 0.8, size: int = 5, registers: int = REGISTERS, rows: int = ROWS,
     block: int = BLOCK, most_blocks: int = MOST_BLOCKS, levels: int = LEVELS,
 ) -> DataFrame:
-    """One row per row of docs: doc_id, near_text (a hash of the text), class_id, class_size."""
+    """One row per row of docs: doc_id, near_text (a hash of the text), class_id, class_size,
+    class_key (the class's own, as two classes may have one id where ids repeat or are null)."""
     docs = docs.select("doc_id", "text")
     members = written(signed(docs, size, registers), "near-signed")
     texts = written(
@@ -291,21 +292,22 @@ def near_classes(
     nodes = texts.select("near_key", "near_doc", "near_rows").join(roots.select(F.col("node").alias("near_key"), "root"), "near_key", "left")
     nodes = written(nodes.select("near_key", "near_doc", "near_rows", F.coalesce("root", "near_key").alias("near_root")), "near-nodes")
     classes = written(nodes.groupBy("near_root").agg(F.min("near_doc").alias("class_id"), F.sum("near_rows").alias("class_size")), "near-classes")
-    named = written(nodes.select("near_key", "near_root").join(classes, "near_root").select("near_key", "class_id", "class_size"), "near-named")
-    return members.select("doc_id", "near_text", "near_key").join(named, "near_key").select("doc_id", "near_text", "class_id", "class_size")
+    named = written(nodes.select("near_key", "near_root").join(classes, "near_root").select("near_key", "class_id", "class_size", F.col("near_root").alias("class_key")), "near-named")
+    return members.select("doc_id", "near_text", "near_key").join(named, "near_key").select("doc_id", "near_text", "class_id", "class_size", "class_key")
 
 
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
     """docs with one row of each class: one with the class's least id. Columns stay."""
-    found = written(near_classes(docs, **parameters).where("class_size > 1").select(handle(F.col("doc_id")).alias("near_handle"), "near_text", handle(F.col("class_id")).alias("near_class")), "near-found")
+    found = near_classes(docs, **parameters).where("class_size > 1")
+    found = written(found.select(handle(F.col("doc_id")).alias("near_handle"), "near_text", "class_key", (handle(F.col("doc_id")) == handle(F.col("class_id"))).alias("near_least")), "near-found")
     # a class's least id may stand on several rows: of these, the text with the least hash stays
-    first = written(found.where(F.col("near_handle") == F.col("near_class")).groupBy("near_class").agg(F.min("near_text").alias("near_text"), F.count("*").alias("n")), "near-first")
-    row_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    keyed = docs.withColumns({"near_handle": handle(F.col("doc_id")), "near_text": row_hash})
-    kept_of = first.select(F.col("near_class").alias("near_handle"), "near_text")
-    dropped = written(found.select("near_handle", "near_text").distinct().join(kept_of, ["near_handle", "near_text"], "left_anti"), "near-dropped")
-    again = written(first.where("n > 1").select(F.col("near_class").alias("near_handle"), "near_text"), "near-again")
+    first = found.where("near_least").groupBy("class_key", "near_handle", "near_text").agg(F.count("*").alias("n"))
+    first = first.groupBy("class_key").agg(F.min_by(F.struct("near_handle", "near_text", "n"), "near_text").alias("stays"))
+    first = written(first.select("stays.near_handle", "stays.near_text", "stays.n"), "near-first")
     on = ["near_handle", "near_text"]
+    dropped = written(found.select(*on).distinct().join(first.select(*on), on, "left_anti"), "near-dropped")
+    again = written(first.where("n > 1").select(*on), "near-again")
+    keyed = docs.withColumns({"near_handle": handle(F.col("doc_id")), "near_text": F.xxhash64(F.coalesce("text", F.lit("")))})
     rest = join_checked(keyed, dropped, on, "left_anti")
     if not again.limit(1).count():
         return rest.select(*docs.columns)
