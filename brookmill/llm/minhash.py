@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brookmill.llm.components import connected
-from brookmill.llm.store import join_checked, written
+from brookmill.llm.store import join_checked, set_apart, written
 from brookmill.llm.textcode import MULTIPLIER, mixed_bits, shingle_codes, word_codes
 
 REGISTERS, ROWS = 128, 4
@@ -298,6 +298,7 @@ def near_classes(
 
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
     """docs with one row of each class: one with the class's least id. Columns stay."""
+    docs, back = set_apart(docs, ("doc_id", "text"))
     found = near_classes(docs, **parameters).where("class_size > 1")
     found = written(found.select(handle(F.col("doc_id")).alias("near_handle"), "near_text", "class_key", (handle(F.col("doc_id")) == handle(F.col("class_id"))).alias("near_least")), "near-found")
     # a class's least id may stand on several rows: of these, the text with the least hash stays
@@ -310,7 +311,7 @@ def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
     keyed = docs.withColumns({"near_handle": handle(F.col("doc_id")), "near_text": F.xxhash64(F.coalesce("text", F.lit("")))})
     rest = join_checked(keyed, dropped, on, "left_anti")
     if not again.limit(1).count():
-        return rest.select(*docs.columns)
+        return back(rest)
     single = join_checked(rest, again, on, "left_anti")
     repeated = join_checked(rest, again, on, "left_semi").dropDuplicates(on)
-    return single.unionByName(repeated).select(*docs.columns)
+    return back(single.unionByName(repeated))

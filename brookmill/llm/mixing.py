@@ -9,7 +9,8 @@ Nulls: a null text has size 0; a null source is a source of its own, ordered
 last; a null id draws the coin of the empty string. Rows with the same id draw
 the same coin. A source without words gets no copies. An empty table gives an
 empty result. Columns of the input are kept; the operator's own have the
-prefix `mix_`, and a clashing input column is replaced.
+prefix `mix_`, and `with_copies` replaces clashing input columns,
+`mixed` leaves them as they are.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from brookmill.llm.store import join_checked, written
+from brookmill.llm.store import join_checked, set_apart, written
 
 #: A word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,5 +79,6 @@ def with_copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repea
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeat: float = 3.0, seed: str = "mix") -> DataFrame:
     """The mix itself: rows of docs, each as often as it is taken."""
+    docs, back = set_apart(docs, ("doc_id", "text", "source"))
     taken = with_copies(docs, weights, max_repeat, seed).where(F.col("mix_copies") > 0)
-    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    return back(taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,3 +41,10 @@ def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str, rows
     """
     n = small.count() if rows is None else rows
     return big.join(F.broadcast(small) if n <= most else small, on, how)
+
+
+def set_apart(docs: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but the needed ones under names that no operator uses, and the way back to docs' own columns."""
+    names = {c: c if c in needed else f"carried_{k}" for k, c in enumerate(docs.columns)}
+    there = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return there, lambda df: df.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -54,7 +54,7 @@ def test_mix_emits_copies_and_keeps_columns(spark):
     counts = defaultdict(int)
     for r in out.collect():
         counts[r.doc_id] += 1
-        assert r.text == "a b c"
+        assert r.text == "a b c" and r.mix_size == "kept"
     assert {k: v for k, v in want.items() if v} == dict(counts)
 
 
