@@ -1,7 +1,11 @@
 """The corpus pipeline: five operators in turn over documents.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
-before kept; all but the last return the columns of documents.
+before kept; all but the last return the columns of documents, whatever further
+ones these have.
+
+Null texts and texts without a letter go in the first stage. Rows with a null id
+stay; of rows that repeat one stays. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from brookmill.llm.minhash import one_of_each
 from brookmill.llm.mixing import mixed
 from brookmill.llm.packing import packed
 from brookmill.llm.rules import judged
-from brookmill.llm.store import written
+from brookmill.llm.store import set_apart, written
 from brookmill.sources.tables import table
 
 #: Least cosine with the nearest language's prototype, for texts of at least so many characters.
@@ -24,14 +28,16 @@ LEAST_COSINE, MIN_CHARS = 0.25, 200
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the labelled rows have; without letters, or long enough and far from all languages, they go."""
     prototypes = learned(docs.select("doc_id", "text", "lang"), F.lit(True))
+    docs, back = set_apart(docs, ("doc_id", "text", "lang"))
     found = identified(docs, prototypes)
     near = (F.col("lang_score") >= LEAST_COSINE) | (F.char_length("text") < MIN_CHARS)
-    return found.where((F.col("lang_pred") != UNKNOWN) & near).select(*docs.columns)
+    return back(found.where((F.col("lang_pred") != UNKNOWN) & near))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the divergence rules keep."""
-    return judged(docs).where("rule_kept").select(*docs.columns)
+    docs, back = set_apart(docs, ("doc_id", "text", "lang"))
+    return back(judged(docs).where("rule_kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
