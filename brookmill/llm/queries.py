@@ -11,6 +11,7 @@ from brookmill.llm.query_packing import op2_packing
 from brookmill.llm.query_quality import op6_quality
 from brookmill.llm.query_revisits import SQL as REVISITS_SQL
 from brookmill.llm.query_revisits import op8_revisits
+from brookmill.llm.query_rules import SQL as RULES_SQL
 from brookmill.llm.query_rules import op9_rules
 from brookmill.llm.query_sequences import op4_sequences
 from brookmill.llm.query_syncmers import op7_syncmers
@@ -27,4 +28,4 @@ QUERIES = {
     "op9_rules": op9_rules,
     "op10_language": op10_language,
 }
-SQL = {"op5_mixing": MIXING_SQL, "op8_revisits": REVISITS_SQL}
+SQL = {"op5_mixing": MIXING_SQL, "op8_revisits": REVISITS_SQL, "op9_rules": RULES_SQL}
