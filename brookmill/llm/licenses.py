@@ -53,6 +53,8 @@ NOTICES = (
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: How far past its window a match is followed to the end of a word.
 WORD_END = 64
+#: Windows whose result a worker remembers.
+REMEMBERED = 20_000
 HIT = T.StructType([
     T.StructField("label", T.StringType()), T.StructField("phrase", T.StringType()), T.StructField("errors", T.IntegerType()),
     T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType()), T.StructField("text", T.StringType()),
@@ -83,6 +85,13 @@ class Finder:
             self.automaton.add_word(piece, (len(piece), places))
         self.automaton.make_automaton()
         self.patterns = [regex.compile(rf"(?be)(?<![^ ])(?:{regex.escape(p, literal_spaces=True)}){{e<={errors_allowed(p)}}}(?![^ ])") for p, _ in notices]
+        # the same lines come again and again, within a text and over texts
+        self.looked = functools.lru_cache(maxsize=REMEMBERED)(self._look)
+
+    def _look(self, n: int, window: str, left: int) -> tuple[int, int, int] | None:
+        """Start, end and errors of the best match of notice n in a window, from place `left` on."""
+        match = self.patterns[n].search(window, left)
+        return (match.start(), match.end(), sum(match.fuzzy_counts)) if match else None
 
     def hits(self, words: list[str]) -> list[tuple[str, str, int, int, int, str]]:
         """label, phrase, errors, first and last word and text of each match, in order."""
@@ -101,11 +110,13 @@ class Finder:
             end = min(len(text), start + len(phrase) + slack)
             stop = text.find(" ", end, end + WORD_END)
             stop = stop if stop >= 0 else min(len(text), end + WORD_END)
-            match = self.patterns[n].search(text, max(0, start - slack), stop)
-            if match and (match.end() == len(text) or text[match.end()] == " "):
-                errors = sum(match.fuzzy_counts)
-                if errors < found.get((n, match.start()), (99, 0))[0]:
-                    found[n, match.start()] = errors, match.end()
+            low = max(0, start - slack)
+            left = min(low, 1)  # the character before tells whether a word starts there
+            match = self.looked(n, text[low - left : stop], left)
+            if match:
+                (a, b), errors = (low - left + x for x in match[:2]), match[2]
+                if (b == len(text) or text[b] == " ") and errors < found.get((n, a), (99, 0))[0]:
+                    found[n, a] = errors, b
         out = []
         for (n, at), (errors, end) in sorted(found.items(), key=lambda x: (x[0][1], x[0][0])):
             first, last = np.searchsorted(word_start, [at, end - 1], side="right") - 1
