@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookmill.llm.store import join_checked, written
+from brookmill.llm.store import join_checked, set_apart, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -177,3 +177,11 @@ def judged(
     })
     fits = (F.coalesce("rule_class_divergence", F.lit(0.0)) <= most_class_divergence) & (F.coalesce("rule_word_divergence", F.lit(0.0)) <= most_word_divergence)
     return out.withColumn("rule_kept", ~F.col("rule_base_failed") & fits).drop("rule_lang", "rule_found", "ref_classes", "ref_common", "ref_shares")
+
+
+def kept(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of docs that all rules keep; columns stay as they are."""
+    docs, back = set_apart(docs, ("doc_id", "text", "lang"))
+    # the verdict is exploded, so that it is computed once: Spark would copy its whole expression into a filter
+    verdict = judged(docs, **parameters).select(*docs.columns, F.explode(F.array("rule_kept")).alias("rule_verdict"))
+    return back(verdict.where("rule_verdict"))

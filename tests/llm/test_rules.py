@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter
 
-from brookmill.llm.rules import judged
+from brookmill.llm.rules import judged, kept
 
 SCHEMA = "doc_id long, text string, lang string, rule_words string"
 
@@ -41,6 +41,10 @@ def test_counts_and_verdicts(spark):
         else:
             assert not r.rule_kept
     assert {r.doc_id: r.rule_base_failed for r in got}[1011] is False
+    docs = spark.createDataFrame(rows, SCHEMA)
+    stay = kept(docs)
+    assert stay.columns == docs.columns
+    assert sorted(r.doc_id for r in stay.collect()) == sorted(r.doc_id for r in got if r.rule_kept) and {r.rule_words for r in stay.collect()} <= {"x", None}
 
 
 def test_empty_table(spark):
