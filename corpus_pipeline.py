@@ -17,7 +17,7 @@ from brookmill.llm.language import UNKNOWN, identified, learned
 from brookmill.llm.minhash import one_of_each
 from brookmill.llm.mixing import mixed
 from brookmill.llm.packing import packed
-from brookmill.llm.rules import judged
+from brookmill.llm.rules import kept
 from brookmill.llm.store import set_apart, written
 from brookmill.sources.tables import table
 
@@ -36,8 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the divergence rules keep."""
-    docs, back = set_apart(docs, ("doc_id", "text", "lang"))
-    return back(judged(docs).where("rule_kept"))
+    return kept(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
