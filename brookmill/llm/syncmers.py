@@ -10,9 +10,11 @@ the anchor before (from the start for the first; 255 for more). A text without
 an anchor, such as one shorter than K, has one anchor for the whole of it.
 
 The likeness of two fingerprints is the share of anchors, of both together, that
-have an equal anchor in the other one on one of the main diagonals: anchors are
-matched by hash, and a match counts if so large a part of all matches has its
-displacement, or nearly so, that it isn't there by chance.
+stand in a run which the other one has too: RUN neighbouring anchors with equal
+hashes in the same order (a diagonal), so many that they aren't there by chance.
+A run that stands several times counts as often as in the text that has it less
+often. How long a run must be does not grow with the text, so edits of one
+density give one likeness at every length.
 
 Nulls: a null text is an empty one, whose fingerprint is one fixed anchor. A row
 with a null id comes last; rows with one id are ordered by text. The only row of
@@ -39,8 +41,8 @@ K, S = 40, 9
 PART = 1 << 18
 #: Bytes of text to a part of the documents in id order, and the most such parts.
 PART_BYTES, MOST_PARTS = 16_000_000, 10_000
-#: Displacements this far apart are one diagonal; a diagonal counts with at least this share of the smaller number of anchors.
-SLACK, LEAST_SHARE = 8, 0.02
+#: Anchors in one order from which on a run isn't there by chance; fewer, a quarter of them, in a text of less than 4 * RUN anchors.
+RUN = 2
 
 
 def _run_hashes(points: np.ndarray, n: int) -> np.ndarray:
@@ -101,24 +103,25 @@ def likeness(a: str, b: str) -> float:
     """From 0 to 1; 1 for equal fingerprints. Symmetric."""
     if a == b:
         return 1.0
-    x, y = (np.frombuffer(bytes.fromhex(v), ">u4").astype(np.int64) for v in (a, b))
-    places = [np.cumsum(v & 255) for v in (x, y)]
-    # equal anchors are paired in order: the first with the first, the second with the second
+    codes = [np.frombuffer(bytes.fromhex(v), ">u4").astype(np.uint64) >> np.uint64(8) for v in (a, b)]
+    run = min(max(min(map(len, codes)) // 4, 1), RUN)
+    # equal runs are paired in order: the first with the first, the second with the second
     sides = []
-    for v in (x, y):
-        order = np.argsort(v >> 8, kind="stable")
-        code = (v >> 8)[order]
-        start = np.flatnonzero(np.diff(code, prepend=-1))
-        turn = np.arange(len(code)) - np.repeat(start, np.diff(np.append(start, len(code))))
-        sides.append((code << 32 | turn, order))
-    _, i, j = np.intersect1d(sides[0][0], sides[1][0], assume_unique=True, return_indices=True)
-    if not len(i):
-        return 0.0
-    shift = np.sort(places[0][sides[0][1][i]] - places[1][sides[1][1][j]])
-    group = np.cumsum(np.diff(shift, prepend=shift[0]) > SLACK)
-    counts = np.bincount(group)
-    kept = counts[counts >= max(1.0, LEAST_SHARE * min(len(x), len(y)))].sum()
-    return float(2 * kept / (len(x) + len(y)))
+    for v in codes:
+        runs = _joined(mixed_bits(v), run)
+        order = np.argsort(runs, kind="stable")
+        runs = runs[order]
+        start = np.flatnonzero(np.append(True, runs[1:] != runs[:-1]))
+        turn = np.arange(len(runs)) - np.repeat(start, np.diff(np.append(start, len(runs))))
+        sides.append((runs + turn.astype(np.uint64) * np.uint64(MULTIPLIER), order))
+    _, *found = np.intersect1d(sides[0][0], sides[1][0], assume_unique=True, return_indices=True)
+    kept = 0
+    for v, (_, order), at in zip(codes, sides, found):
+        edge = np.zeros(len(v) + 1, np.int64)
+        edge[order[at]] += 1
+        edge[order[at] + run] -= 1
+        kept += int(np.count_nonzero(np.cumsum(edge)))
+    return kept / sum(map(len, codes))
 
 
 def edited(text: str, following: str) -> str:

@@ -57,6 +57,16 @@ def test_likeness():
     assert likeness(f(a), f(" ".join(words))) > 0.7
 
 
+def test_edits_of_one_density_count_alike_at_every_length():
+    rng = random.Random(5)
+    found = []
+    for n in (800, 3000, 8000, 20_000):
+        words = prose(rng, n).split()
+        changed = [w for i in range(0, n, 100) for w in [*words[i : i + 50], "".join(rng.choices("opqrxyz", k=12)), *words[i + 50 : i + 100]]]
+        found.append(likeness(fingerprint(" ".join(words)), fingerprint(" ".join(changed))))
+    assert min(found) > 0.85 and max(found) - min(found) < 0.05
+
+
 def test_rows_match_a_plain_loop(spark):
     rng = random.Random(4)
     texts = [prose(rng, rng.randint(0, 150)) for _ in range(300)]
