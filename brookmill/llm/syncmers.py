@@ -4,10 +4,13 @@ Of each run of K code points the least hash among its inner runs of S code
 points is looked up; if that stands at the first or the last place, the run is a
 closed syncmer. Whether a run is one depends on nothing outside it, so an edit
 leaves the anchors of all other places as they are. Every stretch of
-2 * K - S code points or so holds one. A fingerprint lists all anchors of the
+2 * K - S = 10 code points holds one, so half of a text of 20 does, and about 2
+of 5 places are one: a fingerprint takes some 3 times its text. A fingerprint lists all anchors of the
 whole text in order, each as 6 hex digits of its hash and 2 of the distance from
 the anchor before (from the start for the first; 255 for more). A text without
-an anchor, such as one shorter than K, has one anchor for the whole of it.
+an anchor, such as one shorter than K, has one anchor for the whole of it: such
+texts are alike only if equal. So a text of fewer than 20 code points may have
+likeness 0 to one that shares half of it.
 
 The likeness of two fingerprints is the share of anchors, of both together, that
 stand in a run which the other one has too: RUN neighbouring anchors with equal
@@ -36,13 +39,15 @@ from pyspark.sql.functions import pandas_udf
 
 from brookmill.llm.textcode import MULTIPLIER, code_points, mixed_bits
 
-K, S = 40, 9
+K, S = 6, 2
 #: Code points hashed at a time.
 PART = 1 << 18
 #: Bytes of text to a part of the documents in id order, and the most such parts.
 PART_BYTES, MOST_PARTS = 16_000_000, 10_000
 #: Anchors in one order from which on a run isn't there by chance; fewer, a quarter of them, in a text of less than 4 * RUN anchors.
-RUN = 2
+RUN = 8
+#: Characters of fingerprints to a batch of the result; a row counts 400 besides.
+BATCH_CHARS = 4_000_000
 
 
 def _run_hashes(points: np.ndarray, n: int) -> np.ndarray:
@@ -176,8 +181,8 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S, part_bytes: int = PART
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = part = None
+        rows, size = [], 0
         for batch in batches:
-            rows = []
             for doc_id, text, p, role in zip(*[batch.column(c) for c in ("doc_id", "text", "part", "role")]):
                 p, role = p.as_py(), role.as_py()
                 if held is None and role:
@@ -186,8 +191,16 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S, part_bytes: int = PART
                 now = doc_id.as_py(), text, fingerprint(text, k, s)
                 if held is not None and p == part:
                     rows.append(row(held, now))
+                    size += len(rows[-1][3]) + len(rows[-1][4]) + 400
+                    if size >= BATCH_CHARS:
+                        yield batch_of(rows)
+                        rows, size = [], 0
                 held, part = (None if role else now), p
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(schema), schema.types)], schema=schema)
+        if rows:
+            yield batch_of(rows)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     fields = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return in_order(docs, part_bytes).mapInArrow(pairs, fields)

@@ -67,6 +67,15 @@ def test_edits_of_one_density_count_alike_at_every_length():
     assert min(found) > 0.85 and max(found) - min(found) < 0.05
 
 
+def test_short_texts(spark):
+    rng = random.Random(6)
+    texts = [prose(rng, 60)[:n] for n in range(20, 151) for _ in range(3)]
+    got = fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    near = sorted(r.near_edited for r in got)
+    assert len(near) == len(texts) and near[0] > 0 and near[len(near) // 10] > 0.3 and near[-1] < 0.75
+    assert sorted(r.near_next for r in got)[len(got) // 2] < 0.05
+
+
 def test_rows_match_a_plain_loop(spark):
     rng = random.Random(4)
     texts = [prose(rng, rng.randint(0, 150)) for _ in range(300)]
