@@ -3,14 +3,14 @@
 Documents longer than a sequence are cut into full pieces and a rest. Pieces
 are dealt by a hash into groups, whose number follows from the bytes of all
 texts; each group is packed on its own, so the work is spread evenly whatever
-the sizes of documents, and a group leaves at most about one bin part-filled.
+the sizes of documents. The emptiest bin of each group is packed once more with
+those of other groups, again in groups of bounded size.
 
 In a group, best-fit decreasing gives the first bins. The local search then
 works on underfull bins: it moves documents, exchanges one for one or two for
-one between a bin and a fuller one with room, whenever this raises the sum of
-squared fills, until bins empty. It ends at the lower bound of bins, when a
-round finds no change, or after a fixed number of rounds; it only ever improves
-on the first bins.
+one between a bin and any fuller one with room, whichever raises the sum of
+squared fills most, until bins empty. It ends at the lower bound of bins, or when
+no bin has such a change left; it only ever improves on the first bins.
 
 Nulls: a null text is an empty one (an end id only); a null id is kept. Rows
 that repeat are packed as often as they come. An empty table gives an empty
@@ -28,12 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brookmill.llm.store import written
 from brookmill.llm.tokens import word_ids
 
 #: Bytes of text to a packing group.
 GROUP_BYTES = 32_000_000
-#: Rounds of the local search over a group's underfull bins, and fuller partners tried for each bin in a round.
-ROUNDS, PARTNERS = 4, 32
 
 
 class Bins:
@@ -81,21 +80,34 @@ class Bins:
         self.items[high] = [i for i in self.items[high] if i not in back] + out
         self.fill[low] -= moved
         self.fill[high] += moved
-
-    def _best_change(self, low: int, high: int) -> tuple[int, list[int], list[int]]:
-        """The change between two bins that raises the sum of squares most: gain, out, back."""
-        room, gap = self.capacity - self.fill[high], self.fill[high] - self.fill[low]
-        best: tuple[int, list[int], list[int]] = (0, [], [])
+        self.bin_of[out], self.bin_of[back] = high, low
+
+    def _best_change(self, low: int) -> tuple[int, int, list[int], list[int]]:
+        """The change between a bin and any fuller one that raises the sum of squares most: gain, high, out, back."""
+        best: tuple[int, int, list[int], list[int]] = (0, -1, [], [])
+        fill = np.array(self.fill)
+        highs = np.flatnonzero((fill >= fill[low]) & (fill < self.capacity))
+        highs = highs[highs != low]
+        owner = self.bin_of
+        fits = (fill[owner] >= fill[low]) & (fill[owner] < self.capacity) & (owner != low)
+        theirs = np.flatnonzero(fits)
+        # either nothing comes back or one item
+        bins, back = np.concatenate([highs, owner[theirs]]), np.concatenate([np.full(len(highs), -1), theirs])
+        lengths = np.concatenate([np.zeros(len(highs), np.int64), self.lengths[theirs]])
+        room, gap = self.capacity - fill[bins], fill[bins] - fill[low]
         ours = sorted({int(self.lengths[i]): i for i in self.items[low]}.items())
-        theirs = [(0, -1), *sorted({int(self.lengths[i]): i for i in self.items[high]}.items())]
         pairs = self._pairs(self.items[low]) if len(self.items[low]) > 1 else []
         for options in ([(n, [i]) for n, i in ours], pairs):
-            sums = [n for n, _ in options]
-            for n, other in theirs:
-                # the largest option that still fits when the other item has left
-                at = bisect_left(sums, n + room + 1) - 1
-                if at >= 0 and (d := sums[at] - n) > 0 and (gain := 2 * d * (gap + d)) > best[0]:
-                    best = (gain, options[at][1], [] if other < 0 else [other])
+            if not options or not len(bins):
+                continue
+            # the largest option that still fits when the other item has left
+            sums = np.array([0, *(n for n, _ in options)])
+            at = np.searchsorted(sums, lengths + room, side="right") - 1
+            moved = np.maximum(sums[at] - lengths, 0)
+            gains = 2 * moved * (gap + moved)
+            k = int(np.argmax(gains))
+            if gains[k] > best[0]:
+                best = (int(gains[k]), int(bins[k]), options[at[k] - 1][1], [] if back[k] < 0 else [int(back[k])])
         return best
 
     def _pairs(self, items: list[int]) -> list[tuple[int, list[int]]]:
@@ -109,26 +121,23 @@ class Bins:
         return sorted(found.items())
 
     def search(self) -> None:
-        """Empty the emptiest bins into the other underfull ones."""
-        for _ in range(ROUNDS):
-            if self.count() <= self.bound():
-                return
-            underfull = sorted((b for b, f in enumerate(self.fill) if 0 < f < self.capacity), key=lambda b: self.fill[b])
+        """Empty the emptiest bins into the other underfull ones, until the bound is met or no change is left."""
+        self.bin_of = np.zeros(len(self.lengths), np.int64)
+        for b, items in enumerate(self.items):
+            self.bin_of[items] = b
+        left, changed = self.count() - self.bound(), True
+        while changed and left > 0:
             changed = False
-            for k, low in enumerate(underfull):
-                for high in underfull[max(k + 1, len(underfull) - PARTNERS) :][::-1]:
-                    while self.fill[low] and self.fill[low] <= self.fill[high] < self.capacity:
-                        gain, out, back = self._best_change(low, high)
-                        if not gain:
-                            break
-                        self._change(low, high, out, back)
-                        changed = True
-                    if not self.fill[low]:
+            for low in sorted((b for b, f in enumerate(self.fill) if 0 < f < self.capacity), key=lambda b: self.fill[b]):
+                while 0 < self.fill[low] < self.capacity:
+                    gain, high, out, back = self._best_change(low)
+                    if not gain:
                         break
-                if self.count() <= self.bound():
+                    self._change(low, high, out, back)
+                    changed = True
+                    left -= not self.fill[low]
+                if left <= 0:
                     return
-            if not changed:
-                return
 
 
 def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,10 +184,27 @@ def packed(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer_pat
     groups = group_count(docs, group_bytes)
     dealt = pieces(docs, capacity, end_id, tokenizer_path).withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
 
+    fields = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+
     def place(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
-        where, offset = pack(table.column("length").to_numpy(), capacity)
+        lengths = table.column("length").to_numpy()
+        where, offset = pack(lengths, capacity)
         first = table.column("pack_group")[0].as_py() << 32
-        return table.drop_columns(["pack_group"]).append_column("sequence_id", pa.array(where + first, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
-
-    return dealt.groupBy("pack_group").applyInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+        fill = np.bincount(where, lengths)
+        emptiest = int(np.argmin(np.where(fill > 0, fill, capacity)))
+        rest = (where == emptiest) & (fill[emptiest] < capacity)
+        return table.drop_columns(["pack_group"]).append_column("sequence_id", pa.array(where + first, pa.int64())).append_column("offset", pa.array(offset, pa.int64())).append_column("rest", pa.array(rest))
+
+    def place_again(table: pa.Table) -> pa.Table:
+        before = table.drop_columns(["pack_group"])
+        after = place(table.drop_columns(["sequence_id", "offset"])).drop_columns(["rest"])
+        return after if len(after["sequence_id"].unique()) < len(before["sequence_id"].unique()) else before
+
+    if groups == 1:
+        return dealt.groupBy("pack_group").applyInArrow(place, f"{fields}, rest boolean").drop("rest")
+    placed = written(dealt.groupBy("pack_group").applyInArrow(place, f"{fields}, rest boolean"), "packed")
+    # a group's rest is less than a sequence; so many groups' rests are about a group again
+    again = -(-groups // max(2, group_bytes // (4 * capacity)))
+    rests = placed.where("rest").drop("rest").withColumn("pack_group", F.lit(groups) + F.pmod(F.shiftright("sequence_id", 32), F.lit(again)))
+    return placed.where(~F.col("rest")).drop("rest").unionByName(rests.groupBy("pack_group").applyInArrow(place_again, fields))

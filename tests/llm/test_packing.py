@@ -47,6 +47,30 @@ def test_local_search_reaches_the_bound_or_never_worsens():
     assert odd.count() == odd.bound() == 2
 
 
+def test_local_search_tries_all_underfull_bins():
+    lengths = np.random.default_rng(1).integers(900, 1400, 2000)
+    bins = Bins(lengths, 4096)
+    bins.best_fit_decreasing()
+    start = bins.count()
+    bins.search()
+    assert bins.count() <= start - 10
+    assert all(bins._best_change(b)[0] == 0 for b, f in enumerate(bins.fill) if 0 < f < 4096)
+    assert sorted(i for items in bins.items for i in items) == list(range(2000))
+    assert all(sum(int(lengths[i]) for i in items) == f <= 4096 for items, f in zip(bins.items, bins.fill))
+
+
+def test_rests_of_groups_are_packed_together(spark):
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(["a", "tree", "of", "words"], k=rng.randint(5, 60)))) for i in range(3000)], "doc_id long, text string")
+    got = packed(docs, capacity=256, group_bytes=12_000).collect()
+    fill = defaultdict(int)
+    for r in got:
+        fill[r.sequence_id] += r.length
+    assert sorted(r.doc_id for r in got) == list(range(3000)) and max(fill.values()) <= 256
+    groups = len({s >> 32 for s in fill})
+    assert groups > 20 and len(fill) <= -(-sum(fill.values()) // 256) + groups // 3
+
+
 def test_packed_pieces(spark):
     rng = random.Random(5)
     rows = [(i, " ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 8))) for _ in range(rng.randint(0, 120)))) for i in range(300)]
