@@ -3,7 +3,7 @@
 Documents longer than a sequence are cut into full pieces and a rest. Pieces
 are dealt by a hash into groups, whose number follows from the bytes of all
 texts; each group is packed on its own, so the work is spread evenly whatever
-the sizes of documents. The emptiest bin of each group is packed once more with
+the sizes of documents; rows that repeat often are dealt one by one. The emptiest bin of each group is packed once more with
 those of other groups, again in groups of bounded size.
 
 In a group, best-fit decreasing gives the first bins. The local search then
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ from brookmill.llm.tokens import word_ids
 
 #: Bytes of text to a packing group.
 GROUP_BYTES = 32_000_000
+#: Rows that repeat are dealt singly where they fill more than this part of a group.
+PARTS = 8
 
 
 class Bins:
@@ -154,23 +157,57 @@ def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return where, offset
 
 
-def pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer_path: str | None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece; docs has doc_id and text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+def content():
+    """A hash of a row's id and text."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
+def repeated(docs: DataFrame, group_bytes: int) -> set[int]:
+    """content() of the rows that repeat so often that together they fill a good part of a group.
+
+    At most PARTS of them for each group come to the driver.
+    """
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    rows = docs.select(content().alias("row"), size.alias("size")).groupBy("row").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    return {r["row"] for r in rows.where((F.col("n") > 1) & (F.col("size") * PARTS > group_bytes)).select("row").collect()}
+
+
+class Turns:
+    """Tells the rows of a task that repeat from each other; 0 for all other rows.
+
+    A row's number depends on its task and on how many of its like came before,
+    so a rerun gives the same numbers whatever the order of the task's rows.
+    """
+
+    def __init__(self, repeated: set[int]):
+        self.count = dict.fromkeys(repeated, 0)
+        self.first = TaskContext.get().partitionId() << 32
+
+    def of(self, row: int) -> int:
+        if row not in self.count:
+            return 0
+        self.count[row] += 1
+        return self.first + self.count[row]
+
+
+def pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer_path: str | None, often: set[int] = frozenset()) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, turn of every piece; docs has doc_id and text, often is of repeated()."""
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("turn", pa.int64())])
 
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = word_ids(tokenizer_path), np.array([end_id], dtype="<u4")
+        ids_of, end, turns = word_ids(tokenizer_path), np.array([end_id], dtype="<u4"), Turns(often)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            for doc_id, text, row in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("row").to_pylist()):
+                turn = turns.of(row)
                 ids = np.concatenate([ids_of(text.as_py() or ""), end])
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
-                    rows.append((doc_id, k, start, len(part), zlib.crc32(part.tobytes())))
-            columns = zip(*rows) if rows else [[]] * 5
+                    rows.append((doc_id, k, start, len(part), zlib.crc32(part.tobytes()), turn))
+            columns = zip(*rows) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(tokenized, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text", content().alias("row")).mapInArrow(tokenized, "doc_id long, piece int, start long, length long, ids_crc32 long, turn long")
 
 
 def group_count(docs: DataFrame, group_bytes: int) -> int:
@@ -182,7 +219,8 @@ def group_count(docs: DataFrame, group_bytes: int) -> int:
 def packed(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer_path: str | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Every piece of docs with its sequence and its offset there."""
     groups = group_count(docs, group_bytes)
-    dealt = pieces(docs, capacity, end_id, tokenizer_path).withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = pieces(docs, capacity, end_id, tokenizer_path, repeated(docs, group_bytes) if groups > 1 else set())
+    dealt = dealt.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "turn"), F.lit(groups))).drop("turn")
 
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 

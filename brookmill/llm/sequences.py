@@ -2,8 +2,8 @@
 
 Texts become ids of a byte-level tokenizer, with an end id after each; ids of a
 document that is longer than a sequence are cut into full pieces and a rest, so
-nothing is lost. Pieces are dealt by a hash into groups of a bounded size, and
-each group is packed on its own: pieces in descending length go to the sequence
+nothing is lost. Pieces are dealt by a hash into groups of a bounded size, rows
+that repeat often one by one, and each group is packed on its own: pieces in descending length go to the sequence
 with the least room that still holds them, which a segment tree over the
 possible rooms finds in log(capacity) steps.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brookmill.llm.packing import group_count
+from brookmill.llm.packing import Turns, content, group_count, repeated
 from brookmill.llm.tokens import byte_encoding, byte_ids
 
 CAPACITY = 4096
@@ -91,31 +91,33 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return sequences
 
 
-def pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer_path: str | None) -> DataFrame:
-    """doc_id, piece, start, ids (little-endian unsigned 16-bit) of every piece."""
+def pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer_path: str | None, often: set[int] = frozenset()) -> DataFrame:
+    """doc_id, piece, start, ids (little-endian unsigned 16-bit), turn of every piece; often is of packing's repeated()."""
     if end_id >= 1 << 16 or capacity >= 1 << 16:
         raise ValueError("ids and positions must fit 16 bits")
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("ids", pa.binary()), ("turn", pa.int64())])
 
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = byte_ids(tokenizer_path)
+        ids_of, turns = byte_ids(tokenizer_path), Turns(often)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            for doc_id, text, row in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("row").to_pylist()):
+                turn = turns.of(row)
                 ids = array("H", ids_of(text.as_py() or ""))
                 ids.append(end_id)
                 if sys.byteorder == "big":
                     ids.byteswap()
-                rows += [(doc_id, k, at, ids[at : at + capacity].tobytes()) for k, at in enumerate(range(0, len(ids), capacity))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, schema.types)], schema=schema)
+                rows += [(doc_id, k, at, ids[at : at + capacity].tobytes(), turn) for k, at in enumerate(range(0, len(ids), capacity))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, schema.types)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(tokenized, "doc_id long, piece int, start long, ids binary")
+    return docs.select("doc_id", "text", content().alias("row")).mapInArrow(tokenized, "doc_id long, piece int, start long, ids binary, turn long")
 
 
 def sequences(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer_path: str | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row per packed sequence; see SEQUENCE for the columns."""
     groups = group_count(docs, group_bytes)
-    dealt = pieces(docs, capacity, end_id, tokenizer_path).withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(groups)))
+    dealt = pieces(docs, capacity, end_id, tokenizer_path, repeated(docs, group_bytes) if groups > 1 else set())
+    dealt = dealt.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids", "turn"), F.lit(groups))).drop("turn")
     names = [c.split()[0] for c in SEQUENCE.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
     schema = pa.schema(list(zip(names, kinds)))

@@ -2,7 +2,7 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -100,3 +100,14 @@ def test_packed_pieces(spark):
 
 def test_empty_table(spark):
     assert packed(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_repeated_rows_are_dealt_to_all_groups(spark):
+    rows = [(i, f"text number {i}") for i in range(400)] + [(None, "")] * 1000 + [(7, "again and again")] * 1000
+    got = packed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), capacity=64, group_bytes=3000).collect()
+    assert len(got) == len(rows)
+    rows_in, tokens_in = Counter(), Counter()
+    for r in got:
+        rows_in[r.sequence_id >> 32] += 1
+        tokens_in[r.sequence_id >> 32] += r.length
+    assert max(rows_in.values()) < 600 and max(tokens_in.values()) < 1000

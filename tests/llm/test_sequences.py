@@ -60,3 +60,13 @@ def test_odd_rows(spark):
     got = sequences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter(d for r in got for d in r.doc_ids) == Counter({1: 2, None: 2})
     assert sequences(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_repeated_rows_are_dealt_to_all_groups(spark):
+    rows = [(i, f"text number {i}") for i in range(400)] + [(None, "")] * 1000 + [(7, "again and again")] * 1000
+    got = sequences(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), capacity=64, group_bytes=3000).collect()
+    for doc_id, n in ((None, 1000), (7, 1001)):
+        groups = Counter()
+        for r in got:
+            groups[r.sequence_id >> 32] += r.doc_ids.count(doc_id)
+        assert sum(groups.values()) == n and max(groups.values()) < 250
