@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from brookmill.functions.columns import day, moment, money, revenue
+from brookmill.functions.columns import day, exact, mean, moment, money, revenue
 from brookmill.operators.groups import distinct_by_parts, sessions, top_per_group
 from brookmill.operators.joins import asof_join, range_join, salted_join
 from brookmill.sources.tables import table
@@ -35,24 +35,24 @@ def ntz(text: str):
 
 
 @query("""
-SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty,
-       round(sum(l_extendedprice), 2) AS sum_base_price,
-       round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
-       round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
+SELECT l_returnflag, l_linestatus, sum(l_quantity::DECIMAL(12,2))::DOUBLE AS sum_qty,
+       sum(l_extendedprice::DECIMAL(12,2))::DOUBLE AS sum_base_price,
+       round(sum(l_extendedprice::DECIMAL(12,2) * (1 - l_discount::DECIMAL(4,2))), 2)::DOUBLE AS sum_disc_price,
+       ((20000 * sum(round(l_discount * 100)::BIGINT) + count(l_discount)) // (2 * count(l_discount))) / 1000000.0::DOUBLE AS avg_disc, count(*) AS count_order
 FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
 def pricing_summary(read, spark, folder):
     """Sums and means of line items by return flag and status."""
     return read("lineitem").where(F.col("l_shipdate") <= ntz("1998-09-02")).groupBy("l_returnflag", "l_linestatus").agg(
-        money(F.sum("l_quantity")).alias("sum_qty"),
-        money(F.sum("l_extendedprice")).alias("sum_base_price"),
+        money(F.sum(exact("l_quantity"))).alias("sum_qty"),
+        money(F.sum(exact("l_extendedprice"))).alias("sum_base_price"),
         money(F.sum(revenue())).alias("sum_disc_price"),
-        money(F.avg("l_discount"), 6).alias("avg_disc"),
+        mean("l_discount", 6).alias("avg_disc"),
         F.count("*").alias("count_order"),
     )
 
 
 @query("""
-SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, round(sum(l_extendedprice::DECIMAL(12,2) * (1 - l_discount::DECIMAL(4,2))), 2)::DOUBLE AS revenue
 FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
 WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1998-03-15' AND l_shipdate > TIMESTAMP '1998-03-15'
 GROUP BY ALL ORDER BY revenue DESC, o_orderkey LIMIT 10""")
@@ -67,7 +67,7 @@ def unshipped_orders(read, spark, folder):
 
 
 @query("""
-SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+SELECT n_name, round(sum(l_extendedprice::DECIMAL(12,2) * (1 - l_discount::DECIMAL(4,2))), 2)::DOUBLE AS revenue
 FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
 JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 WHERE r_name = 'ASIA' GROUP BY n_name""")
@@ -81,12 +81,12 @@ def local_supplier_volume(read, spark, folder):
 
 
 @query("""
-SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem
+SELECT round(sum(l_extendedprice::DECIMAL(12,2) * l_discount::DECIMAL(4,2)), 2)::DOUBLE AS revenue FROM lineitem
 WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24""")
 def discount_revenue(read, spark, folder):
     """What certain discounts cost in a year."""
     rows = read("lineitem").where((F.col("l_shipdate") >= ntz("1996-01-01")) & (F.col("l_shipdate") < ntz("1997-01-01")) & F.col("l_discount").between(0.05, 0.07) & (F.col("l_quantity") < 24))
-    return rows.agg(money(F.sum(F.col("l_extendedprice") * F.col("l_discount"))).alias("revenue"))
+    return rows.agg(money(F.sum(exact("l_extendedprice") * exact("l_discount", 4))).alias("revenue"))
 
 
 @query("""
@@ -129,12 +129,12 @@ def nations_of_both(read, spark, folder):
 
 
 @query("""
-SELECT round(100.0 * sum(CASE WHEN p_type = 'PROMO' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 4) AS promo_share
+SELECT round(100.0::DOUBLE * sum(CASE WHEN p_type = 'PROMO' THEN l_extendedprice::DECIMAL(12,2) * (1 - l_discount::DECIMAL(4,2)) ELSE 0 END)::DOUBLE / sum(l_extendedprice::DECIMAL(12,2) * (1 - l_discount::DECIMAL(4,2)))::DOUBLE, 4) AS promo_share
 FROM lineitem JOIN part ON l_partkey = p_partkey""")
 def promo_share(read, spark, folder):
     """Share of revenue with a part type (conditional aggregation)."""
     joined = read("lineitem").join(read("part"), F.col("l_partkey") == F.col("p_partkey"))
-    return joined.agg(F.round(100.0 * F.sum(F.when(F.col("p_type") == "PROMO", revenue()).otherwise(0)) / F.sum(revenue()), 4).alias("promo_share"))
+    return joined.agg(F.round(100.0 * F.sum(F.when(F.col("p_type") == "PROMO", revenue()).otherwise(0)).cast("double") / F.sum(revenue()).cast("double"), 4).alias("promo_share"))
 
 
 @query("""
@@ -147,20 +147,22 @@ def large_orders(read, spark, folder):
 
 
 @query("""
-SELECT p_partkey, p_brand, p_retailprice FROM part p WHERE p_retailprice > (SELECT avg(p_retailprice) + 40 FROM part WHERE p_brand = p.p_brand)""")
+SELECT p_partkey, p_brand, p_retailprice FROM part p
+WHERE (SELECT count(*) * (p.p_retailprice::DECIMAL(12,2) - 40) > sum(p_retailprice::DECIMAL(12,2)) FROM part WHERE p_brand = p.p_brand)""")
 def dear_parts(read, spark, folder):
     """Parts well above their brand's mean (correlated subquery as aggregate and join)."""
-    means = read("part").groupBy("p_brand").agg((F.avg("p_retailprice") + 40).alias("least"))
-    return read("part").join(means, "p_brand").where("p_retailprice > least").select("p_partkey", "p_brand", "p_retailprice")
+    brands = read("part").groupBy("p_brand").agg(F.sum(exact("p_retailprice")).alias("total"), F.count("*").alias("n"))
+    above = F.col("n") * (exact("p_retailprice") - 40) > F.col("total")
+    return read("part").join(brands, "p_brand").where(above).select("p_partkey", "p_brand", "p_retailprice")
 
 
 @query("""
-SELECT r_name, n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance
+SELECT r_name, n_name, count(*) AS customers, sum(c_acctbal::DECIMAL(12,2))::DOUBLE AS balance
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)""")
 def balance_rollup(read, spark, folder):
     """Customers and balances by region and nation with totals."""
     joined = read("customer").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return joined.rollup("r_name", "n_name").agg(F.count("*").alias("customers"), money(F.sum("c_acctbal")).alias("balance"))
+    return joined.rollup("r_name", "n_name").agg(F.count("*").alias("customers"), money(F.sum(exact("c_acctbal"))).alias("balance"))
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
@@ -178,12 +180,12 @@ def parts_grouping_sets(read, spark, folder):
 
 @query("""
 SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderdate) AS days, min(o_totalprice) AS lowest, max(o_totalprice) AS highest,
-       round(stddev_samp(o_totalprice), 2) AS deviation, round(quantile_cont(o_totalprice, 0.5), 2) AS median FROM orders GROUP BY ALL""")
+       round(stddev_samp(o_totalprice), 2) AS deviation, round(quantile_cont(o_totalprice, 0.5), 4) AS median FROM orders GROUP BY ALL""")
 def order_statistics(read, spark, folder):
     """Distinct counts, extremes, deviation and exact median."""
     return read("orders").groupBy("o_orderpriority").agg(
         F.count_distinct("o_custkey").alias("customers"), F.count_distinct("o_orderdate").alias("days"), F.min("o_totalprice").alias("lowest"), F.max("o_totalprice").alias("highest"),
-        F.round(F.stddev_samp("o_totalprice"), 2).alias("deviation"), F.round(F.percentile("o_totalprice", 0.5), 2).alias("median"))
+        F.round(F.stddev_samp("o_totalprice"), 2).alias("deviation"), F.round(F.percentile("o_totalprice", 0.5), 4).alias("median"))
 
 
 @query("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
@@ -201,15 +203,15 @@ def top_orders(read, spark, folder):
 
 
 @query("""
-SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER w, 2) AS running, round(sum(o_totalprice) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving,
-       rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS by_priority, ntile(4) OVER w AS quarter, round(percent_rank() OVER w, 6) AS part
+SELECT o_custkey, o_orderkey, (sum(o_totalprice::DECIMAL(12,2)) OVER w)::DOUBLE AS running, (sum(o_totalprice::DECIMAL(12,2)) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))::DOUBLE AS moving,
+       rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS by_priority, ntile(4) OVER w AS quarter, percent_rank() OVER w AS part
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
 def order_windows(read, spark, folder):
     """Running sum, moving sum, rank, quartile and relative rank of a customer's orders."""
     w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return read("orders").select(
-        "o_custkey", "o_orderkey", F.round(F.sum("o_totalprice").over(w), 2).alias("running"), F.round(F.sum("o_totalprice").over(w.rowsBetween(-2, 0)), 2).alias("moving"),
-        F.rank().over(W.partitionBy("o_custkey").orderBy("o_orderpriority")).alias("by_priority"), F.ntile(4).over(w).alias("quarter"), F.round(F.percent_rank().over(w), 6).alias("part"))
+        "o_custkey", "o_orderkey", money(F.sum(exact("o_totalprice")).over(w)).alias("running"), money(F.sum(exact("o_totalprice")).over(w.rowsBetween(-2, 0))).alias("moving"),
+        F.rank().over(W.partitionBy("o_custkey").orderBy("o_orderpriority")).alias("by_priority"), F.ntile(4).over(w).alias("quarter"), F.percent_rank().over(w).alias("part"))
 
 
 @query("""
@@ -251,10 +253,10 @@ def supplier_unpivot(read, spark, folder):
     return s.unpivot("s_suppkey", ["balance", "nation"], "measure", "value")
 
 
-@query("SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+@query("SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n, sum(value::DECIMAL(12,2))::DOUBLE AS total FROM events GROUP BY ALL")
 def event_properties(read, spark, folder):
     """Events by a field of a JSON column."""
-    return read("events").groupBy("event_type", F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"), money(F.sum("value")).alias("total"))
+    return read("events").groupBy("event_type", F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"), money(F.sum(exact("value"))).alias("total"))
 
 
 @query("""
@@ -284,9 +286,9 @@ def user_sessions(read, spark, folder):
 
 
 @query("""
-SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS began, event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY ALL""")
+SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS began, event_type, count(*) AS n, ((200 * sum(round(value * 100)::BIGINT) + count(value)) // (2 * count(value))) / 10000.0::DOUBLE AS mean FROM events GROUP BY ALL""")
 def tumbling_windows(read, spark, folder):
-    rows = read("events").groupBy(F.window("ts", "6 hours"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    rows = read("events").groupBy(F.window("ts", "6 hours"), "event_type").agg(F.count("*").alias("n"), mean("value", 4).alias("mean"))
     return rows.select(moment("window.start").alias("began"), "event_type", "n", "mean")
 
 
@@ -315,11 +317,11 @@ def like_balances(read, spark, folder):
     return range_join(read("customer").select("c_custkey", "c_acctbal"), read("supplier").select("s_suppkey", "s_acctbal"), F.col("c_acctbal"), low, high, 5.0).select("c_custkey", "s_suppkey")
 
 
-@query("SELECT p_type, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type")
+@query("SELECT p_type, count(*) AS n, sum(l_quantity::DECIMAL(12,2))::DOUBLE AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type")
 def quantity_by_type(read, spark, folder):
     """A join whose keys may be very uneven (salted)."""
     items, parts = read("lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity"), read("part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
-    return salted_join(items, parts, ["l_partkey"], 8).groupBy("p_type").agg(F.count("*").alias("n"), money(F.sum("l_quantity")).alias("quantity"))
+    return salted_join(items, parts, ["l_partkey"], 8).groupBy("p_type").agg(F.count("*").alias("n"), money(F.sum(exact("l_quantity"))).alias("quantity"))
 
 
 @query("SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS began, event_type, count(*) AS n FROM events GROUP BY ALL")
