@@ -2,30 +2,55 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from brookmill.operators.groups import cut
+
+#: Most bytes of a table that a join may broadcast.
+BROADCAST_BYTES = 64_000_000
+
+
+def size_in_bytes(df: DataFrame) -> int:
+    """About how many bytes the rows of a table take: lengths of strings and of what is nested, 8 for all else, 16 a value besides."""
+    long = lambda f: F.octet_length(F.col(f.name) if f.dataType.typeName() in ("string", "binary") else F.to_json(F.struct(F.col(f.name))))
+    sized = [F.coalesce(long(f), F.lit(0)) + 16 if f.dataType.typeName() in ("string", "binary", "array", "map", "struct") else F.lit(24) for f in df.schema.fields]
+    return df.agg(F.sum(functools.reduce(lambda a, b: a + b, sized, F.lit(16)).cast("long"))).first()[0] or 0
+
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: dict[str, str], tie: str | None = None) -> DataFrame:
+def asof_join(
+    left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: dict[str, str], tie: str | None = None, pieces: int | None = None,
+) -> DataFrame:
     """Each row of left with `values` (right column: new name) of the latest row of
     right with equal `by` columns and a time before or at its own; nulls if none.
 
-    Both sides are united and looked at in time order, one shuffle on `by` in
-    all. Of right rows of one time the greatest `tie` counts. Rows with a null
-    time or key find nothing.
+    Both sides are united and looked at in time order, by `by` columns and piece
+    of time; the last row of the pieces before is carried into each piece. So a
+    key with most rows is spread over as many tasks as there are pieces: one for
+    each PIECE_ROWS rows, cut at quantiles of all times. Of right rows of one
+    time the greatest `tie` counts. Rows with a null time or key find nothing
+    and do not take part.
     """
+    usable = lambda df, time: functools.reduce(lambda x, c: x & F.col(c).isNotNull(), by, F.col(time).isNotNull())
     order = F.struct(F.col(right_time).alias("time"), F.col(tie or right_time).alias("tie"))
-    found = F.struct(*[F.col(c).alias(name) for c, name in values.items()]).alias("asof_found")
-    theirs = right.where(F.col(right_time).isNotNull()).select(*by, F.col(right_time).alias("asof_time"), F.struct(order, found).alias("asof_right"), F.lit(None).alias("asof_left"))
-    ours = left.select(*by, F.col(left_time).alias("asof_time"), F.lit(None).alias("asof_right"), F.struct(*left.columns).alias("asof_left"))
-    earlier = W.partitionBy(*by).orderBy("asof_time").rangeBetween(W.unboundedPreceding, W.currentRow)
-    known = F.max_by(F.col("asof_right.asof_found"), F.col("asof_right.col1")).over(earlier)
-    rows = theirs.unionByName(ours).withColumn("asof_known", known).where(F.col("asof_left").isNotNull())
-    usable = F.col("asof_time").isNotNull()
-    for c in by:
-        usable = usable & F.col(c).isNotNull()
-    return rows.select("asof_left.*", *[F.when(usable, F.col(f"asof_known.{name}")).alias(name) for name in values.values()])
+    found = F.struct(*[F.col(c).alias(name) for c, name in values.items()]).alias("found")
+    theirs = right.where(usable(right, right_time)).select(*by, F.col(right_time).alias("asof_time"), F.struct(order.alias("order"), found).alias("asof_right"), F.lit(None).alias("asof_left"))
+    ours = left.where(usable(left, left_time)).select(*by, F.col(left_time).alias("asof_time"), F.lit(None).alias("asof_right"), F.struct(*left.columns).alias("asof_left"))
+    alone = left.where(~F.coalesce(usable(left, left_time), F.lit(False)))
+    rows, pieces = cut(theirs.unionByName(ours), "asof_time", pieces)
+    latest = lambda over: F.max_by(F.col("asof_right"), F.col("asof_right.order")).over(over)
+    within = W.partitionBy(*by, "piece").orderBy("asof_time").rangeBetween(W.unboundedPreceding, W.currentRow)
+    known = rows.withColumn("asof_known", latest(within)).where(F.col("asof_left").isNotNull())
+    if pieces > 1:
+        ends = rows.groupBy(*by, "piece").agg(F.max_by("asof_right", "asof_right.order").alias("asof_right"))
+        carried = ends.select(*by, "piece", latest(W.partitionBy(*by).orderBy("piece").rowsBetween(W.unboundedPreceding, -1)).alias("asof_carried"))
+        known = known.join(carried, [*by, "piece"]).withColumn("asof_known", F.coalesce("asof_known", "asof_carried"))
+    out = known.select("asof_left.*", *[F.col(f"asof_known.found.{name}").alias(name) for name in values.values()])
+    kinds = {name: right.schema[c].dataType for c, name in values.items()}
+    return out.unionByName(alone.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()]))
 
 
 def range_join(points: DataFrame, ranges: DataFrame, at: Column, low: Column, high: Column, width: float) -> DataFrame:
@@ -40,9 +65,9 @@ def range_join(points: DataFrame, ranges: DataFrame, at: Column, low: Column, hi
     return points.withColumn("range_cell", cell(at)).join(dealt, "range_cell").where((at >= low) & (at <= high)).drop("range_cell")
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: list[str], salts: int) -> DataFrame:
-    """Inner join with keys that hold very many rows of big: each key of big is
-    dealt over `salts` parts, and small's rows are copied to all of them."""
-    part = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
-    copies = small.withColumn("join_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("join_salt", part).join(copies, [*on, "join_salt"]).drop("join_salt")
+def uneven_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A join whose keys may hold very many rows of big: small is broadcast where
+    its rows take at most `most_bytes`; beyond that both sides are shuffled, and
+    Spark splits the partitions of hot keys (adaptive skew joins), equal rows
+    included. small is read once to be measured, so it should be a table."""
+    return big.join(F.broadcast(small) if size_in_bytes(small) <= most_bytes else small, on, how)

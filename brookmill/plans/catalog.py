@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from brookmill.functions.columns import day, exact, mean, moment, money, revenue
 from brookmill.operators.groups import distinct_by_parts, sessions, top_per_group
-from brookmill.operators.joins import asof_join, range_join, salted_join
+from brookmill.operators.joins import asof_join, range_join, uneven_join
 from brookmill.sources.tables import table
 from brookmill.streaming.windows import counts_by_window, events, run_all, without_repeats
 
@@ -319,9 +319,9 @@ def like_balances(read, spark, folder):
 
 @query("SELECT p_type, count(*) AS n, sum(l_quantity::DECIMAL(12,2))::DOUBLE AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type")
 def quantity_by_type(read, spark, folder):
-    """A join whose keys may be very uneven (salted)."""
-    items, parts = read("lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity"), read("part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
-    return salted_join(items, parts, ["l_partkey"], 8).groupBy("p_type").agg(F.count("*").alias("n"), money(F.sum(exact("l_quantity"))).alias("quantity"))
+    """A join whose keys may be very uneven."""
+    items, parts = read("lineitem").select("l_partkey", "l_quantity"), read("part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    return uneven_join(items, parts, ["l_partkey"]).groupBy("p_type").agg(F.count("*").alias("n"), money(F.sum(exact("l_quantity"))).alias("quantity"))
 
 
 @query("SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS began, event_type, count(*) AS n FROM events GROUP BY ALL")

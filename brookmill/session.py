@@ -23,15 +23,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
 
 
+#: Folders of our own, by application, where the session names none.
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where none is set.
+    """The folder that spark.checkpoint.dir names, which all machines share.
 
-    A local master gets a temporary folder, any other master a folder in the
-    warehouse, which all executors share.
+    Where it is not set, a session on this machine alone gets a temporary
+    folder, the same for all its queries; on a cluster it has to be set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-        folder = tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or "cluster" in context.master:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
+    return _own_folders[context.applicationId]

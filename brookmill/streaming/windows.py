@@ -31,15 +31,20 @@ def run_all(result: DataFrame, mode: str, key: list[str]) -> DataFrame:
     """Run a stream over all that is there now, and return its table: for each key what the last batch said.
 
     Each batch is written to a folder of its own, so a batch that is run again replaces what it wrote.
+    A stream without a batch gives an empty table.
     """
     spark = result.sparkSession
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    batches = []
 
     def keep(batch: DataFrame, number: int) -> None:
+        batches.append(number)
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
     query = result.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
+    if not batches:
+        return spark.createDataFrame([], result.schema)
     table = spark.read.schema(T.StructType([*result.schema.fields, T.StructField("batch", T.IntegerType())])).option("basePath", f"{folder}/out").parquet(f"{folder}/out")
     last = F.max_by(F.struct(*result.columns), "batch").alias("last")
     return table.groupBy(*key).agg(last).select("last.*")

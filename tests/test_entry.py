@@ -30,3 +30,32 @@ print("ROWS", known[name](spark, "/root/testdata/sf0.001").count())
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS" in done.stdout, done.stderr[-2000:]
+
+
+def test_sessions_without_a_checkpoint_folder(tmp_path):
+    """A session on this machine gets a folder of its own, one on several executors an error that says what to do."""
+    code = f"""
+import sys; sys.path.insert(0, {str(REPO)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master(sys.argv[1]).config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").getOrCreate()
+from brookmill.session import shared_folder
+import __spark_entry__
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+if "cluster" in sys.argv[1]:
+    try:
+        shared_folder(spark)
+    except ValueError as e:
+        print("SAYS", e)
+else:
+    assert shared_folder(spark) == shared_folder(spark)
+    known = __spark_entry__.queries()
+    for name in ("stream_daily_counts", "op5_mixing"):
+        if name in known:
+            print("ROWS", known[name](spark, "/root/testdata/sf0.001").count())
+"""
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "TMPDIR": str(tmp_path)}
+    run = lambda master: subprocess.run([sys.executable, "-c", code, master], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    done = run("local[2]")
+    assert "ROWS" in done.stdout and done.returncode == 0, done.stderr[-2000:]
+    done = run("local-cluster[1,1,1024]")
+    assert "SAYS set spark.checkpoint.dir" in done.stdout, done.stderr[-2000:]

@@ -8,20 +8,22 @@ import pytest
 from pyspark.sql import functions as F
 
 from brookmill.operators.groups import distinct_by_parts, sessions, top_per_group
-from brookmill.operators.joins import asof_join, range_join, salted_join
+from brookmill.operators.joins import asof_join, range_join, size_in_bytes, uneven_join
 from brookmill.sources import files
 from brookmill.streaming.windows import counts_by_window, run_all, without_repeats
 
 
-def test_asof_join(spark):
+@pytest.mark.parametrize("pieces", [None, 4, 50])
+def test_asof_join(spark, pieces):
     rng = random.Random(1)
-    left = [(i, rng.choice([1, 2, None]), rng.choice([None, *range(20)])) for i in range(60)]
-    right = [(100 + i, rng.choice([1, 2, None]), rng.choice([None, *range(20)])) for i in range(40)]
-    got = asof_join(spark.createDataFrame(left, "id int, k int, t int"), spark.createDataFrame(right, "rid int, k int, u int"), ["k"], "t", "u", {"rid": "found"}, "rid")
+    left = [(i, rng.choice([1, 1, 1, 2, None]), rng.choice([None, *range(20)])) for i in range(60)]
+    right = [(100 + i, rng.choice([1, 1, 1, 2, None]), rng.choice([None, *range(20)])) for i in range(40)]
+    got = asof_join(spark.createDataFrame(left, "id int, k int, t int"), spark.createDataFrame(right, "rid int, k int, u int"), ["k"], "t", "u", {"rid": "found"}, "rid", pieces)
+    want = []
     for i, k, t in left:
         fits = [(u, r) for r, j, u in right if None not in (k, t, u) and j == k and u <= t]
-        assert (i, k, t, max(fits)[1] if fits else None) in [tuple(r) for r in got.collect()]
-    assert got.count() == len(left)
+        want.append((i, k, t, max(fits)[1] if fits else None))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
 
 
 def test_range_join(spark):
@@ -32,15 +34,36 @@ def test_range_join(spark):
     assert sorted((r.p, r.r) for r in got.collect()) == sorted((p, r) for p, x in points for r, a, b in ranges if x is not None and a <= x <= b)
 
 
-def test_salted_join_and_distinct(spark):
+def test_uneven_join_and_distinct(spark):
     big = spark.createDataFrame([(1 if i % 3 else i, i % 7) for i in range(500)], "k int, v int")
     small = spark.createDataFrame([(1, "a"), (1, "b"), (6, "c")], "k int, w string")
-    want = big.join(small, "k")
-    got = salted_join(big, small, ["k"], 4)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    want = sorted(map(tuple, big.join(small, "k").collect()))
+    for most in (0, 10_000):
+        got = uneven_join(big, small, ["k"], most_bytes=most)
+        assert sorted(map(tuple, got.collect())) == want
+        assert ("strategy=broadcast" in got._jdf.queryExecution().logical().toString()) == bool(most)
+    assert 3 * 30 < size_in_bytes(small) < 3 * 80 and size_in_bytes(small.withColumn("a", F.array(F.lit("x" * 1000)))) > 3000
     assert {r.k: r.n for r in distinct_by_parts(big, ["k"], "v", "n").where("k = 1").collect()} == {1: 7}
 
 
+@pytest.mark.parametrize("pieces", [None, 5, 40])
+def test_sessions_by_pieces(spark, pieces):
+    """Nine of ten rows are one user's."""
+    rng = random.Random(3)
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [("hot" if i % 10 else rng.choice(["a", "b", None]), rng.choice([None] + [at(rng.randrange(3000))] * 9)) for i in range(400)]
+    got = sessions(spark.createDataFrame(rows, "u string, ts timestamp"), ["u"], "ts", 12, pieces=pieces)
+    want = []
+    for user in {u for u, _ in rows}:
+        number, last = 0, None
+        for t in sorted(t for u, t in rows if u == user and t is not None):
+            number += last is None or (t - last).total_seconds() > 12
+            want.append((user, t, number if user else None))
+            last = t
+        want += [(user, None, None) for u, t in rows if u == user and t is None]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_groups(spark):
     at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
     df = spark.createDataFrame([("a", at(0)), ("a", at(10)), ("a", at(21)), ("a", at(21)), ("b", at(5))], "u string, ts timestamp")
@@ -48,9 +71,13 @@ def test_groups(spark):
     assert sorted(r.ts for r in top_per_group(df, ["u"], [F.desc("ts")], 1).collect()) == [at(5), at(21)]
 
 
-@pytest.mark.parametrize("kind", ["parquet", "orc", "json", "csv"])
+@pytest.mark.parametrize("kind", ["parquet", "orc", "json", "csv", "text"])
 def test_files(spark, tmp_path, kind):
     df = spark.createDataFrame([(i, f"x{i}", i % 2) for i in range(20)], "a int, b string, p int")
+    if kind == "text":
+        files.write(df.select("b"), f"{tmp_path}/t", kind)
+        assert sorted(r.value for r in files.read(spark, f"{tmp_path}/t", kind).collect()) == sorted(r.b for r in df.collect())
+        return
     files.write(df, f"{tmp_path}/t", kind, ["p"])
     back = files.read(spark, f"{tmp_path}/t", kind, "a int, b string, p int")
     assert sorted(map(tuple, back.select("a", "b", "p").collect())) == sorted(map(tuple, df.collect()))
@@ -70,3 +97,10 @@ def test_late_rows_and_repeats_in_a_stream(spark, tmp_path):
     assert counts[at(24)] == 3 and counts[at(72)] == 1 and counts[at(0)] == 1  # the row of hour 2 came too late
     once = run_all(without_repeats(stream(), "ts", "48 hours", ["id"]), "append", ["id"])
     assert sorted(r.id for r in once.collect()) == [1, 2, 3, 4, 5]
+
+
+def test_a_stream_without_rows(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    stream = spark.readStream.schema("ts timestamp, id int").parquet(f"{tmp_path}/none")
+    got = run_all(counts_by_window(stream, "ts", "1 day", "3 hours", []), "update", ["window"])
+    assert got.columns == ["window", "n"] and got.collect() == []
