@@ -41,7 +41,7 @@ def connected(links: DataFrame) -> DataFrame:
         following = written(small.distinct(), "edges")
         new = _state(following)
         for done in (edges, low, large, least):
-            discard(done)
+            discard(done)  # at once: rounds may be many
         edges, same, state = following, new == state, new
         if same:
             break

@@ -70,7 +70,7 @@ def with_copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repea
     joined = join_checked(
         sized.drop("mix_source_size", "mix_target", "mix_copies").withColumn("mix_key", key(F.col("source"))),
         targets.select(key(F.col("source")).alias("mix_key"), "mix_source_size", "mix_target"),
-        ["mix_key"], "left", rows=targets.count(),
+        ["mix_key"], "left",
     )
     rate = F.least(F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(0.0), F.lit(float(max_repeat)))
     extra = (coin(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")

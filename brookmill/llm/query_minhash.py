@@ -10,4 +10,4 @@ from brookmill.sources.tables import table
 
 def op1_minhash(spark, folder):
     found = near_classes(table(spark, folder, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return found.select("doc_id", "class_id", "class_size", "class_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))

@@ -165,7 +165,7 @@ def judged(
     docs = docs.drop(*[c for c in docs.columns if c.startswith(("rule_", "ref_"))])
     refs = written(references(docs, min_share, min_reference_words), "rule-references")
     most = int(1 / min_share) + 1
-    out = join_checked(docs.withColumn("rule_lang", language_key(F.col("lang"))), refs, ["rule_lang"], "left", most=10_000)
+    out = join_checked(docs.withColumn("rule_lang", language_key(F.col("lang"))), refs, ["rule_lang"], "left")
     out = measured(out, most)
     classes = F.array(*[F.col(f"rule_{k}") / F.col("rule_chars") for k in KINDS])
     ref_all = F.concat(F.col("ref_shares"), F.array(F.greatest(F.lit(1.0) - F.aggregate("ref_shares", F.lit(0.0), lambda a, x: a + x), F.lit(0.0))))

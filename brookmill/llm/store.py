@@ -1,17 +1,52 @@
-"""Written intermediate tables and joins with a checked size."""
+"""Written intermediate tables, their removal, and joins with a checked size."""
 
 from __future__ import annotations
 
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brookmill.operators.joins import size_in_bytes
 from brookmill.session import shared_folder
 
-#: Most rows (of a few dozen bytes each) that a join may broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Most bytes of rows that a join may broadcast; a query has three such joins at a time at most.
+BROADCAST_BYTES = 32_000_000
+_open = threading.local()
+
+
+class Passing:
+    """The tables written within a scope, and those of them that outlive it."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+        self.kept: set[str] = set()
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Leave these written tables to the scope around this one."""
+        self.kept |= {t._written_path for t in tables}
+
+
+@contextmanager
+def passing() -> Iterator[Passing]:
+    """Tables that written() makes within are removed at the end, but for those kept.
+
+    What is returned from within must read kept tables only.
+    """
+    scopes = _open.__dict__.setdefault("scopes", [])
+    scopes.append(Passing())
+    try:
+        yield scopes[-1]
+    finally:
+        scope = scopes.pop()
+        for t in scope.made:
+            if t._written_path not in scope.kept:
+                discard(t)
+            elif scopes:
+                scopes[-1].made.append(t)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -22,6 +57,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._written_path = path
+    if scopes := _open.__dict__.get("scopes"):
+        scopes[-1].made.append(back)
     return back
 
 
@@ -33,14 +70,12 @@ def discard(df: DataFrame) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a narrow side: broadcast up to `most` rows, shuffled beyond.
+def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join with a side that is broadcast where its rows take at most most_bytes, shuffled beyond.
 
-    `rows` is the side's row count where it is known; else it is counted, so
-    the side should be a written table.
+    The side is read to be measured, so it should be a written table.
     """
-    n = small.count() if rows is None else rows
-    return big.join(F.broadcast(small) if n <= most else small, on, how)
+    return big.join(F.broadcast(small) if size_in_bytes(small) <= most_bytes else small, on, how)
 
 
 def set_apart(docs: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
