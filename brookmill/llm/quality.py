@@ -1,25 +1,27 @@
 """Quality classifier: naive Bayes support vectors.
 
-Features are the presence of words, of pairs of neighbouring words, and of steps
-of a few ratios over the whole text (length, capitals, punctuation, repetition),
-hashed into a fixed number of buckets. Over all labelled rows to be learned from,
-Spark counts each feature's documents by class; the logarithm of the ratio of
-the classes' shares scales the feature. On a bounded sample of these rows a
-linear model with hinge loss is fitted by dual coordinate descent, classes
-weighed equally. Its margins become probabilities by a logistic curve, which is
-fitted on margins that models fitted without the row give.
+Features are the presence of n-grams, hashed into a fixed number of buckets:
+words, pairs of neighbouring words (the text's ends count as words there), and
+patterns of four neighbouring words, which say only which of them are equal, so
+that repetition is seen in words never met before. Over all labelled rows to be
+learned from, Spark counts each feature's documents by class; the logarithm of
+the ratio of the classes' shares scales the feature. On a bounded sample of
+these rows a linear model with hinge loss is fitted by dual coordinate descent,
+classes weighed equally. Its margins become probabilities by a logistic curve,
+which is fitted on margins that models fitted without the row give.
 
 Nulls: a null text is an empty one; it has a score too, as has a text without
-words. Rows without a label or with a null id are not learned from; a row with
-several labels counts with the greatest. If only one class can be learned from,
-all scores are that class; if none, 0.5. Repeated rows are scored alike; an
-empty table gives an empty result. Columns of the input stay, a clashing
+words. Rows with a label other than 0 or 1 or with a null id are not learned
+from; a row with several labels counts with the greatest. If only one class can
+be learned from, all scores are that class; if none, 0.5. Repeated rows are
+counted as often as they come, stand in the sample once, and are scored alike;
+one id on many rows is many rows. Texts of any length are read whole. An empty
+table gives an empty result. Columns of the input stay, a clashing
 `quality_score` is replaced.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,50 +30,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brookmill.llm.textcode import MULTIPLIER, mixed_bits, shingle_codes, word_codes
+from brookmill.llm.textcode import MULTIPLIER, mixed_bits, seeded, shingle_codes, word_codes
 
 #: Buckets of features.
 BUCKETS = 1 << 18
-#: Most rows of each class that the model is fitted on.
-SAMPLE_ROWS = 4_000
+#: Most rows of each class, and most features of all rows, that the model is fitted on.
+SAMPLE_ROWS, SAMPLE_FEATURES = 4_000, 40_000_000
 #: Passes of coordinate descent, bound of the dual variables, smoothing of counts, folds for the logistic curve.
-PASSES, BOUND, SMOOTHING, FOLDS = 12, 0.1, 1.0, 3
-KINDS = {"word": 1, "pair": 2, "ratio": 3}
+PASSES, BOUND, SMOOTHING, FOLDS = 12, 0.5, 1.0, 3
+KINDS = {"word": 1, "pair": 2, "pattern": 3}
+#: Stand for the beginning and the end of a text.
+ENDS = seeded(2, 3)
+#: Words to a pattern.
+PATTERN = 4
 
 
 def _bucket(codes: np.ndarray, kind: str) -> np.ndarray:
     return (mixed_bits(codes * np.uint64(MULTIPLIER) + np.uint64(KINDS[kind])) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def ratios(text: str, words: np.ndarray) -> list[tuple[str, int]]:
-    """A few properties of a text as a whole, each in steps."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    n, w = max(len(raw), 1), max(len(words), 1)
-    table = np.bincount(raw, minlength=256) if len(raw) else np.zeros(256, np.int64)
-    part = lambda chars: int(table[list(chars)].sum())
-    twenty = lambda x: int(20 * x)
-    return [
-        ("words", int(2 * np.log2(w)) if len(words) else -1),
-        ("capitals", twenty(part(range(65, 91)) / n)),
-        ("digits", twenty(part(range(48, 58)) / n)),
-        ("stops", twenty(4 * part(b".,;:!?") / n)),
-        ("symbols", twenty(4 * part(b"#*$%&|<>~^=+_{}[]\\@") / n)),
-        ("lines", min(40, int(100 * table[10] / w))),
-        ("word size", min(40, int(2 * (n - part(range(9, 14)) - int(table[32])) / w))),
-        ("distinct", twenty(len(np.unique(words)) / w)),
-        ("same neighbours", twenty(float(np.mean(words[1:] == words[:-1])) if len(words) > 1 else 0)),
-        ("commonest", twenty(np.unique(words, return_counts=True)[1].max() / w if len(words) else 0)),
-        ("last byte", int(raw[-1]) if len(raw) else -1),
-    ]
+def patterns(words: np.ndarray) -> np.ndarray:
+    """For each place, a bit for each two of the PATTERN words from there on that are equal."""
+    n = len(words)
+    padded = np.concatenate([words, np.arange(PATTERN, dtype=np.uint64)])  # codes of no word
+    out, bit = np.zeros(n, np.uint64), 0
+    for i in range(PATTERN):
+        for j in range(i + 1, PATTERN):
+            out |= (padded[i : i + n] == padded[j : j + n]).astype(np.uint64) << np.uint64(bit)
+            bit += 1
+    return out
 
 
 def features(text: str) -> np.ndarray:
     """The sorted buckets of a text's features."""
     words = word_codes(text)
-    own = np.array([zlib.crc32(f"{name} {step}".encode()) for name, step in ratios(text, words)], np.uint64)
-    found = [_bucket(np.unique(words), "word"), _bucket(own, "ratio")]
-    if len(words) > 1:
-        found.append(_bucket(np.unique(shingle_codes(words, 2)), "pair"))
+    pairs = shingle_codes(np.concatenate([ENDS[:1], words, ENDS[1:]]), 2)
+    found = [_bucket(np.unique(words), "word"), _bucket(np.unique(pairs), "pair"), _bucket(np.unique(patterns(words)), "pattern")]
     return np.unique(np.concatenate(found))
 
 
@@ -111,7 +105,12 @@ def descend(rows: list[np.ndarray], signs: np.ndarray, scale: np.ndarray, seed:
 
 
 def margins(rows: list[np.ndarray], weights: np.ndarray, offset: float, scale: np.ndarray) -> np.ndarray:
-    return np.array([weights[r] @ scale[r] / max(np.linalg.norm(scale[r]), 1e-9) + offset for r in rows])
+    """The model's margin of each row, all rows at once; every text has a feature."""
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    found = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    values = scale[found]
+    lengths = np.sqrt(np.bincount(owner, values * values, len(rows)))
+    return np.bincount(owner, weights[found] * values, len(rows)) / np.maximum(lengths, 1e-9) + offset
 
 
 def logistic(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -134,24 +133,18 @@ class Model:
     def __init__(self, weights: np.ndarray | None, scale: np.ndarray | None, offset: float, slope: float, shift: float, fixed: float = 0.5):
         self.weights, self.scale, self.offset, self.slope, self.shift, self.fixed = weights, scale, offset, slope, shift, fixed
 
-    def score(self, text: str) -> float:
+    def scores(self, texts: list[str]) -> np.ndarray:
         if self.weights is None:
-            return self.fixed
-        margin = margins([features(text)], self.weights, self.offset, self.scale)[0]
-        return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30))))
+            return np.full(len(texts), self.fixed)
+        found: list[np.ndarray] = []
+        for at in range(0, len(texts), 64):
+            found.append(margins([features(t) for t in texts[at : at + 64]], self.weights, self.offset, self.scale))
+        margin = np.concatenate(found) if found else np.zeros(0)
+        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
-def learned(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """The model of rows (doc_id, text, label 0 or 1).
-
-    Counts by feature and class are over all rows and reach the driver as at
-    most BUCKETS numbers a class. The fit sees at most about sample_rows rows a
-    class, chosen by a hash of the id.
-    """
-    rows = rows.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    many = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    if set(many) != {0, 1}:
-        return Model(None, None, 0.0, 0.0, 0.0, float(next(iter(many))) if len(many) == 1 else 0.5)
+def counted(rows: DataFrame) -> np.ndarray:
+    """Documents by class and feature of rows (text, label 0 or 1): summed within tasks, then by Spark."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, BUCKETS), np.int64)
@@ -162,22 +155,49 @@ def learned(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(totals[label, bucket])], names=["label", "bucket", "n"])
 
     totals = np.zeros((2, BUCKETS))
-    for r in rows.mapInArrow(count, "label int, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+    parts = rows.select("text", "label").mapInArrow(count, "label int, bucket int, n long")
+    for r in parts.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         totals[r["label"], r["bucket"]] = r["n"]
-    scale = log_ratios(totals[1], totals[0])
-    draw = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1_000_000))
+    return totals
+
+
+def sample_of(rows: DataFrame, many: dict[int, int], sample_rows: int, sample_features: int = SAMPLE_FEATURES) -> list[tuple[int, np.ndarray]]:
+    """label and features of about sample_rows different rows of each class, drawn by a hash of the whole row, in an order that reruns alike."""
     share = F.when(F.col("label") == 1, F.lit(sample_rows / many[1])).otherwise(F.lit(sample_rows / many[0]))
+    drawn = rows.withColumn("draw", F.xxhash64(F.lit("quality"), "doc_id", "text", "label"))
+    chosen = drawn.where(F.pmod("draw", F.lit(1_000_000)) < share * 1_000_000).dropDuplicates(["doc_id", "draw"])
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(text.as_py() or "").astype("<u4").tobytes() for text in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], names=["doc_id", "label", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("label"), pa.array(found, pa.binary())], names=["draw", "label", "found"])
 
-    chosen = rows.where(draw < share * 1_000_000).withColumn("doc_id", F.col("doc_id").cast("string")).mapInArrow(coded, "doc_id string, label int, found binary")
-    sample = sorted((r["doc_id"], r["label"], bytes(r["found"])) for r in chosen.toLocalIterator())
-    if len({x[1] for x in sample}) < 2:
+    out, used = [], 0
+    for r in chosen.select("text", "draw", "label").mapInArrow(coded, "draw long, label int, found binary").orderBy("draw", "label", "found").toLocalIterator():
+        used += len(r["found"]) // 4
+        if used > sample_features:
+            break
+        out.append((r["label"], np.frombuffer(bytes(r["found"]), "<u4").astype(np.int64)))
+    return out
+
+
+def learned(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """The model of rows (doc_id, text, label 0 or 1).
+
+    Counts by feature and class are over all rows and reach the driver as at
+    most BUCKETS numbers a class. The fit sees at most about sample_rows rows a
+    class, and SAMPLE_FEATURES features in all.
+    """
+    label = F.col("label").cast("int")
+    rows = rows.where(label.isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "text", label.alias("label"))
+    many = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if len(many) < 2:
+        return Model(None, None, 0.0, 0.0, 0.0, float(next(iter(many))) if many else 0.5)
+    totals = counted(rows)
+    sample = sample_of(rows, many, sample_rows)
+    if len({label for label, _ in sample}) < 2:
         return Model(None, None, 0.0, 0.0, 0.0, many[1] / (many[0] + many[1]))
-    return fitted([np.frombuffer(f, "<u4").astype(np.int64) for _, _, f in sample], np.array([label for _, label, _ in sample]), scale, many)
+    return fitted([found for _, found in sample], np.array([label for label, _ in sample]), log_ratios(totals[1], totals[0]), many)
 
 
 def fitted(rows: list[np.ndarray], label: np.ndarray, scale: np.ndarray, many: dict[int, int]) -> Model:
@@ -201,7 +221,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = pa.array([held.value.score(text.as_py() or "") for text in batch.column("text")], pa.float64())
+            scores = pa.array(held.value.scores([text or "" for text in batch.column("text").to_pylist()]), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "quality_score"])
 
     return docs.mapInArrow(predict, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))

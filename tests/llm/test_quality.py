@@ -1,12 +1,15 @@
 """Quality classifier: held-out accuracy, counts against a plain count, awkward rows."""
 
+import random
+import re
 import zlib
 
 import numpy as np
 
 from brookmill.llm import quality
-from brookmill.llm.quality import BUCKETS, descend, features, learned, log_ratios, scored
+from brookmill.llm.quality import BUCKETS, counted, descend, features, learned, log_ratios, sample_of, scored
 from brookmill.llm.query_quality import op6_quality
+from brookmill.llm.textcode import shingle_codes, word_codes
 from brookmill.sources.tables import table
 
 FOLDER = "/root/testdata/sf0.01"
@@ -20,9 +23,9 @@ def test_held_out_accuracy(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
     out = [r for r in rows if r.held_out and r.doc_id in truth]
-    assert np.mean([r.predicted == truth[r.doc_id] for r in out]) >= 0.93
+    assert np.mean([r.predicted == truth[r.doc_id] for r in out]) >= 0.95
     good, bad = ([r.score for r in out if truth[r.doc_id] == k] for k in (1, 0))
-    assert np.mean([g > b for g in good for b in bad]) >= 0.97
+    assert np.mean([g > b for g in good for b in bad]) >= 0.99
 
 
 def test_fit_separates_and_respects_bounds():
@@ -39,9 +42,69 @@ def test_fit_separates_and_respects_bounds():
     assert np.mean((margin > 0) == (signs > 0)) > 0.99
 
 
+def plain_features(text):
+    """By words as strings: buckets of words, pairs and patterns."""
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    code = {w: word_codes(w) for w in words}
+    found = set()
+    for w in words:
+        found |= set(quality._bucket(code[w], "word").tolist())
+    ends = [quality.ENDS[:1], *(code[w] for w in words), quality.ENDS[1:]]
+    for a, b in zip(ends, ends[1:]):
+        found |= set(quality._bucket(shingle_codes(np.concatenate([a, b]), 2), "pair").tolist())
+    for i in range(len(words)):
+        four = words[i : i + 4]
+        places = [(a, b) for a in range(4) for b in range(a + 1, 4)]
+        number = sum(1 << k for k, (a, b) in enumerate(places) if b < len(four) and four[a] == four[b])
+        found |= set(quality._bucket(np.array([number], np.uint64), "pattern").tolist())
+    return found
+
+
+def test_counts_match_a_plain_count(spark):
+    rng = random.Random(5)
+    rows = [(i % 40, " ".join(rng.choices("ab cd ef gh é x\n".split(" "), k=rng.randint(0, 30))), rng.randint(0, 1)) for i in range(150)] + [(None, None, 1)]
+    want = np.zeros((2, BUCKETS))
+    for _, text, label in rows:
+        for f in plain_features(text or ""):
+            want[label][f] += 1
+    assert (counted(spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(4)) == want).all()
+
+
+def test_fit_reaches_the_optimum_of_the_dual(monkeypatch):
+    """Coordinate descent against projected gradient steps on the same dual."""
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 60, 12) + (15 if i % 3 else 0)) for i in range(90)]
+    signs, scale = np.where(np.arange(90) % 3 > 0, 1.0, -1.0), rng.normal(size=BUCKETS)
+    monkeypatch.setattr(quality, "PASSES", 500)
+    weights, offset = descend(rows, signs, scale)
+    x = np.zeros((90, 76))
+    for i, r in enumerate(rows):
+        x[i, r] = scale[r] / np.linalg.norm(scale[r])
+    x[:, 75] = 1.0
+    bound = quality.BOUND * 45 / np.where(signs > 0, (signs > 0).sum(), (signs < 0).sum())
+    kernel = (x * signs[:, None]) @ (x * signs[:, None]).T
+    dual, rate = np.zeros(90), 1 / np.linalg.norm(kernel, 2)
+    for _ in range(200_000):
+        dual = np.clip(dual - rate * (kernel @ dual - 1), 0, bound)
+    want = (dual * signs) @ x
+    primal = lambda w: 0.5 * w @ w + bound @ np.maximum(0, 1 - signs * (x @ w))
+    got = np.append(weights[:75], offset)
+    assert abs(primal(got) - primal(want)) < 1e-3 * primal(want) and np.abs(got - want).max() < 0.02
+
+
+def test_sample_is_bounded_where_an_id_repeats(spark):
+    rows = [(7 if i % 10 else i, f"text {i if i % 2 else 0} {'good' if i % 3 else 'bad'}", int(i % 3 > 0)) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(3)
+    many = {0: sum(r[2] == 0 for r in rows), 1: sum(r[2] == 1 for r in rows)}
+    got = sample_of(docs, many, 200)
+    assert 60 < len(got) < 480
+    assert len(sample_of(docs, many, 10_000)) == len(set(rows))
+    assert sum(len(f) for _, f in sample_of(docs, many, 10_000, 500)) <= 500
+
+
 def test_awkward_rows(spark):
     rows = [(i, "good words of a text " * (1 + i % 5) if i % 3 else "JUNK!! JUNK!! " * (1 + i % 5), int(i % 3 > 0)) for i in range(120)]
-    rows += [(500, None, 1), (501, "", 0), (502, "x", None), (None, "y", 1), (503, "good " * 300_000, 1), (1, rows[1][1], 1)]
+    rows += [(500, None, 1), (501, "", 0), (502, "x", None), (502, "x", 7), (None, "y", 1), (503, "good " * 300_000, 1), (1, rows[1][1], 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
     model = learned(docs)
     clash = docs.withColumnRenamed("label", "quality_score")
@@ -51,8 +114,8 @@ def test_awkward_rows(spark):
     assert len(found) == len(rows) and all(0 <= r.quality_score <= 1 for r in found)
     by_id = {r.doc_id: r.quality_score for r in found}
     assert all((by_id[i] > 0.5) == (i % 3 > 0) for i in range(120))
-    assert learned(docs).score("good words") == model.score("good words")
-    assert learned(docs.where("label = 1")).score("anything") == 1.0
+    assert (learned(docs).scores(["good words", ""]) == model.scores(["good words", ""])).all()
+    assert learned(docs.where("label = 1")).scores(["anything"]) == 1.0
     empty = docs.limit(0)
-    assert learned(empty).score("") == 0.5 and scored(empty, model).collect() == []
+    assert learned(empty).scores([""]) == 0.5 and scored(empty, model).collect() == []
     assert features("").size > 0
