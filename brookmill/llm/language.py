@@ -1,18 +1,22 @@
 """Language ID by hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A letter trigram is the product
-of its letters' vectors, each rotated by its place; a text is the sum of its
-trigrams' vectors, a language the sum of its texts'. A text gets the language
-whose sum has the greatest cosine with its own.
+Every letter of every script has a random vector of +1 and -1 of its own, made
+from its code point. A letter trigram is the product of its letters' vectors,
+each rotated by its place; a text is the sum of its trigrams' vectors, a
+language the sum of its texts'. A text gets the language whose sum has the
+greatest cosine with its own.
 
 Letters are lower-cased. A trigram may begin or end at a word's edge, but does
-not reach over it. Texts are summed whole, in parts of bounded length.
+not reach over it. Texts of any length are summed whole, in parts of bounded
+length.
 
 Languages are fitted on at most about `sample_rows` labelled rows each, taken
-by a hash of the id. A null text, or one without a letter, is `und` with score
-0; so is every text if nothing was learned. Rows with a null language or id
-are not learned from. Repeated rows are judged alike; ties go to the language
-first in order. Columns of the input are kept, clashing ones (`lang_pred`,
+by a hash of the whole row. A null text, or one without a letter, is `und` with
+score 0; so is every text if nothing was learned. Rows with a null language or
+id are not learned from. More than MOST_LANGUAGES different values of lang are
+an error, as one vector each comes to the driver. Repeated rows are judged
+alike; ties go to the language first in order. An empty table gives an empty
+result. Columns of the input are kept, clashing ones (`lang_pred`,
 `lang_score`) replaced.
 """
 
@@ -30,42 +34,51 @@ from pyspark.sql import types as T
 from brookmill.llm.textcode import code_points, seeded
 
 DIMENSIONS = 1024
-LETTERS = 128
 #: Trigram vectors that a worker keeps, and code points summed at a time.
 KEPT, PART = 16_384, 1 << 20
+#: A trigram is three code points in one number.
+BASE = 0x110000
+MOST_LANGUAGES = 2_000
 UNKNOWN = "und"
 
 
 @functools.lru_cache(maxsize=1)
-def letter_numbers() -> np.ndarray:
-    """For each code point 0 (no letter) or its letter's number: letters below
-    0x100 have numbers of their own, the others share the rest by a hash."""
-    number = np.zeros(0x110000, np.uint8)
-    own: dict[int, int] = {}
-    for point in range(0x110000):
+def lower_letters() -> np.ndarray:
+    """For each code point 0 (no letter) or that of its letter in lower case."""
+    letter = np.zeros(BASE, np.int64)
+    for point in range(BASE):
         if (c := chr(point)).isalpha():
-            low = ord(c.lower()) if len(c.lower()) == 1 else point
-            if low < 0x100:
-                number[point] = own.setdefault(low, len(own) + 1)
-            else:
-                number[point] = 70 + low * 2654435761 % (1 << 32) % (LETTERS - 70)
-    return number
+            letter[point] = ord(c.lower()) if len(c.lower()) == 1 else point
+    return letter
+
+
+def letter_vector(point: int) -> np.ndarray:
+    """The vector of a letter; 0 is the edge of a word."""
+    return 2 * (seeded(DIMENSIONS, 7 + point) >> np.uint64(63)).astype(np.float32) - 1
 
 
 class Profiles:
-    """Sums of trigram vectors; keeps the vectors met most recently filled in."""
+    """Sums of trigram vectors; keeps letters' vectors, and those of the trigrams met first."""
 
     def __init__(self) -> None:
-        bits = (seeded(LETTERS * DIMENSIONS, 7) >> np.uint64(63)).astype(np.float32)
-        last = (2 * bits - 1).reshape(LETTERS, DIMENSIONS)
-        self.places = np.roll(last, 2, axis=1), np.roll(last, 1, axis=1), last
-        self.row = np.full(LETTERS**3, -1, np.int32)
+        self.letters: dict[int, np.ndarray] = {}
+        self.grams, self.row = np.zeros(0, np.int64), np.zeros(0, np.int64)  # those kept, sorted, and where
         self.kept = np.empty((KEPT, DIMENSIONS), np.float32)
-        self.used = 0
+
+    def rotated(self, point: int) -> np.ndarray:
+        """A letter's vectors for the three places."""
+        if point not in self.letters:
+            if len(self.letters) >= 4096:
+                self.letters.clear()
+            last = letter_vector(point)
+            self.letters[point] = np.stack([np.roll(last, 2), np.roll(last, 1), last])
+        return self.letters[point]
 
     def vectors(self, grams: np.ndarray) -> np.ndarray:
-        first, second, third = self.places
-        return first[grams // LETTERS**2] * second[grams // LETTERS % LETTERS] * third[grams % LETTERS]
+        points, number = np.unique(np.stack([grams // BASE**2, grams // BASE % BASE, grams % BASE]), return_inverse=True)
+        table = np.stack([self.rotated(p) for p in points.tolist()])
+        first, second, third = number.reshape(3, -1)
+        return table[first, 0] * table[second, 1] * table[third, 2]
 
     def sum_of(self, text: str) -> tuple[np.ndarray, int]:
         """The text's sum of trigram vectors, and how many trigrams it has."""
@@ -73,26 +86,38 @@ class Profiles:
         points = code_points(text)
         for at in range(0, len(points), PART):
             # one neighbour on each side; the ends of the text count as word edges
-            part = letter_numbers()[points[max(at - 1, 0) : at + PART + 1]].astype(np.int64)
+            part = lower_letters()[points[max(at - 1, 0) : at + PART + 1]]
             part = np.concatenate([np.zeros(int(at == 0), np.int64), part, np.zeros(int(at + PART >= len(points)), np.int64)])
             middle = part[1:-1]
-            grams = ((part[:-2] * LETTERS + middle) * LETTERS + part[2:])[middle > 0]
+            grams = ((part[:-2] * BASE + middle) * BASE + part[2:])[middle > 0]
             if len(grams):
                 total += self._sum(*np.unique(grams, return_counts=True))
                 count += len(grams)
         return total, count
 
+    def _places(self, grams: np.ndarray) -> np.ndarray:
+        """The kept row of each trigram, -1 for those not kept."""
+        if not len(self.grams):
+            return np.full(len(grams), -1)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        return np.where(self.grams[at] == grams, self.row[at], -1)
+
     def _sum(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        new = grams[self.row[grams] < 0][: KEPT - self.used]
+        row = self._places(grams)
+        new = grams[row < 0][: KEPT - len(self.grams)]
         if len(new):
-            self.kept[self.used : self.used + len(new)] = self.vectors(new)
-            self.row[new] = np.arange(self.used, self.used + len(new))
-            self.used += len(new)
-        row, weight = self.row[grams], counts.astype(np.float32)
+            used = len(self.grams)
+            for at in range(0, len(new), 1024):
+                self.kept[used + at : used + at + len(new[at : at + 1024])] = self.vectors(new[at : at + 1024])
+            together, rows = np.concatenate([self.grams, new]), np.concatenate([self.row, np.arange(used, used + len(new))])
+            order = np.argsort(together)
+            self.grams, self.row = together[order], rows[order]
+            row = self._places(grams)
+        weight = counts.astype(np.float32)
         out = (weight[row >= 0] @ self.kept[row[row >= 0]]).astype(np.float64)
         rest, rest_weight = grams[row < 0], weight[row < 0]
-        for at in range(0, len(rest), 4096):
-            out += rest_weight[at : at + 4096] @ self.vectors(rest[at : at + 4096])
+        for at in range(0, len(rest), 1024):
+            out += rest_weight[at : at + 1024] @ self.vectors(rest[at : at + 1024])
         return out
 
 
@@ -113,11 +138,14 @@ def learned(docs: DataFrame, learn_from: Column, sample_rows: int = 20_000) -> d
     and are added up by Spark; only the prototypes come to the driver.
     """
     rows = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    shares = {r["lang"]: min(1.0, sample_rows / r["count"]) for r in rows.groupBy("lang").count().collect()}
+    counts = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} different values; is it a language's name?")
+    shares = {r["lang"]: min(1.0, sample_rows / r["count"]) for r in counts}
     if not shares:
         return {}
     share = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair]), F.col("lang"))
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
+    chosen = rows.where(F.pmod(F.xxhash64(F.lit("language"), "doc_id", "text"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}

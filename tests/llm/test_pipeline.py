@@ -1,5 +1,7 @@
 """The pipeline's stages, each against a plain version on its own input."""
 
+import os
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,9 +11,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from brookmill.llm.language import letter_numbers
+from brookmill.llm.language import lower_letters
 from brookmill.llm.mixing import with_copies
 from brookmill.llm.store import written
+from brookmill.session import shared_folder
 from tests.llm.test_minhash import classes_by_hand, shingles
 from tests.llm.test_rules import by_hand
 
@@ -33,9 +36,9 @@ def check(spark, docs):
     for before, after in steps[:-1]:
         assert after.columns == before.columns and before.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
     language, rules, near, mix, pack = ((a.collect(), b.collect()) for a, b in steps)
-    letters = [r for r in language[0] if letter_numbers()[[ord(c) for c in r.text or ""]].any()]
+    letters = [r for r in language[0] if lower_letters()[[ord(c) for c in r.text or ""]].any()]
     assert not Counter(language[1]) - Counter(letters)
-    assert all(r in letters for r in language[1]) and sum(len(r.text) < 200 for r in language[1]) == sum(len(r.text) < 200 for r in letters)
+    assert all(r in letters for r in language[1]) and len(language[1]) >= 0.99 * len(letters)
     for r in rules[1]:
         n, _, _, _, repeated = by_hand(r.text)
         assert n >= 50 and 100 * repeated <= 50 * n
@@ -76,3 +79,19 @@ def test_awkward_rows_and_empty_table(spark):
     check(spark, docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in clashing}))
     for _, after in staged(spark, spark.createDataFrame([], SCHEMA)):
         assert after.count() == 0
+
+
+def test_language_stage_rejects_other_scripts_and_random_letters(spark):
+    rng = random.Random(2)
+    rows = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    odd = ["".join(rng.choices(letters, k=n)) for letters in ("абвгдежзиклмнопрст ", "αβγδεζηθικλμνξο ", "的一是不了人我在有他这", "abcdefghijklmnopqrstuvwxyz ", "qxzjkvw ") for n in (60, 150, 300, 3000) for _ in range(5)]
+    docs = spark.createDataFrame(rows + [(10_000 + i, t, None, None, len(t)) for i, t in enumerate(odd)], SCHEMA)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, FOLDER).collect()}
+    assert sum(i >= 10_000 for i in kept) <= 2 and sum(i < 10_000 for i in kept) >= len(rows) - 1
+
+
+def test_stages_leave_nothing_in_the_shared_folder(spark):
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, FOLDER).count() > 0
+    assert {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before} <= {"stage-source-mix", "packed"}
