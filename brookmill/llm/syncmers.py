@@ -20,30 +20,31 @@ often. How long a run must be does not grow with the text, so edits of one
 density give one likeness at every length.
 
 Nulls: a null text is an empty one, whose fingerprint is one fixed anchor. A row
-with a null id comes last; rows with one id are ordered by text. The only row of
-a table is its own next one. An empty table gives an empty result. Only doc_id
-and text are read.
+with a null id comes last; rows with one id are ordered by a hash of the text.
+The only row of a table is its own next one. An empty table gives an empty
+result. Texts of any length are read whole. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
+from brookmill.functions.columns import place_among
 from brookmill.llm.textcode import MULTIPLIER, code_points, mixed_bits
 
 K, S = 6, 2
 #: Code points hashed at a time.
 PART = 1 << 18
-#: Bytes of text to a part of the documents in id order, and the most such parts.
-PART_BYTES, MOST_PARTS = 16_000_000, 10_000
+#: Bytes of text to a part of the documents in id order, the most such parts (beyond that, parts are larger,
+#: with the same result), and about how many rows are looked at to find their bounds.
+PART_BYTES, MOST_PARTS, BOUND_ROWS = 16_000_000, 10_000, 50_000
 #: Anchors in one order from which on a run isn't there by chance; fewer, a quarter of them, in a text of less than 4 * RUN anchors.
 RUN = 8
 #: Characters of fingerprints to a batch of the result; a row counts 400 besides.
@@ -135,36 +136,45 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+KEY = "struct<k: bigint, h: bigint, r: bigint>"
+
+
+def constant(values: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def in_order(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
-    """doc_id, text, part, role: docs cut into parts by id, each part sorted and
+    """doc_id, text, part, role: docs cut into parts in order of ids, each part sorted and
     followed by the row that comes next after it.
 
-    role is 0 for a row of the part, 1 for the row after. The bounds of parts
-    are quantiles of the ids; they and each part's least id come to the driver,
-    at most MOST_PARTS of them. Texts are shuffled once.
+    role is 0 for a row of the part, 1 for the row after. A row's key is its id,
+    a hash of its text and its place in the table, so that parts can end
+    anywhere, also within equal rows. The bounds of parts come from about
+    BOUND_ROWS rows, drawn by a hash of the key, with the bytes of their texts;
+    they and each part's least key come to the driver, MOST_PARTS at most.
+    Texts are shuffled once, each part to a partition of its own. docs is read
+    three times and has to come in the same order each time, as a table does.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text") + F.lit(16))).first()[0] or 0
-    parts = int(min(max(size // part_bytes, 1), MOST_PARTS))
-    cuts = sorted(set(docs.select(key.alias("k")).agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or [])) if parts > 1 else []
-    bounds = np.array(cuts, np.int64)
-
-    @pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right").astype(np.int32))
-
-    least = {r["part"]: r["least"] for r in docs.select(key.alias("k")).withColumn("part", part_of("k")).groupBy("part").agg(F.min("k").alias("least")).collect()}
-    order = sorted(least)
-    before = {least[p]: order[k - 1] for k, p in enumerate(order)}  # the first part comes after the last
-
-    @pandas_udf("array<struct<part: int, role: int>>")
-    def roles(ids: pd.Series) -> pd.Series:
-        own = np.searchsorted(bounds, ids.to_numpy(), side="right")
-        return pd.Series([[(int(p), 0)] + ([(before[i], 1)] if i in before else []) for p, i in zip(own, ids)])
-
-    placed = docs.select("doc_id", "text", key.alias("k"), F.inline(roles(key)))
-    return placed.repartition(max(1, 2 * len(order)), "part").sortWithinPartitions("part", "role", "k", "text").select("doc_id", "text", "part", "role")
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.monotonically_increasing_id().alias("r"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
+    step = -(-docs.count() // BOUND_ROWS) or 1
+    seen = docs.where(F.pmod(F.xxhash64("key"), F.lit(step)) == 0).select("key.*", (F.octet_length("text") + F.lit(16)).alias("size")).toArrow()
+    k, h, r, size = (seen.column(c).to_numpy() for c in ("k", "h", "r", "size"))
+    ranked = np.lexsort((r, h, k))
+    upto = np.cumsum(size[ranked]) * step
+    parts = int(min(max(upto[-1] // part_bytes, 1), MOST_PARTS)) if len(upto) else 1
+    # a bound is the greatest key of its part
+    ends = ranked[np.unique(np.searchsorted(upto, [upto[-1] * i // parts for i in range(1, parts)]))] if parts > 1 else []
+    bounds = constant([{"k": int(k[i]), "h": int(h[i]), "r": int(r[i])} for i in ends], f"array<{KEY}>")
+    docs = docs.withColumn("part", place_among(bounds, F.col("key"), len(ends)))
+    least = {x["part"]: x["least"].asDict() for x in docs.groupBy("part").agg(F.min("key").alias("least")).collect()}
+    order, every = sorted(least), range(len(ends) + 1)
+    before = {p: order[n - 1] for n, p in enumerate(order)}  # the first part comes after the last
+    first = F.get(constant([least.get(p) for p in every], f"array<{KEY}>"), F.col("part")) == F.col("key")
+    role = lambda part, number: F.struct(part.alias("part"), F.lit(number).alias("role"))
+    own, after = role(F.col("part"), 0), role(F.get(constant([before.get(p) for p in every], "array<int>"), F.col("part")), 1)
+    placed = docs.select("doc_id", "text", "key", F.inline(F.when(first, F.array(own, after)).otherwise(F.array(own))))
+    return placed.repartitionById(len(every), F.col("part")).sortWithinPartitions("part", "role", "key").select("doc_id", "text", "part", "role")
 
 
 def fingerprints(docs: DataFrame, k: int = K, s: int = S, part_bytes: int = PART_BYTES) -> DataFrame:

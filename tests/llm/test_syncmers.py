@@ -5,9 +5,12 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from brookmill.llm.syncmers import K, S, _run_hashes, anchors, fingerprint, fingerprints, likeness
+from brookmill.llm.query_syncmers import op7_syncmers
+from brookmill.llm.syncmers import K, S, _run_hashes, anchors, fingerprint, fingerprints, in_order, likeness
 from brookmill.llm.textcode import code_points
+from brookmill.sources.tables import table
 
 
 def prose(rng, n):
@@ -67,6 +70,19 @@ def test_edits_of_one_density_count_alike_at_every_length():
     assert min(found) > 0.85 and max(found) - min(found) < 0.05
 
 
+def test_likeness_falls_with_the_share_that_changed():
+    """By at most some five times that share, from 200 to 50,000 words; strangers stay apart."""
+    rng = random.Random(9)
+    for n in (200, 2000, 20_000, 50_000):
+        words = prose(rng, n).split()
+        for share in (0.005, 0.01, 0.02, 0.05):
+            changed = list(words)
+            for i in rng.sample(range(n), max(1, int(share * n))):
+                changed[i] = words[i] + " " + "".join(rng.choices("opqrxyz", k=11))
+            assert likeness(fingerprint(" ".join(words)), fingerprint(" ".join(changed))) > 1 - 5 * share - 0.02
+        assert likeness(fingerprint(" ".join(words)), fingerprint(prose(rng, n))) < 0.05
+
+
 def test_short_texts(spark):
     rng = random.Random(6)
     texts = [prose(rng, 60)[:n] for n in range(20, 151) for _ in range(3)]
@@ -82,7 +98,8 @@ def test_rows_match_a_plain_loop(spark):
     rows = [(5 * i - 700, t) for i, t in enumerate(texts)] + [(40, "x"), (40, "x"), (41, None), (42, ""), (43, "long " * 40000), (None, "no id"), (40, texts[0])]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, part int").repartition(6)
     got = fingerprints(docs, part_bytes=10_000).collect()
-    ordered = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1].encode()))
+    hashed = {r.text: r.h for r in docs.select(F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("h", F.xxhash64("text")).collect()}
+    ordered = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, r[0] or 0, hashed[r[1]]))
     want = Counter()
     for k, (i, t) in enumerate(ordered):
         after = ordered[(k + 1) % len(ordered)][1]
@@ -92,6 +109,34 @@ def test_rows_match_a_plain_loop(spark):
     assert Counter(tuple(r) for r in got) == want
 
 
+def test_rows_of_one_id_are_spread(spark):
+    """Nine of ten rows have one id, half of these are equal; null ids besides. Parts stay small and no row is lost."""
+    rng = random.Random(8)
+    rows = [(5 if i % 10 else i, "again " * 20 if i % 2 else prose(rng, 20)) for i in range(3000)] + [(None, "none")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sizes = [r["count"] for r in in_order(docs, 10_000).where("role = 0").groupBy("part").count().collect()]
+    assert len(sizes) > 25 and sum(sizes) == len(rows) and max(sizes) < 600
+    assert in_order(docs, 10_000).where("role = 1").count() == len(sizes)
+    got = fingerprints(docs, part_bytes=10_000).collect()
+    assert Counter((r.doc_id, r.fingerprint) for r in got) == Counter((i, fingerprint(t)) for i, t in rows)
+    equal = [r.near_next for r in got if r.fingerprint == fingerprint("again " * 20) and r.doc_id == 5]
+    assert sum(x < 1 for x in equal) == 1  # each but the last is followed by its like
+
+
+def test_query(spark):
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in table(spark, folder, "documents").collect()}
+    ids = sorted(texts)
+    got = {r.doc_id: r for r in op7_syncmers(spark, folder).collect()}
+    assert sorted(got) == ids
+    for i, after in zip(ids, ids[1:] + ids[:1]):
+        r, t, half = got[i], texts[i], len(texts[i]) // 2
+        new = t[: len(t) - half] + texts[after][:half]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(new.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (fingerprint(t), fingerprint(new))
+        assert (r.near_edited, r.near_next) == (likeness(fingerprint(t), fingerprint(new)), likeness(fingerprint(t), fingerprint(texts[after])))
+
+
 def test_small_tables(spark):
     assert fingerprints(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     (only,) = fingerprints(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).collect()
