@@ -11,15 +11,18 @@ of the revisit that a 304 may change in their place.
 The as-of join works on one narrow row per URL and time, made by combining
 within tasks, and in two levels: within pieces of a URL's times, and over the
 last responses of the pieces before. Pieces are cut at quantiles of all times,
-so a URL with a third of all captures is spread over many tasks, and captures of
-one URL and time never meet as rows. Bodies are not moved.
+one for each few million URLs and times, so a URL with a third of all captures
+is spread over more tasks the more there are, and captures of one URL and time
+never meet as rows. Bodies are not moved.
 
 Canonical form: scheme http, lower-case host without "www.", "m." and default
 port, path without a closing slash (but the root) or a default document, query
 parameters sorted, without those that only track, no fragment.
 
 Nulls: a null URL or time is not resolved; null headers are empty ones; header
-names count in lower case, the last of several alike wins. Captures of one time
+names count in lower case, the last of several alike wins; a validator without a
+value is none, and a null value replaces none. A response with a null id answers
+nothing, as it can't be named. Captures of one time
 are not earlier than each other; of several responses of one time the greatest
 id answers. Repeated rows are resolved alike; an empty table gives an empty
 result. Input columns stay, clashing ones with the prefix `revisit_` are
@@ -32,14 +35,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from brookmill.llm.store import written
+from brookmill.llm.store import passing, written
+from brookmill.operators.groups import cut
 
 # Headers of a 304 that replace those stored.
 UPDATED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "age")
 # Query parameters that only say where a visitor came from.
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)"
-#: Pieces into which all times are cut.
-PIECES = 64
 
 
 def canonical(url: Column) -> Column:
@@ -84,14 +86,14 @@ def merged(response: Column, revisit: Column) -> Column:
     return F.map_concat(kept, changed)
 
 
-def resolved(captures: DataFrame, pieces: int = PIECES) -> DataFrame:
+def resolved(captures: DataFrame, pieces: int | None = None) -> DataFrame:
     """captures with revisit_url (canonical), revisit_of (the id of the response
     that answers), revisit_reason (of revisits: "resolved", "no response" or the
     validator that differs) and revisit_headers (of responses their own, of
     resolved revisits the merged ones, else null).
 
     Columns read: record_id, url, time (long), is_revisit, headers
-    (map<string,string>), digest.
+    (map<string,string>), digest. Times are cut into so many pieces, or by their number.
     """
     captures = captures.drop("revisit_url", "revisit_of", "revisit_reason", "revisit_headers")
     names = captures.columns
@@ -99,16 +101,18 @@ def resolved(captures: DataFrame, pieces: int = PIECES) -> DataFrame:
     revisit = F.coalesce("is_revisit", F.lit(False))
     full = F.when(~revisit, F.struct(F.col("record_id").alias("record_id"), F.col("revisit_own").alias("headers"), F.col("digest").alias("digest")))
     points = rows.where("revisit_url is not null and time is not null").groupBy("revisit_url", "time").agg(F.max_by(full, F.when(~revisit, F.col("record_id"))).alias("response"))
-    cuts = captures.agg(F.percentile_approx("time", [k / pieces for k in range(1, pieces)], 100 * pieces)).first()[0] or []
-    piece = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<bigint>"), lambda c: c < F.col("time")))
-    points = written(points.withColumn("piece", piece), "revisit-points")
-    ends = points.groupBy("revisit_url", "piece").agg(F.max_by("response", F.when(F.col("response").isNotNull(), F.col("time"))).alias("end"))
-    before = W.partitionBy("revisit_url").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
-    carried = written(ends.select("revisit_url", "piece", F.last("end", ignorenulls=True).over(before).alias("carried")), "revisit-carried")
-    within = W.partitionBy("revisit_url", "piece").orderBy("time").rowsBetween(W.unboundedPreceding, -1)
-    near = points.select("revisit_url", "time", "piece", F.last("response", ignorenulls=True).over(within).alias("near"))
-    found = near.join(carried, ["revisit_url", "piece"]).select("revisit_url", "time", F.coalesce("near", "carried").alias("revisit_found"))
-    asked = rows.where(revisit).join(written(found, "revisit-found"), ["revisit_url", "time"], "left")
+    with passing() as tables:
+        points, pieces = cut(written(points, "revisit-points"), "time", pieces)
+        within = W.partitionBy("revisit_url", "piece").orderBy("time").rowsBetween(W.unboundedPreceding, -1)
+        found = points.select("revisit_url", "time", "piece", F.last("response", ignorenulls=True).over(within).alias("revisit_found"))
+        if pieces > 1:
+            ends = points.groupBy("revisit_url", "piece").agg(F.max_by("response", F.when(F.col("response").isNotNull(), F.col("time"))).alias("end"))
+            before = W.partitionBy("revisit_url").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+            carried = ends.select("revisit_url", "piece", F.last("end", ignorenulls=True).over(before).alias("carried"))
+            found = found.join(carried, ["revisit_url", "piece"]).withColumn("revisit_found", F.coalesce("revisit_found", "carried"))
+        found = written(found.select("revisit_url", "time", "revisit_found"), "revisit-found")
+        tables.keep(found)
+    asked = rows.where(revisit).join(found, ["revisit_url", "time"], "left")
     own = F.struct(F.col("revisit_own").alias("headers"), F.col("digest").alias("digest"))
     reason = F.when(F.col("revisit_found").isNull(), F.lit("no response")).otherwise(F.coalesce(mismatch(F.col("revisit_found"), own), F.lit("resolved")))
     asked = asked.withColumn("revisit_reason", reason).select(

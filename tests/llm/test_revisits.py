@@ -31,14 +31,15 @@ def by_loop(rows):
             continue
         best = None
         for o in rows:
-            if o[1] == url and url is not None and not o[3] and None not in (o[2], time) and o[2] < time and (best is None or (o[2], o[0]) > (best[2], best[0])):
+            if o[1] == url and url is not None and not o[3] and None not in (o[0], o[2], time) and o[2] < time and (best is None or (o[2], o[0]) > (best[2], best[0])):
                 best = o
         if best is None:
             out.append((rid, None, "no response", None))
             continue
         theirs = {k.lower(): v for k, v in (best[4] or {}).items()}
         bare = lambda t: t.removeprefix("W/")
-        tags, times = "etag" in own and "etag" in theirs, "last-modified" in own and "last-modified" in theirs
+        has = lambda name: own.get(name) is not None and theirs.get(name) is not None
+        tags, times = has("etag"), has("last-modified")
         if tags and bare(own["etag"]) != bare(theirs["etag"]):
             out.append((rid, None, "etag", None))
         elif not tags and times and own["last-modified"] != theirs["last-modified"]:
@@ -46,7 +47,7 @@ def by_loop(rows):
         elif None not in (digest, best[5]) and digest != best[5]:
             out.append((rid, None, "digest", None))
         else:
-            headers = theirs | {k: v for k, v in own.items() if k in UPDATED}
+            headers = theirs | {k: v for k, v in own.items() if k in UPDATED and v is not None}
             out.append((rid, best[0], "resolved", tuple(sorted(headers.items()))))
     return out
 
@@ -59,7 +60,8 @@ def test_resolution_matches_a_loop(spark):
         headers = {k: v for k, v in [("ETag", rng.choice(['"a"', 'W/"a"', '"b"'])), ("Last-Modified", rng.choice("xy")), ("Content-Length", str(i)), ("Cache-Control", str(i)), ("Server", "s")] if rng.random() < 0.5}
         rows.append((i, url, rng.choice([rng.randint(0, 3000), 700]), rng.random() < 0.5, headers, rng.choice(["d1", "d1", "d2", None]), "x"))
     rows += [(2000, None, 5, True, None, None, "x"), (2001, "http://hot.example/", None, True, {}, None, "x"), (2002, "http://hot.example/", None, False, None, "d1", "x"), (2003, "http://new.example/", 9000, None, {"A": "1"}, None, "x"), (2004, "http://new.example/", 9001, True, {"a": "2"}, None, "x"), (2004, "http://new.example/", 9001, True, {"a": "2"}, None, "x")]
-    for pieces in (1, 7, 64):
+    rows += [(3000, "http://n.example/", 10, False, {"ETag": None, "A": None, "Age": "1"}, None, "x"), (None, "http://n.example/", 15, False, {"ETag": '"b"'}, "d9", "x"), (3001, "http://n.example/", 20, True, {"etag": '"a"', "Age": None}, None, "x"), (None, "http://n.example/", 21, True, None, None, "x")]
+    for pieces in (None, 7, 64):
         got = resolved(spark.createDataFrame(rows, SCHEMA).repartition(5), pieces)
         assert got.columns == ["record_id", "url", "time", "is_revisit", "headers", "digest", "revisit_url", "revisit_of", "revisit_reason", "revisit_headers"]
         found = [(r.record_id, r.revisit_of, r.revisit_reason, None if r.revisit_headers is None else tuple(sorted(r.revisit_headers.items()))) for r in got.collect()]
