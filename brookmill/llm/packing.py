@@ -2,19 +2,22 @@
 
 Documents longer than a sequence are cut into full pieces and a rest. Pieces
 are dealt by a hash into groups, whose number follows from the bytes of all
-texts; each group is packed on its own, so the work is spread evenly whatever
-the sizes of documents; rows that repeat often are dealt one by one. The emptiest bin of each group is packed once more with
-those of other groups, again in groups of bounded size.
+texts; each group is packed on its own in a task of its own, so the work is
+spread evenly whatever the sizes of documents; rows that repeat often are dealt
+one by one. The emptiest bin of each group is packed once more with those of
+other groups, again in groups of bounded size.
 
 In a group, best-fit decreasing gives the first bins. The local search then
 works on underfull bins: it moves documents, exchanges one for one or two for
 one between a bin and any fuller one with room, whichever raises the sum of
 squared fills most, until bins empty. It ends at the lower bound of bins, or when
-no bin has such a change left; it only ever improves on the first bins.
+no bin has such a change left; it only ever improves on the first bins. Of
+changes of equal gain, and of pieces of equal length, the first in order counts.
 
 Nulls: a null text is an empty one (an end id only); a null id is kept. Rows
-that repeat are packed as often as they come. An empty table gives an empty
-result.
+that repeat are packed as often as they come. Texts of any length are cut, none
+is dropped. An empty table gives an empty result. Only doc_id and text are read;
+other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from brookmill.llm.tokens import word_ids
 GROUP_BYTES = 32_000_000
 #: Rows that repeat are dealt singly where they fill more than this part of a group.
 PARTS = 8
+#: Most partitions that groups are shuffled to; beyond that a task packs several groups in turn.
+MOST_PARTITIONS = 10_000
 
 
 class Bins:
@@ -216,11 +221,16 @@ def group_count(docs: DataFrame, group_bytes: int) -> int:
     return max(1, -(-int(total) // group_bytes))
 
 
+def by_group(dealt: DataFrame, groups: int):
+    """Rows grouped by pack_group (from 0), each group in a partition of its own as long as there are not too many."""
+    return dealt.repartitionById(min(groups, MOST_PARTITIONS), F.col("pack_group")).groupBy("pack_group")
+
+
 def packed(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer_path: str | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Every piece of docs with its sequence and its offset there."""
     groups = group_count(docs, group_bytes)
     dealt = pieces(docs, capacity, end_id, tokenizer_path, repeated(docs, group_bytes) if groups > 1 else set())
-    dealt = dealt.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "turn"), F.lit(groups))).drop("turn")
+    dealt = dealt.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "turn"), F.lit(groups)).cast("int")).drop("turn")
 
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -240,8 +250,8 @@ def packed(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer_pat
         return after if len(after["sequence_id"].unique()) < len(before["sequence_id"].unique()) else before
 
     if groups == 1:
-        return dealt.groupBy("pack_group").applyInArrow(place, f"{fields}, rest boolean").drop("rest")
-    placed = written(dealt.groupBy("pack_group").applyInArrow(place, f"{fields}, rest boolean"), "packed")
+        return by_group(dealt, 1).applyInArrow(place, f"{fields}, rest boolean").drop("rest")
+    placed = written(by_group(dealt, groups).applyInArrow(place, f"{fields}, rest boolean"), "packed")
     # a group's rest is less than a sequence; so many groups' rests are about a group again
     again = -(-groups // max(2, group_bytes // (4 * capacity)))
     rests = placed.where("rest").drop("rest").withColumn("pack_group", F.lit(groups) + F.pmod(F.shiftright("sequence_id", 32), F.lit(again)))

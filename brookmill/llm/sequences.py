@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brookmill.llm.packing import Turns, content, group_count, repeated
+from brookmill.llm.packing import Turns, by_group, content, group_count, repeated
 from brookmill.llm.tokens import byte_encoding, byte_ids
 
 CAPACITY = 4096
@@ -117,7 +117,7 @@ def sequences(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, t
     """One row per packed sequence; see SEQUENCE for the columns."""
     groups = group_count(docs, group_bytes)
     dealt = pieces(docs, capacity, end_id, tokenizer_path, repeated(docs, group_bytes) if groups > 1 else set())
-    dealt = dealt.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids", "turn"), F.lit(groups))).drop("turn")
+    dealt = dealt.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids", "turn"), F.lit(groups)).cast("int")).drop("turn")
     names = [c.split()[0] for c in SEQUENCE.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
     schema = pa.schema(list(zip(names, kinds)))
@@ -139,7 +139,7 @@ def sequences(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, t
             ))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], schema=schema)
 
-    return dealt.groupBy("pack_group").applyInArrow(pack, SEQUENCE)
+    return by_group(dealt, groups).applyInArrow(pack, SEQUENCE)
 
 
 def write(packed: DataFrame, folder: str) -> None:

@@ -9,7 +9,9 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from brookmill.llm.packing import Bins, pack, packed
+from brookmill.llm.query_packing import op2_packing
 from brookmill.llm.tokens import byte_encoding, byte_ids, word_ids
+from brookmill.sources.tables import table
 
 TEXTS = ["", "a", "Don't  stop\tNOW 1234", "x" * 3000, "Ab, cd. E-f,) g1. e\u0301, Σ. ΑΣ, a_b. don't. A\u0301. \u2167. a., b.c. x\u00a0y,\u2003z.",  "été́ ́x Å b c ΑΣ ς", "<|endoftext|> a", "  lead\r\n\r\ntrail  ", "日本語 text ❤️‍🔥", "it's we'll\x0bok\x1cfs"]
 
@@ -98,6 +100,28 @@ def test_packed_pieces(spark):
     assert len(bins) <= -(-total // 256) + 8
 
 
+def test_query(spark):
+    """Every piece of every document, cut only where it must be, in sequences without gaps, as few as the ids allow."""
+    folder = "/root/testdata/sf0.001"
+    whole, want, bins = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), set(), defaultdict(list)
+    for r in table(spark, folder, "documents").collect():
+        ids = whole.encode(r.text or "", add_special_tokens=False).ids + [1]
+        want |= {(r.doc_id, k, s, len(ids[s : s + 4096]), zlib.crc32(np.array(ids[s : s + 4096], "<u4").tobytes())) for k, s in enumerate(range(0, len(ids), 4096))}
+    got = op2_packing(spark, folder).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for spans in bins.values():
+        spans.sort()
+        assert [o for o, _ in spans] == [sum(n for _, n in spans[:k]) for k in range(len(spans))] and sum(n for _, n in spans) <= 4096
+    assert len(bins) == -(-sum(r.length for r in got) // 4096)
+
+
+def test_other_columns_do_not_matter(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5, "x", 1), (2, None, 6, "y", 2)], "doc_id long, text string, pack_group int, ids_crc32 string, turn int")
+    assert sorted((r.doc_id, r.length) for r in packed(docs).collect()) == [(1, 4), (2, 1)]
+
+
 def test_empty_table(spark):
     assert packed(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

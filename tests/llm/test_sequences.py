@@ -5,8 +5,10 @@ from collections import Counter
 
 import numpy as np
 
-from brookmill.llm.sequences import END_ID, best_fit_decreasing, matrices, restored, sequences, write
+from brookmill.llm.query_sequences import op4_sequences
+from brookmill.llm.sequences import CAPACITY, END_ID, best_fit_decreasing, matrices, restored, sequences, write
 from brookmill.llm.tokens import byte_ids
+from brookmill.sources.tables import table
 
 
 def plain_best_fit(lengths, capacity):
@@ -55,6 +57,17 @@ def test_round_trip(spark, tmp_path):
     assert seen == {i: len(byte_ids()(t or "")) + 1 for i, t in enumerate(texts)}
 
 
+def test_query(spark):
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in table(spark, folder, "documents").collect()}
+    packed = op4_sequences(spark, folder)
+    assert {r.doc_id: r.text for r in restored(packed).collect()} == texts
+    rows = packed.collect()
+    total = sum(len(byte_ids()(t)) + 1 for t in texts.values())
+    assert sum(r.n_tokens for r in rows) == total and len(rows) <= -(-total // CAPACITY) + 1
+    assert all(len(r.ids) == len(r.positions) == 2 * CAPACITY and r.cu_seqlens[-1] == r.n_tokens for r in rows)
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b"), (1, "a b"), (None, "c"), (None, "d")]
     got = sequences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
