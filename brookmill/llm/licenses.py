@@ -8,11 +8,17 @@ have errors, so that at least one piece stands unchanged in every match
 text. Around each place so found, the regex library looks for the whole notice
 with a bounded number of errors, from a word's start to a word's end, and
 reports the span and its errors. Every place where a notice stands without
-errors is found, as all its pieces stand there.
-
-Nulls: a null text is an empty one without words. Repeated rows are searched
-alike; an empty table gives an empty result. Input columns stay; those that
-clash with the operator's own (prefix `license_`) are replaced.
+errors is found, as all its pieces stand there. A match is `sure` if the words of
+up to 3 letters, such as names of licenses, stand unchanged in it, or if its
+notice has 35 characters or more: "bit license" is one error away from a notice,
+but no sure match.
+
+Of matches of one notice that begin at one place the one with the least errors
+counts; different notices are reported apart, also where they overlap. Nulls: a
+null text is an empty one without words. Texts of any length are searched
+whole. Repeated rows are searched alike; an empty table gives an empty result.
+Input columns stay; those that clash with the operator's own (prefix
+`license_`) are replaced. Other notices can be given in place of those below.
 """
 
 from __future__ import annotations
@@ -58,6 +64,7 @@ REMEMBERED = 20_000
 HIT = T.StructType([
     T.StructField("label", T.StringType()), T.StructField("phrase", T.StringType()), T.StructField("errors", T.IntegerType()),
     T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType()), T.StructField("text", T.StringType()),
+    T.StructField("sure", T.BooleanType()),
 ])
 
 
@@ -65,6 +72,11 @@ def errors_allowed(phrase: str) -> int:
     return min(3, len(phrase) // 7)
 
 
+def unchanged(phrase: str) -> list[str]:
+    """The words of a notice that stand without an error in a sure match."""
+    return [w for w in phrase.split() if len(w) <= 3] if len(phrase) < 35 else []
+
+
 def pieces(phrase: str) -> list[tuple[int, str]]:
     """errors + 1 parts of about equal length, each with its place."""
     n = errors_allowed(phrase) + 1
@@ -85,6 +97,7 @@ class Finder:
             self.automaton.add_word(piece, (len(piece), places))
         self.automaton.make_automaton()
         self.patterns = [regex.compile(rf"(?be)(?<![^ ])(?:{regex.escape(p, literal_spaces=True)}){{e<={errors_allowed(p)}}}(?![^ ])") for p, _ in notices]
+        self.whole = [unchanged(p) for p, _ in notices]
         # the same lines come again and again, within a text and over texts
         self.looked = functools.lru_cache(maxsize=REMEMBERED)(self._look)
 
@@ -93,8 +106,12 @@ class Finder:
         match = self.patterns[n].search(window, left)
         return (match.start(), match.end(), sum(match.fuzzy_counts)) if match else None
 
-    def hits(self, words: list[str]) -> list[tuple[str, str, int, int, int, str]]:
-        """label, phrase, errors, first and last word and text of each match, in order."""
+    def sure(self, n: int, text: str) -> bool:
+        words = iter(text.split())
+        return all(w in words for w in self.whole[n])  # each after the one before
+
+    def hits(self, words: list[str]) -> list[tuple[str, str, int, int, int, str, bool]]:
+        """label, phrase, errors, first and last word, text and sureness of each match, in order."""
         text = " ".join(words)
         starts: set[tuple[int, int]] = set()
         for end, (size, places) in self.automaton.iter(text):
@@ -120,7 +137,7 @@ class Finder:
         out = []
         for (n, at), (errors, end) in sorted(found.items(), key=lambda x: (x[0][1], x[0][0])):
             first, last = np.searchsorted(word_start, [at, end - 1], side="right") - 1
-            out.append((self.notices[n][1], self.notices[n][0], errors, int(first), int(last), text[at:end]))
+            out.append((self.notices[n][1], self.notices[n][0], errors, int(first), int(last), text[at:end], self.sure(n, text[at:end])))
         return out
 
 
@@ -134,10 +151,10 @@ def words_of(text: str) -> list[str]:
 
 
 def scanned(docs: DataFrame, notices: tuple[tuple[str, str], ...] = BASE + NOTICES) -> DataFrame:
-    """docs with license_words (how many) and license_hits (label, phrase, errors, first_word, last_word, text)."""
+    """docs with license_words (how many) and license_hits (label, phrase, errors, first_word, last_word, text, sure)."""
     docs = docs.drop("license_words", "license_hits")
     schema = T.StructType([*docs.schema.fields, T.StructField("license_words", T.LongType()), T.StructField("license_hits", T.ArrayType(HIT))])
-    kind = pa.list_(pa.struct([("label", pa.string()), ("phrase", pa.string()), ("errors", pa.int32()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("text", pa.string())]))
+    kind = pa.list_(pa.struct([("label", pa.string()), ("phrase", pa.string()), ("errors", pa.int32()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("text", pa.string()), ("sure", pa.bool_())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = finder(notices)

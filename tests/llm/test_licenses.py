@@ -75,6 +75,22 @@ def test_edited_notices_are_found():
     assert SEARCH.hits("nothing of that kind is written here in public or in general".split()) == []
 
 
+def test_sure_matches():
+    sure = lambda text: {h[0] for h in SEARCH.hits(text.split()) if h[6]}
+    for text in ("bit license", "a mid license", "released under the bsd license", "licensed under my by", "licensed under a b"):
+        assert sure(text) == set() and SEARCH.hits(text.split()) != [] or "under a b" in text
+    for text, label in (("mit licence", "mit"), ("apache licens", "apache"), ("released unter the mit license", "mit"), ("mozila public licence", "mpl"), ("permission is hereby granted free of charge to ani person obtaning a copy", "mit")):
+        assert label in sure(text)
+
+
+def test_no_false_labels_in_texts_without_notices(spark):
+    """Documents of the tables whose words of notices were taken out."""
+    rows = table(spark, "/root/testdata/sf0.01", "documents").collect()
+    notice_words = {w for p, _ in BASE + NOTICES for w in p.split() if len(w) > 3}
+    texts = [" ".join(w for w in words_of(r.text or "") if w not in notice_words) for r in rows]
+    assert sum(any(h[6] for h in SEARCH.hits(t.split())) for t in texts) == 0
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.001"
     text = {r.doc_id: r.text for r in table(spark, folder, "documents").collect()}
