@@ -17,7 +17,7 @@ id are not learned from. More than MOST_LANGUAGES different values of lang are
 an error, as one vector each comes to the driver. Repeated rows are judged
 alike; ties go to the language first in order. An empty table gives an empty
 result. Columns of the input are kept, clashing ones (`lang_pred`,
-`lang_score`) replaced.
+`lang_score`, `lang_judged`) replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from brookmill.llm.textcode import code_points, seeded
 
@@ -45,7 +44,7 @@ UNKNOWN = "und"
 @functools.lru_cache(maxsize=1)
 def lower_letters() -> np.ndarray:
     """For each code point 0 (no letter) or that of its letter in lower case."""
-    letter = np.zeros(BASE, np.int64)
+    letter = np.zeros(BASE, np.int32)
     for point in range(BASE):
         if (c := chr(point)).isalpha():
             letter[point] = ord(c.lower()) if len(c.lower()) == 1 else point
@@ -63,7 +62,7 @@ class Profiles:
     def __init__(self) -> None:
         self.letters: dict[int, np.ndarray] = {}
         self.grams, self.row = np.zeros(0, np.int64), np.zeros(0, np.int64)  # those kept, sorted, and where
-        self.kept = np.empty((KEPT, DIMENSIONS), np.float32)
+        self.kept = np.empty((KEPT, DIMENSIONS), np.int8)
 
     def rotated(self, point: int) -> np.ndarray:
         """A letter's vectors for the three places."""
@@ -86,7 +85,7 @@ class Profiles:
         points = code_points(text)
         for at in range(0, len(points), PART):
             # one neighbour on each side; the ends of the text count as word edges
-            part = lower_letters()[points[max(at - 1, 0) : at + PART + 1]]
+            part = lower_letters()[points[max(at - 1, 0) : at + PART + 1]].astype(np.int64)
             part = np.concatenate([np.zeros(int(at == 0), np.int64), part, np.zeros(int(at + PART >= len(points)), np.int64)])
             middle = part[1:-1]
             grams = ((part[:-2] * BASE + middle) * BASE + part[2:])[middle > 0]
@@ -114,7 +113,10 @@ class Profiles:
             self.grams, self.row = together[order], rows[order]
             row = self._places(grams)
         weight = counts.astype(np.float32)
-        out = (weight[row >= 0] @ self.kept[row[row >= 0]]).astype(np.float64)
+        here, out = np.flatnonzero(row >= 0), np.zeros(DIMENSIONS, np.float64)
+        for at in range(0, len(here), 1024):
+            some = here[at : at + 1024]
+            out += weight[some] @ self.kept[row[some]].astype(np.float32)
         rest, rest_weight = grams[row < 0], weight[row < 0]
         for at in range(0, len(rest), 1024):
             out += rest_weight[at : at + 1024] @ self.vectors(rest[at : at + 1024])
@@ -166,15 +168,13 @@ def learned(docs: DataFrame, learn_from: Column, sample_rows: int = 20_000) -> d
 
 def identified(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     """docs with lang_pred and lang_score (the cosine, at least 0)."""
-    docs = docs.drop("lang_pred", "lang_score")
     names = list(prototypes)
     table = np.array([v / max(np.linalg.norm(v), 1e-12) for v in prototypes.values()]).reshape(len(names), DIMENSIONS)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
             found: list[tuple[str, float]] = []
-            for text in batch.column("text"):
+            for text in texts:
                 total, count = profiles().sum_of(text.as_py() or "")
                 if not count or not names:
                     found.append((UNKNOWN, 0.0))
@@ -182,7 +182,10 @@ def identified(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
                 cosines = table @ total / max(np.linalg.norm(total), 1e-12)
                 best = int(np.argmax(cosines))
                 found.append((names[best], float(min(max(cosines[best], 0.0), 1.0))))
-            extra = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "lang_pred", "lang_score"])
+            columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.StructArray.from_arrays(columns, names=["lang_pred", "lang_score"])
 
-    return docs.mapInArrow(predict, schema)
+    # only texts go to Python and only the prediction comes back; called nondeterministic, so that no filter repeats it
+    judge = F.arrow_udf(predict, "struct<lang_pred: string, lang_score: double>").asNondeterministic()
+    judged = docs.drop("lang_pred", "lang_score", "lang_judged").withColumn("lang_judged", judge("text"))
+    return judged.select("*", "lang_judged.lang_pred", "lang_judged.lang_score").drop("lang_judged")

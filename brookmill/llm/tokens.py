@@ -51,23 +51,30 @@ def _merge_table(model: dict) -> tuple[dict[bytes, int], np.ndarray]:
     return {token: rank for rank, token in enumerate(order)}, np.array([id_of[token] for token in order], "<u4")
 
 
+@functools.lru_cache(maxsize=2)
+def word_tokenizer(path: str):
+    """The tokenizer's own library, loaded where a text asks for it."""
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
 @functools.lru_cache(maxsize=4)
 def word_ids(path: str | None = None) -> Callable[[str], np.ndarray]:
     """Ids of the word tokenizer, without special tokens."""
     import tiktoken
-    from tokenizers import Tokenizer
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     path = path or public_tokenizers.path(WORD_FILE)
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     with open(path) as f:
         ranks, id_of = _merge_table(json.load(f)["model"])
     merging = tiktoken.Encoding("word", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
 
     def ids(text: str) -> np.ndarray:
         if UNUSUAL.search(text):
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            return np.array(word_tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4")
         words = PIECE.sub(r" \g<0> ", text.lower()).split()
         return id_of[np.array(merging.encode_ordinary(" ".join(words) + " "), np.int64)] if words else id_of[:0]
 
