@@ -253,6 +253,32 @@ def supplier_unpivot(read, spark, folder):
     return s.unpivot("s_suppkey", ["balance", "nation"], "measure", "value")
 
 
+@query("""
+SELECT label, count(*) AS n, sum(len([x FOR x IN embedding IF x > 0]))::BIGINT AS above, sum(list_position(embedding, list_max(embedding)))::BIGINT AS peaks FROM embeddings GROUP BY ALL""")
+def embedding_signs(read, spark, folder):
+    """How many elements of arrays are positive, and where their greatest stand, by label."""
+    return read("embeddings").groupBy("label").agg(
+        F.count("*").alias("n"), F.sum(F.size(F.filter("embedding", lambda x: x > 0))).alias("above"), F.sum(F.array_position("embedding", F.array_max("embedding"))).alias("peaks"))
+
+
+@query("""
+SELECT a.role, b.role AS answered_by, count(*) AS n, sum(strlen(b.text))::BIGINT AS bytes
+FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 GROUP BY ALL""")
+def turn_pairs(read, spark, folder):
+    """Who answers whom: turns beside the next ones, by an equality of both keys, so that a long conversation is spread as well."""
+    turns = read("conversations")
+    following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("answered_by"), F.octet_length("text").alias("bytes"))
+    return turns.select("conv_id", "turn", "role").join(following, ["conv_id", "turn"], "left").groupBy("role", "answered_by").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+@query("""
+SELECT strlen(word) AS size, count(*) AS n, count(DISTINCT word) AS kinds FROM (SELECT unnest(string_split(text, ' ')) AS word FROM benchmark) GROUP BY ALL""")
+def benchmark_words(read, spark, folder):
+    """Words by their length: rows made from arrays, counted in two steps."""
+    words = read("benchmark").select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return words.groupBy(F.octet_length("word").cast("bigint").alias("size")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+
+
 @query("SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n, sum(value::DECIMAL(12,2))::DOUBLE AS total FROM events GROUP BY ALL")
 def event_properties(read, spark, folder):
     """Events by a field of a JSON column."""
