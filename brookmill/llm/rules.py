@@ -34,6 +34,10 @@ CLASSES = {
     "symbol": r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D.,;:!?'\"()\-]",
 }
 KINDS = [*CLASSES, "letter", "space"]
+#: In none of the classes, and not a symbol: taken out of a text before these are counted.
+PLAIN = r"[a-z\x20]+"
+#: Lists that common words are dealt to by a hash, so that a word is compared with one or two of them.
+SLOTS = 128
 
 
 def let(value: Column, body) -> Column:
@@ -72,31 +76,41 @@ def class_counts(text: Column) -> dict[str, Column]:
     return {k: F.regexp_count(text, F.lit(p)).cast("long") for k, p in CLASSES.items()}
 
 
+def slot(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
+
+
+def slots_of(words: Column, most: int) -> Column:
+    """SLOTS lists of the common words with their characters."""
+    marked = F.transform(words, lambda w, i: F.struct(w.alias("word"), F.get(marks(most), i).alias("mark")))
+    return let(marked, lambda m: F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: F.filter(m, lambda x: slot(x["word"]) == k)))
+
+
 def marks(most: int) -> Column:
     """A character for each common word."""
     return F.array(*[F.lit(chr(0x4E00 + k)) for k in range(most)])
 
 
-def measured(docs: DataFrame, most: int) -> DataFrame:
-    """docs, which have ref_common, with rule_words, rule_word_chars, rule_symbols, rule_dup_lines,
+def measured(docs: DataFrame) -> DataFrame:
+    """docs, which have ref_slots, with rule_words, rule_word_chars, rule_symbols, rule_dup_lines,
     rule_repeat_words, the counts of the character classes, and rule_found: a character for each
     common word in the text, in order."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    common = F.coalesce(F.col("ref_common"), F.array().cast("array<string>"))
+    mark = lambda x: F.get(F.filter(F.get(F.col("ref_slots"), slot(x)), lambda y: y["word"] == x)["mark"], 0)
     of_words = let(words_of(text), lambda w: F.struct(
         F.size(w).cast("long").alias("n"), F.char_length(F.array_join(w, "")).cast("long").alias("chars"), repeated_words(w).cast("long").alias("repeated"),
-        F.array_join(F.transform(w, lambda x: F.get(marks(most), F.array_position(common, x).cast("int") - 1)), "").alias("found"),
+        F.array_join(F.transform(w, mark), "").alias("found"),
     ))
-    out = docs.withColumns({f"rule_{k}": v for k, v in class_counts(text).items()} | {
-        "rule_w": of_words, "rule_chars": F.char_length(text).cast("long"), "rule_symbols": F.regexp_count(text, F.lit(SYMBOL)).cast("long"), "rule_dup_lines": repeated_lines(text),
-    })
+    of_rest = let(F.regexp_replace(text, PLAIN, ""), lambda r: F.struct(F.regexp_count(r, F.lit(SYMBOL)).cast("long").alias("symbols"), *[v.alias(k) for k, v in class_counts(r).items()]))
+    out = docs.withColumns({"rule_w": of_words, "rule_r": of_rest, "rule_chars": F.char_length(text).cast("long"), "rule_dup_lines": repeated_lines(text)})
+    out = out.withColumns({"rule_symbols": F.col("rule_r")["symbols"]} | {f"rule_{k}": F.col("rule_r")[k] for k in CLASSES})
     rest = F.col("rule_w")["chars"]
     for k in CLASSES:
         rest = rest - F.col(f"rule_{k}")
     return out.withColumns({
         "rule_words": F.col("rule_w")["n"], "rule_word_chars": F.col("rule_w")["chars"], "rule_repeat_words": F.col("rule_w")["repeated"],
         "rule_found": F.col("rule_w")["found"], "rule_letter": rest, "rule_space": F.col("rule_chars") - F.col("rule_w")["chars"],
-    }).drop("rule_w")
+    }).drop("rule_w", "rule_r")
 
 
 def language_key(lang: Column) -> Column:
@@ -163,10 +177,10 @@ def judged(
 ) -> DataFrame:
     """docs with the rule_ columns: counts, rule_base_failed, rule_class_divergence, rule_word_divergence, rule_kept."""
     docs = docs.drop(*[c for c in docs.columns if c.startswith(("rule_", "ref_"))])
-    refs = written(references(docs, min_share, min_reference_words), "rule-references")
     most = int(1 / min_share) + 1
+    refs = written(references(docs, min_share, min_reference_words).withColumn("ref_slots", slots_of(F.col("ref_common"), most)), "rule-references")
     out = join_checked(docs.withColumn("rule_lang", language_key(F.col("lang"))), refs, ["rule_lang"], "left")
-    out = measured(out, most)
+    out = measured(out)
     classes = F.array(*[F.col(f"rule_{k}") / F.col("rule_chars") for k in KINDS])
     ref_all = F.concat(F.col("ref_shares"), F.array(F.greatest(F.lit(1.0) - F.aggregate("ref_shares", F.lit(0.0), lambda a, x: a + x), F.lit(0.0))))
     shares = word_shares(F.col("rule_found"), F.col("rule_words"), F.size("ref_common"), most)
@@ -176,7 +190,7 @@ def judged(
         "rule_base_failed": (F.col("rule_words") < min_words) | (100 * F.col("rule_repeat_words") > most_repeated * F.col("rule_words")),
     })
     fits = (F.coalesce("rule_class_divergence", F.lit(0.0)) <= most_class_divergence) & (F.coalesce("rule_word_divergence", F.lit(0.0)) <= most_word_divergence)
-    return out.withColumn("rule_kept", ~F.col("rule_base_failed") & fits).drop("rule_lang", "rule_found", "ref_classes", "ref_common", "ref_shares")
+    return out.withColumn("rule_kept", ~F.col("rule_base_failed") & fits).drop("rule_lang", "rule_found", "ref_classes", "ref_common", "ref_shares", "ref_slots")
 
 
 def kept(docs: DataFrame, **parameters) -> DataFrame:
