@@ -1,0 +1,108 @@
+"""Spelling variants: against a search of all edits, on hot anagram classes, long words and chains."""
+
+import itertools
+import random
+import re
+import zlib
+from collections import Counter
+
+from brookmill.llm.query_spelling import op11_spelling
+from brookmill.llm.spelling import anagram_key, met_keys, rests, variants, vocabulary
+from brookmill.sources.tables import table
+
+LETTERS = [chr(k) for k in (*range(97, 123), *range(0xC0, 0x100))]
+
+
+def near(a: str, b: str) -> bool:
+    """Exactly one code point inserted, deleted or replaced."""
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[k + (len(a) >= len(b)) :] == b[k + (len(b) >= len(a)) :]
+
+
+def edits(w: str) -> set[str]:
+    out = {w[:k] + w[k + 1 :] for k in range(len(w))}
+    for k, c in itertools.product(range(len(w) + 1), LETTERS):
+        out |= {w[:k] + c + w[k:], w[:k] + c + w[k + 1 :]}
+    return out - {w}
+
+
+def expected(n: dict[str, int], neighbours) -> set[tuple]:
+    form, many = {}, {}
+    for w in n:
+        found = neighbours(w)
+        many[w] = len(found)
+        best = min(found, key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best is not None and n[best] >= 2 * n[w] else None
+    rows = set()
+    for w in n:
+        last = w
+        while form[last]:
+            last = form[last]
+        rows.add((w, n[w], many[w], form[w], n.get(form[w]), last))
+    return rows
+
+
+def given(spark, n: dict[str, int]):
+    words = spark.createDataFrame(list(n.items()), "word string, n int").selectExpr("explode(array_repeat(word, n)) AS word")
+    return words.repartition(5)
+
+
+def check(spark, n, neighbours=None):
+    got = variants(vocabulary(given(spark, n))).select("word", "n", "n_near", "form", "form_n", "root").collect()
+    assert len(got) == len(n)
+    assert set(map(tuple, got)) == expected(n, neighbours or (lambda w: [v for v in n if near(w, v)]))
+
+
+def test_against_all_pairs(spark):
+    rng = random.Random(1)
+    n = {}
+    while len(n) < 500:  # few letters, so that most words have near ones, and anagrams abound
+        n["".join(rng.choices("abcé", k=rng.randint(5, 7)))] = rng.choice([3, 3, 4, 6, 8, 12, 13, 24])
+    check(spark, n)
+
+
+def test_a_class_of_many_anagrams_is_not_paired(spark):
+    """All orders of seven letters are one key and none is near another; each with a letter more, or another, is near one or few."""
+    rng = random.Random(2)
+    orders = ["".join(p) for p in itertools.permutations("abcdefg")]
+    n = dict.fromkeys(orders, 3)
+    for w in rng.sample(orders, 400):
+        k = rng.randrange(8)
+        n[w[:k] + "x" + w[k:]] = 3
+        n[w[: k % 7] + "y" + w[k % 7 + 1 :]] = 7
+    check(spark, n, lambda w: [v for v in edits(w) if v in n])
+    words = vocabulary(given(spark, n))
+    groups = [r["count"] for r in rests(words, met_keys(words)).groupBy("less", "place", "rest").count().collect()]
+    assert max(groups) <= 30 and len(groups) > 400
+
+
+def test_long_words_runs_and_chains(spark):
+    long = "".join(random.Random(3).choices("abcdefgh", k=3000))
+    n = {long: 9, long[:1500] + long[1501:]: 3, long[:2000] + "z" + long[2001:]: 4, "aaaaa": 3, "aaaaaa": 6, "aaaaaaa": 12, "aaaaaaab": 24, "aaaaaacb": 48, "lonely": 5, "ÿÿÿÿÿ": 3, "ÿÿàÿÿ": 6}
+    check(spark, n)
+
+
+def test_keys(spark):
+    rows = spark.createDataFrame([("abc",), ("cab",), ("abd",), ("ÿ",)], "word string").select("word", anagram_key("word").alias("k")).collect()
+    k = {r.word: r.k for r in rows}
+    assert k["abc"] == k["cab"] == 1 + 2**5 + 3**5 and k["abd"] - k["abc"] == 4**5 - 3**5 and k["ÿ"] == 90**5
+
+
+def test_few_words(spark):
+    check(spark, {"alone": 3})
+    assert variants(vocabulary(spark.createDataFrame([(None,), ("short",), ("abcd",)], "word string"))).collect() == []
+
+
+def test_query(spark):
+    folder = "/root/testdata/sf0.001"
+    n = Counter()
+    for r in table(spark, folder, "documents").collect():
+        for run in re.findall("[a-zÀ-ÿ]+", re.sub("[A-Z]+", lambda m: m[0].lower(), r.text or "")):
+            h = zlib.crc32(f"{r.doc_id}:{run}".encode())
+            k = h % len(run)
+            n[run if h % 97 else run[:k] + run[k + 1 :]] += 1
+    n = {w: c for w, c in n.items() if len(w) >= 5 and c >= 3}
+    got = op11_spelling(spark, folder).select("word", "n", "n_near", "form", "form_n", "root").collect()
+    assert len(got) == len(n) and set(map(tuple, got)) == expected(n, lambda w: [v for v in edits(w) if v in n])
