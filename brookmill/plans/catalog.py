@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from brookmill.functions.columns import day, exact, mean, moment, money, revenue
 from brookmill.operators.groups import distinct_by_parts, sessions, top_per_group
 from brookmill.operators.joins import asof_join, range_join, uneven_join
+from brookmill.operators.scans import first, lag, lead, moving_sum, ntile, ordered, percent_rank, rank, running_sum
 from brookmill.sources.tables import table
 from brookmill.streaming.windows import counts_by_window, events, run_all, without_repeats
 
@@ -208,10 +208,12 @@ SELECT o_custkey, o_orderkey, (sum(o_totalprice::DECIMAL(12,2)) OVER w)::DOUBLE
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
 def order_windows(read, spark, folder):
     """Running sum, moving sum, rank, quartile and relative rank of a customer's orders."""
-    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return read("orders").select(
-        "o_custkey", "o_orderkey", money(F.sum(exact("o_totalprice")).over(w)).alias("running"), money(F.sum(exact("o_totalprice")).over(w.rowsBetween(-2, 0))).alias("moving"),
-        F.rank().over(W.partitionBy("o_custkey").orderBy("o_orderpriority")).alias("by_priority"), F.ntile(4).over(w).alias("quarter"), F.percent_rank().over(w).alias("part"))
+    price = F.round(F.col("o_totalprice") * 100).cast("bigint")  # in cents
+    orders = read("orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority", price.alias("cents"))
+    sums = {"running": running_sum(F.col("cents")), "moving": moving_sum(F.col("cents"), 2), "quarter": ntile(4), "part": percent_rank()}
+    rows = ordered(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], sums)
+    rows = ordered(rows, ["o_custkey"], ["o_orderpriority"], {"by_priority": rank()})
+    return rows.select("o_custkey", "o_orderkey", (F.col("running") / 100).alias("running"), (F.col("moving") / 100).alias("moving"), "by_priority", "quarter", "part")
 
 
 @query("""
@@ -219,8 +221,9 @@ SELECT event_id, lag(event_type) OVER w AS before, lead(event_type, 2, 'none') O
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def event_neighbours(read, spark, folder):
     """What a user did before and after."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    return read("events").select("event_id", F.lag("event_type").over(w).alias("before"), F.lead("event_type", 2, "none").over(w).alias("after"), F.first("event_id").over(w).alias("first_id"))
+    events = read("events").select("event_id", "event_type", "user_id", "ts")
+    found = {"before": lag("event_type"), "after": lead("event_type", 2, "none"), "first_id": first("event_id")}
+    return ordered(events, ["user_id"], ["ts", "event_id"], found).select("event_id", *found)
 
 
 @query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey + 20 FROM supplier")

@@ -3,9 +3,13 @@
 import os
 import subprocess
 import sys
+import types
 from pathlib import Path
 
+import pytest
+
 import __spark_entry__
+from brookmill.session import shared_folder
 
 REPO = Path(__file__).resolve().parents[1]
 
@@ -32,30 +36,36 @@ print("ROWS", known[name](spark, "/root/testdata/sf0.001").count())
     assert "ROWS" in done.stdout, done.stderr[-2000:]
 
 
-def test_sessions_without_a_checkpoint_folder(tmp_path):
-    """A session on this machine gets a folder of its own, one on several executors an error that says what to do."""
+def test_a_local_session_without_a_checkpoint_folder(tmp_path):
+    """It gets a folder of its own, the same for all its queries."""
     code = f"""
 import sys; sys.path.insert(0, {str(REPO)!r})
 from pyspark.sql import SparkSession
-spark = SparkSession.builder.master(sys.argv[1]).config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").getOrCreate()
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.driver.memory", "1g").getOrCreate()
 from brookmill.session import shared_folder
 import __spark_entry__
 assert spark.conf.get("spark.checkpoint.dir", None) is None
-if "cluster" in sys.argv[1]:
-    try:
-        shared_folder(spark)
-    except ValueError as e:
-        print("SAYS", e)
-else:
-    assert shared_folder(spark) == shared_folder(spark)
-    known = __spark_entry__.queries()
-    for name in ("stream_daily_counts", "op5_mixing"):
-        if name in known:
-            print("ROWS", known[name](spark, "/root/testdata/sf0.001").count())
+assert shared_folder(spark) == shared_folder(spark)
+known = __spark_entry__.queries()
+for name in ("stream_daily_counts", "op5_mixing"):
+    if name in known:
+        print("ROWS", known[name](spark, "/root/testdata/sf0.001").count())
 """
     env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "TMPDIR": str(tmp_path)}
-    run = lambda master: subprocess.run([sys.executable, "-c", code, master], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
-    done = run("local[2]")
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert "ROWS" in done.stdout and done.returncode == 0, done.stderr[-2000:]
-    done = run("local-cluster[1,1,1024]")
-    assert "SAYS set spark.checkpoint.dir" in done.stdout, done.stderr[-2000:]
+
+
+class Session:
+    """As much of a session as the choice of a folder looks at."""
+
+    def __init__(self, master, folder=None):
+        self.sparkContext = types.SimpleNamespace(master=master, applicationId="stand-in")
+        self.conf = types.SimpleNamespace(get=lambda name, default: folder if name == "spark.checkpoint.dir" and folder else default)
+
+
+@pytest.mark.parametrize("master", ["local-cluster[3,2,1024]", "spark://host:7077", "yarn", "k8s://https://host"])
+def test_cluster_sessions_have_to_name_a_folder(master):
+    with pytest.raises(ValueError, match="set spark.checkpoint.dir"):
+        shared_folder(Session(master))
+    assert shared_folder(Session(master, "hdfs://host/shared/")) == "hdfs://host/shared"
