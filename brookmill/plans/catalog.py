@@ -10,21 +10,26 @@ from pyspark.sql import functions as F
 from brookmill.functions.columns import day, exact, mean, moment, money, revenue
 from brookmill.operators.groups import distinct_by_parts, sessions, top_per_group
 from brookmill.operators.joins import asof_join, range_join, uneven_join
+from brookmill.operators.neighbours import nearest, usable
 from brookmill.operators.scans import first, lag, lead, moving_sum, ntile, ordered, percent_rank, rank, running_sum
+from brookmill.session import setting
 from brookmill.sources.tables import table
-from brookmill.streaming.windows import counts_by_window, events, run_all, without_repeats
+from brookmill.streaming.joins import interval_join
+from brookmill.streaming.sessions import STORE, stream_sessions
+from brookmill.streaming.windows import counts_by_window, emitted, events, in_batches, run_all, without_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str):
-    """Register a function of (read, spark, folder), where read(name) is a table, with its SQL."""
+def query(sql: str | None):
+    """Register a function of (read, spark, folder), where read(name) is a table, with its SQL if that can say it."""
 
     def add(f):
         QUERIES[f.__name__] = lambda spark, folder: f(lambda name: table(spark, folder, name), spark, folder)
         QUERIES[f.__name__].__doc__ = f.__doc__
-        SQL[f.__name__] = sql
+        if sql:
+            SQL[f.__name__] = sql
         return f
 
     return add
@@ -360,8 +365,59 @@ def stream_daily_counts(read, spark, folder):
     return found.select(moment("window.start").alias("began"), "event_type", "n")
 
 
-@query("SELECT DISTINCT user_id FROM events")
+@query("""
+WITH seen AS (
+  SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events
+) SELECT user_id, event_type, count(*) AS n FROM seen WHERE before IS NULL GROUP BY ALL""")
 def stream_first_seen(read, spark, folder):
-    """The users of a stream, each kept once while it is remembered."""
-    stream = events(spark, f"{folder}/events.parquet").select("user_id", "ts")
-    return run_all(without_repeats(stream, "ts", "60 days", ["user_id"]), "append", ["user_id"]).select("user_id")
+    """The first event of each user and type, from a stream of several batches; n counts what the stream emits, so that a repeat would show."""
+    rows = in_batches(read("events").select("event_id", "user_id", "event_type", "ts"), "ts", 3)
+    return emitted(without_repeats(rows, "ts", "60 days", ["user_id", "event_type"])).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH numbered AS (
+  SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts FROM events)
+), whole AS (
+  SELECT user_id, session, min(ts) AS began, max(ts) AS ended, count(*) AS n FROM numbered GROUP BY user_id, session)
+SELECT user_id, strftime(began, '%Y-%m-%d %H:%M:%S') AS began, strftime(ended, '%Y-%m-%d %H:%M:%S') AS ended, n
+FROM whole WHERE ended + INTERVAL 30 MINUTE < (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")
+def stream_user_sessions(read, spark, folder):
+    """Sessions of users as a stream of several batches, with state and timers: those that are closed two hours before the last event."""
+    with setting(spark, "spark.sql.streaming.stateStore.providerClass", STORE):
+        found = emitted(stream_sessions(in_batches(read("events").select("user_id", "ts"), "ts", 4), "user_id", "ts", 1800, "2 hours"))
+    return found.select("user_id", moment("began").alias("began"), moment("ended").alias("ended"), "n")
+
+
+@query("""
+WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), c AS (SELECT event_id AS click_id, user_id, ts FROM events WHERE event_type = 'click'),
+mark AS (SELECT least((SELECT max(ts) FROM p), (SELECT max(ts) FROM c)) - INTERVAL 10 MINUTE AS last_mark)
+SELECT event_id, click_id FROM p JOIN c ON p.user_id = c.user_id AND c.ts BETWEEN p.ts - INTERVAL 1 HOUR AND p.ts
+UNION ALL SELECT event_id, NULL FROM p WHERE ts < (SELECT last_mark FROM mark) AND NOT EXISTS (SELECT 1 FROM c WHERE p.user_id = c.user_id AND c.ts BETWEEN p.ts - INTERVAL 1 HOUR AND p.ts)""")
+def stream_clicks_of_purchases(read, spark, folder):
+    """Purchases with the clicks of the hour before, of two streams; those without one when the watermark has passed them."""
+    rows = read("events").select("event_id", "user_id", "event_type", "ts")
+    of = lambda kind: rows.where(F.col("event_type") == kind).drop("event_type")
+    purchases = in_batches(of("purchase"), "ts", 3)
+    clicks = in_batches(of("click").withColumnsRenamed({"event_id": "click_id", "ts": "clicked"}), "clicked", 3)
+    return emitted(interval_join(purchases, clicks, ["user_id"], "ts", "clicked", 3600, "10 minutes")).select("event_id", "click_id")
+
+
+@query(None)
+def nearest_vectors(read, spark, folder):
+    """The ten nearest of all embeddings to each whose id is divisible by 50, by an inverted file of cells; its recall is measured in the tests."""
+    rows = usable(read("embeddings"), "vec_id", "embedding", 64)
+    found = nearest(rows, rows.where("id % 50 = 0"), 10)
+    return found.select(F.col("id").alias("vec_id"), "rank", "neighbour", F.round("distance", 4).alias("distance"))
+
+
+@query("""
+SELECT vec_id, rank, neighbour, round(distance, 4) AS distance FROM (
+  SELECT q.vec_id, n.vec_id AS neighbour, list_distance(q.embedding::DOUBLE[], n.embedding::DOUBLE[]) AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY distance, n.vec_id) AS rank
+  FROM embeddings q JOIN embeddings n ON q.vec_id % 50 = 0 AND n.vec_id != q.vec_id) WHERE rank <= 10""")
+def nearest_vectors_exact(read, spark, folder):
+    """The same, looking into all cells."""
+    rows = usable(read("embeddings"), "vec_id", "embedding", 64)
+    found = nearest(rows, rows.where("id % 50 = 0"), 10, exact=True)
+    return found.select(F.col("id").alias("vec_id"), "rank", "neighbour", F.round("distance", 4).alias("distance"))
