@@ -4,9 +4,9 @@ Words are what lies between the characters of SPACES after A-Z are lower-cased.
 A window is `width` consecutive words of a benchmark item; an item of fewer
 words, but not none, is one window. Windows of the items form a set of 64-bit
 hashes, broadcast where its rows take at most BROADCAST_BYTES and joined by a
-shuffle beyond. Every window of every document is looked up in it, and what is
-found is verified word by word before it counts. A document's word inside a
-verified occurrence is hit.
+shuffle beyond. The windows of every document are looked up in it (see
+`occurrences`), and what is found is verified word by word before it counts. A
+document's word inside a verified occurrence is hit.
 
 `found` reports what was hit, `without_spans` removes hit words, with what
 stands between neighbouring ones, and `without_documents` removes documents.
@@ -27,7 +27,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookmill.llm.store import join_checked, passing, set_apart, written
+from brookmill.llm.store import BROADCAST_BYTES, join_checked, passing, set_apart, written
+from brookmill.operators.joins import size_in_bytes
 
 WIDTH = 10
 #: What parts words, in a text whose A-Z are lower-cased, and in any text.
@@ -41,23 +42,16 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(low, SPACES), "")
 
 
-def _windows(size: Column, hashes: Column, width: Column | int) -> Column:
-    """The hash of each window of so many words, as an array of structs (at, width, hash)."""
-    wide = width if isinstance(width, Column) else F.lit(width)
-    n = F.greatest(size - wide + 1, F.lit(0))
-    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda at: F.struct(at.alias("at"), wide.alias("width"), F.xxhash64(F.slice(hashes, at, wide)).alias("hash")))
-
-
-def _hashed(df: DataFrame, width: Column | int | list[int]) -> DataFrame:
-    """df, which has leak_words, with a row for each window: leak_at (from 1), leak_width, leak_hash."""
+def _windows(df: DataFrame, widths: list[int]) -> DataFrame:
+    """df, which has leak_words, with a row for each window of one of these widths: leak_at (from 1), leak_width, leak_hash."""
     # a hash a word and then one a window: words are read once, however many windows hold them
     df = df.withColumn("leak_hashes", F.transform("leak_words", lambda w: F.xxhash64(w)))
-    size = F.size("leak_words")
-    widths = width if isinstance(width, list) else [width]
-    every = F.concat(*[_windows(size, F.col("leak_hashes"), w) for w in widths]) if len(widths) > 1 else _windows(size, F.col("leak_hashes"), widths[0])
-    out = df.withColumn("leak_window", F.explode(every)).drop("leak_hashes")
-    return out.select("*", F.col("leak_window.at").alias("leak_at"), F.col("leak_window.width").alias("leak_width"), F.col("leak_window.hash").alias("leak_hash")).drop("leak_window")
+    many = lambda wide: F.greatest(F.size("leak_words") - wide + 1, F.lit(0))
+    of = lambda wide: F.transform(F.slice("leak_hashes", F.lit(1), many(wide)), lambda x, i: F.xxhash64(F.slice("leak_hashes", i + 1, wide)))
+    df = df.select("*", F.posexplode(F.array(*[of(w) for w in widths])).alias("leak_kind", "leak_every")).drop("leak_hashes")
+    df = df.select("*", F.posexplode("leak_every").alias("leak_from", "leak_hash"))
+    wide = F.element_at(F.array(*[F.lit(w) for w in widths]), F.col("leak_kind") + 1)
+    return df.withColumns({"leak_at": F.col("leak_from") + 1, "leak_width": wide}).drop("leak_kind", "leak_every", "leak_from")
 
 
 def item_windows(items: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
@@ -68,18 +62,42 @@ def item_windows(items: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataF
     items = items.withColumn("leak_class", F.sha2(F.array_join("leak_words", " "), 256))
     members = written(items.select("leak_class", "leak_item").distinct(), "leak-items")
     texts = items.groupBy("leak_class").agg(F.first("leak_words").alias("leak_words"))
-    wide = F.least(F.size("leak_words"), F.lit(width))
-    found = _hashed(texts, wide).select("leak_hash", "leak_width", F.slice("leak_words", F.col("leak_at"), F.col("leak_width")).alias("leak_item_words"), "leak_class")
+    # items of fewer words than the width are one window
+    texts = texts.withColumn("leak_size", F.least(F.size("leak_words"), F.lit(width)))
+    found = _windows(texts, list(range(1, width + 1))).where("leak_width = leak_size")
+    found = found.select("leak_hash", "leak_width", F.slice("leak_words", F.col("leak_at"), F.col("leak_width")).alias("leak_item_words"), "leak_class")
     return written(found.distinct(), "leak-windows"), members
 
 
-def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """Verified occurrences in docs (leak_key, leak_words): leak_key, leak_at (from 1), leak_width, leak_class."""
-    widths = [r.leak_width for r in windows.select("leak_width").distinct().orderBy("leak_width").collect()]  # WIDTH of them at most
-    if not widths:
-        return windows.sparkSession.createDataFrame([], "leak_key string, leak_at int, leak_width int, leak_class string")
-    met = join_checked(_hashed(docs, widths), windows, ["leak_hash", "leak_width"], "inner")
-    return met.where(F.slice("leak_words", F.col("leak_at"), F.col("leak_width")) == F.col("leak_item_words")).select("leak_key", "leak_at", "leak_width", "leak_class")
+def seeds(windows: DataFrame) -> DataFrame:
+    """leak_seed, leak_offset, leak_width: the hash of each window's longest word, which is rare as a rule, and the number of words before it."""
+    longest = F.array_max(F.transform("leak_item_words", lambda w, i: F.struct(F.octet_length(w).alias("size"), (-i).alias("turn"), w.alias("word"))))
+    chosen = windows.select("leak_width", longest.alias("x"))
+    return chosen.select(F.xxhash64("x.word").alias("leak_seed"), (-F.col("x.turn")).alias("leak_offset"), "leak_width").distinct()
+
+
+def occurrences(docs: DataFrame, windows: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Verified occurrences in docs (leak_key, leak_words): leak_key, leak_at (from 1), leak_width, leak_class.
+
+    Where the set of windows is broadcast, only those windows of documents are
+    hashed and looked up that hold the longest word of one of the set in its
+    place, as others can't be in it. Beyond most_bytes all are hashed, hashes
+    alone are shuffled, and what is found goes back to the documents' words.
+    """
+    if size_in_bytes(windows) <= most_bytes:
+        words = docs.select("*", F.posexplode("leak_words").alias("leak_place", "leak_word")).withColumn("leak_seed", F.xxhash64("leak_word"))
+        held = words.join(F.broadcast(seeds(windows)), "leak_seed").withColumn("leak_at", F.col("leak_place") - F.col("leak_offset") + 1)
+        held = held.where((F.col("leak_at") >= 1) & (F.col("leak_at") + F.col("leak_width") - 1 <= F.size("leak_words")))
+        held = held.select("leak_key", "leak_at", "leak_width", F.slice("leak_words", F.greatest(F.col("leak_at"), F.lit(1)), F.col("leak_width")).alias("leak_doc_words"))
+        # a hash of hashes, as the windows of the set have
+        held = held.withColumn("leak_hash", F.xxhash64(F.transform("leak_doc_words", lambda w: F.xxhash64(w))))
+        met = held.join(F.broadcast(windows), ["leak_hash", "leak_width"])
+        return met.where(F.col("leak_doc_words") == F.col("leak_item_words")).select("leak_key", "leak_at", "leak_width", "leak_class")
+    widths = [r.leak_width for r in windows.select("leak_width").distinct().orderBy("leak_width").collect()]  # as many as the width at most
+    met = _windows(docs, widths).select("leak_key", "leak_at", "leak_width", "leak_hash").join(windows, ["leak_hash", "leak_width"])
+    met = met.groupBy("leak_key").agg(F.collect_set(F.struct("leak_at", "leak_width", "leak_item_words", "leak_class")).alias("leak_met"))
+    true = F.filter("leak_met", lambda m: F.slice("leak_words", m["leak_at"], m["leak_width"]) == m["leak_item_words"])
+    return docs.join(met, "leak_key").select("leak_key", F.inline(true)).select("leak_key", "leak_at", "leak_width", "leak_class")
 
 
 def _places(spans: Column) -> Column:

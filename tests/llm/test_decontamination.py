@@ -50,6 +50,7 @@ def tables(seed=1):
 def test_hits_against_a_plain_search(spark, monkeypatch, most_bytes):
     """With the windows broadcast and, as for large benchmarks, joined by a shuffle."""
     monkeypatch.setattr(module.join_checked, "__defaults__", (most_bytes,))
+    monkeypatch.setattr(module.occurrences, "__defaults__", (most_bytes,))
     docs, items = tables()
     got = found(spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(items, ITEMS)).collect()
     assert len(got) == len(docs)
