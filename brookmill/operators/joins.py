@@ -65,6 +65,39 @@ def range_join(points: DataFrame, ranges: DataFrame, at: Column, low: Column, hi
     return points.withColumn("range_cell", cell(at)).join(dealt, "range_cell").where((at >= low) & (at <= high)).drop("range_cell")
 
 
+def overlap_join(left: DataFrame, right: DataFrame, by: list[str], left_range: tuple[str, str], right_range: tuple[str, str]) -> DataFrame:
+    """Pairs of a row of left and one of right with equal `by` columns whose ranges of whole numbers, ends included, overlap.
+
+    Columns of the two have to differ but for `by`. Widths may differ by any
+    factor: a range belongs to the level of the least power of two above its
+    width, where it touches two cells of that size at most, and meets others at
+    the level of the wider one. So each row is stored twice at most, and looked
+    up in two cells of each level that the other side has, some 60 at most. Of
+    two cells that a pair has in common the one in which its overlap begins
+    counts. Ranges with a null end, or ends in the wrong order, overlap none.
+    """
+    sides = {}
+    for side, df, (low, high) in (("left", left, left_range), ("right", right, right_range)):
+        low, high = F.col(low).cast("bigint"), F.col(high).cast("bigint")
+        level = F.when(high > low, F.length(F.bin(high - low))).otherwise(0)
+        sides[side] = df.where(low <= high).withColumns({f"{side}_low": low, f"{side}_high": high, f"{side}_level": level})
+    shift = lambda name, level: F.expr(f"shiftright({name}, {level})")
+    cells = lambda side, level: F.explode(F.array_distinct(F.array(shift(f"{side}_low", level), shift(f"{side}_high", level)))).alias(f"{side}_cell")
+    pairs = []
+    for stored, asking, wider in (("right", "left", ">="), ("left", "right", ">")):
+        levels = sorted(r[0] for r in sides[stored].select(f"{stored}_level").distinct().collect())  # 64 at most
+        there = sides[stored].select("*", cells(stored, f"{stored}_level"))
+        here = sides[asking].withColumn("ask_level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).where(f"ask_level {wider} {asking}_level")
+        here = here.select("*", cells(asking, "ask_level"))
+        on = (F.col("ask_level") == F.col(f"{stored}_level")) & (F.col(f"{asking}_cell") == F.col(f"{stored}_cell"))
+        on = functools.reduce(lambda a, c: a & (here[c] == there[c]), by, on)
+        meet = (F.col("left_low") <= F.col("right_high")) & (F.col("right_low") <= F.col("left_high"))
+        begins = F.expr(f"shiftright(greatest(left_low, right_low), {stored}_level)") == F.col(f"{stored}_cell")
+        found = here.join(there, on & meet & begins)
+        pairs.append(found.select(*[here[c] for c in by], *[c for df in (left, right) for c in df.columns if c not in by]))
+    return pairs[0].unionByName(pairs[1])
+
+
 def uneven_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """A join whose keys may hold very many rows of big: small is broadcast where
     its rows take at most `most_bytes`; beyond that both sides are shuffled, and

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from brookmill.functions.columns import day, exact, mean, moment, money, revenue
 from brookmill.operators.groups import distinct_by_parts, sessions, top_per_group
-from brookmill.operators.joins import asof_join, range_join, uneven_join
+from brookmill.operators.joins import asof_join, overlap_join, range_join, uneven_join
 from brookmill.operators.neighbours import nearest, usable
+from brookmill.operators.patterns import matches
+from brookmill.operators.quantiles import quantiles
 from brookmill.operators.scans import first, lag, lead, moving_sum, ntile, ordered, percent_rank, rank, running_sum
 from brookmill.session import setting
 from brookmill.sources.tables import table
@@ -184,13 +186,20 @@ def parts_grouping_sets(read, spark, folder):
 
 
 @query("""
+WITH cents AS (SELECT *, round(o_totalprice * 100)::BIGINT AS c FROM orders)
 SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderdate) AS days, min(o_totalprice) AS lowest, max(o_totalprice) AS highest,
-       round(stddev_samp(o_totalprice), 2) AS deviation, round(quantile_cont(o_totalprice, 0.5), 4) AS median FROM orders GROUP BY ALL""")
+       round(sqrt(((count(*) * sum(c::HUGEINT * c) - sum(c)::HUGEINT * sum(c)) // (count(*) * (count(*) - 1)))::DOUBLE)) / 100.0::DOUBLE AS deviation, quantile_cont(c, 0.5) / 100.0::DOUBLE AS median FROM cents GROUP BY ALL""")
 def order_statistics(read, spark, folder):
-    """Distinct counts, extremes, deviation and exact median."""
-    return read("orders").groupBy("o_orderpriority").agg(
+    """Distinct counts, extremes, deviation (of whole cents, exactly summed) and exact median, none of which brings a group's values together."""
+    orders = read("orders").select("o_orderpriority", "o_custkey", "o_orderdate", "o_totalprice", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
+    c, n = F.col("cents").cast("decimal(14,0)"), F.count("*").cast("decimal(10,0)")
+    total = F.sum(c).cast("decimal(18,0)")
+    variance = F.call_function("div", n * F.sum(c * c).cast("decimal(27,0)") - total * total, n * (n - 1))
+    stats = orders.groupBy("o_orderpriority").agg(
         F.count_distinct("o_custkey").alias("customers"), F.count_distinct("o_orderdate").alias("days"), F.min("o_totalprice").alias("lowest"), F.max("o_totalprice").alias("highest"),
-        F.round(F.stddev_samp("o_totalprice"), 2).alias("deviation"), F.round(F.percentile("o_totalprice", 0.5), 4).alias("median"))
+        (F.round(F.sqrt(variance.cast("double"))) / 100).alias("deviation"))
+    median = quantiles(orders, ["o_orderpriority"], "cents", [0.5]).select("o_orderpriority", (F.col("quantile") / 100).alias("median"))
+    return stats.join(F.broadcast(median), "o_orderpriority")
 
 
 @query("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
@@ -351,6 +360,37 @@ def like_balances(read, spark, folder):
     return range_join(read("customer").select("c_custkey", "c_acctbal"), read("supplier").select("s_suppkey", "s_acctbal"), F.col("c_acctbal"), low, high, 5.0).select("c_custkey", "s_suppkey")
 
 
+@query("""
+WITH runs AS (
+  SELECT user_id, event_type, grp, min(ts) AS first_ts, min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY min(ts), min(event_id)) AS run FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS grp FROM events)
+  GROUP BY user_id, event_type, grp)
+SELECT v.user_id, v.first_id, p.first_id AS last_id, v.n + c.n + 1 AS n FROM runs v JOIN runs c ON c.user_id = v.user_id AND c.run = v.run + 1 JOIN runs p ON p.user_id = v.user_id AND p.run = v.run + 2
+WHERE v.event_type = 'view' AND c.event_type = 'click' AND p.event_type = 'purchase' AND p.first_ts - v.first_ts <= INTERVAL 2 DAY""")
+def views_to_purchases(read, spark, folder):
+    """Stretches of a user's events that are views, then clicks, then a purchase, within two days."""
+    events = read("events").select("user_id", "ts", "event_id", "event_type")
+    found = matches(events, ["user_id"], ["ts", "event_id"], "event_type", [("view", True), ("click", True), ("purchase", False)])
+    return found.where(F.col("last.ts") - F.col("first.ts") <= F.expr("INTERVAL 2 DAYS")).select("user_id", F.col("first.event_id").alias("first_id"), F.col("last.event_id").alias("last_id"), "n")
+
+
+@query("""
+WITH numbered AS (
+  SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 3 HOUR THEN 0 ELSE 1 END AS starts FROM events)
+), visits AS (SELECT user_id, session, min(ts) AS began, max(ts) AS ended FROM numbered GROUP BY user_id, session
+), gaps AS (SELECT user_id, event_id, ts AS since, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until FROM events WHERE event_type = 'purchase')
+SELECT v.user_id, session, event_id FROM visits v JOIN gaps g ON v.user_id = g.user_id AND began <= until AND since <= ended""")
+def visits_between_purchases(read, spark, folder):
+    """A user's visits and the spans between two purchases, where they overlap; widths go from nothing to weeks."""
+    events = read("events").select("user_id", "event_id", "ts", "event_type")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    visits = sessions(events, ["user_id"], "ts", 10_800).groupBy("user_id", "session").agg(F.min(micros("ts")).alias("began"), F.max(micros("ts")).alias("ended"))
+    gaps = ordered(events.where("event_type = 'purchase'").select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], {"until": lead("ts")})
+    gaps = gaps.select("user_id", "event_id", micros("ts").alias("since"), micros("until").alias("until"))
+    return overlap_join(visits, gaps, ["user_id"], ("began", "ended"), ("since", "until")).select("user_id", "session", "event_id")
+
+
 @query("SELECT p_type, count(*) AS n, sum(l_quantity::DECIMAL(12,2))::DOUBLE AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type")
 def quantity_by_type(read, spark, folder):
     """A join whose keys may be very uneven."""
