@@ -40,8 +40,8 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], buc
             state = written(_narrowed(rows, open_, names, buckets), "quantile-state")
             found.append(state.where("low = high"))
         values = functools.reduce(DataFrame.unionByName, found)
-        lower, part = F.min_by("low", "rank"), F.first("at") - F.min("rank")
-        out = values.groupBy(*names, "share").agg((lower + (F.max_by("low", "rank") - lower) * part).alias("quantile"))
+        lower, part = F.min_by("low", "rank").cast("double"), F.first("at") - F.min("rank")
+        out = values.groupBy(*names, "share").agg((lower + (F.max_by("low", "rank").cast("double") - lower) * part).alias("quantile"))
         out = written(out.withColumnsRenamed({k: c for c, k in keys.items()}), "quantiles")
         tables.keep(out)
     return out
