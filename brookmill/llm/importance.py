@@ -1,18 +1,20 @@
 """Importance resampling towards a target's distribution, over an integer dictionary of words.
 
-Distinct words of documents and target get ids by falling count. Texts become
-arrays of ids, n-grams tuples of ids. Each distinct tuple is counted, its words
-are put together again and their bytes hashed once; the hash's bucket gains
+Distinct words of documents and target get integer ids, n-grams are tuples of
+ids. A word's id is 63 bits of its hash, so that a task finds it without a
+lookup; should words share one, all but the first get ids of their own above.
+Each distinct tuple is counted, its words are put together again from the
+dictionary and their bytes hashed once; the hash's bucket gains
 floor(1000 * ln(((t + 1) * (S + buckets)) / ((s + 1) * (T + buckets)))) where s
 of S n-grams of documents and t of T of the target fall into it. The gains are
 joined back to the tuples of each document, whose sum is the document's weight.
 Gumbel noise, a hash of seed and id, makes the highest scores a draw without
 replacement in proportion to the weights.
 
-Words and tuples that are frequent are looked up in tables of at most
-FREQUENT_BYTES, sent to all tasks; rarer ones, which no key is hot among, are
-joined by a shuffle. So most of a text meets no shuffle, and the dictionary may
-be of any size. Ranks come from even pieces in order of score.
+Frequent tuples are looked up in a table of at most FREQUENT_BYTES, sent to all
+tasks; rarer ones, which no key is hot among, are joined by a shuffle. So most
+of a text meets no shuffle, and the dictionary may be of any size. Ranks come
+from even pieces in order of score.
 
 Words: A-Z are lower-cased, then what lies between the other ASCII characters
 than digits and letters. A null text has no words, weight 0; below
@@ -25,157 +27,172 @@ have the prefix `imp_` and clash with none, as `resampled` sets others apart.
 
 from __future__ import annotations
 
-import functools
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookmill.llm.store import join_checked, passing, set_apart, written
+from brookmill.llm.store import passing, set_apart, written
 from brookmill.operators.scans import numbered
 
-#: Most bytes, as Python or the JVM holds them, of the frequent words or tuples that go to every task; what a word takes besides its letters, and a tuple.
-FREQUENT_BYTES, WORD_BYTES, TUPLE_BYTES = 48_000_000, 160, 80
-#: Words to a batch that leaves Python, and different words counted before they do.
-BATCH_WORDS, COUNTED_WORDS = 1_000_000, 400_000
+#: Most bytes, as Python holds them, of the frequent tuples that go to every task, and what one takes besides 8 for each id.
+FREQUENT_BYTES, TUPLE_BYTES = 48_000_000, 180
+#: Words, and rare tuples, to a batch that leaves Python; different words or tuples that a task holds at a time.
+BATCH_WORDS, HELD = 1_000_000, 300_000
+#: Bits of a word's id that come from its hash. Ids above are those of words whose hash is another's as well.
+BITS = 63
 #: Bytes of a word lower-cased, all others as a space.
 BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
+class Ids(dict):
+    """The ids of words, as 8 bytes each, remembered while there is room."""
+
+    def __init__(self, odd: dict[bytes, bytes], bits: int) -> None:
+        super().__init__()
+        self.odd, self.mask = odd, (1 << bits) - 1
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= HELD:
+            self.clear()
+        found = self.odd.get(word) or (xxhash.xxh64_intdigest(word) & self.mask).to_bytes(8, "big")
+        self[word] = found
+        return found
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(BYTES).split()
 
 
-def _texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes | None]:
-    for value in batch.column(name).cast(pa.large_binary()):
+def tuples_of(ids: list[bytes], n: int) -> list[bytes]:
+    """The runs of n ids, as 8 * n bytes each."""
+    return ids if n == 1 else [b"".join(ids[i : i + n]) for i in range(len(ids) - n + 1)]
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[bytes | None]:
+    for value in batch.column("text").cast(pa.large_binary()):
         yield value.as_py()
 
 
-def dictionary(texts: DataFrame) -> DataFrame:
-    """A written table of the distinct words of texts: id (from 1, by falling count), word, n."""
+def _counts(texts: DataFrame, longest: int, odd: dict[bytes, bytes], bits: int) -> DataFrame:
+    """A written table tuple, word, s, t: how often each tuple stands in texts (text, ours) that are ours, and in others. word is null but for single words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+        ids = Ids(odd, bits)
+
+        def rows(single, longer, ours):
+            keys = [ids[w] for w in single] + list(longer)
+            words = pa.concat_arrays([pa.array(list(single), pa.binary()).cast(pa.string()), pa.nulls(len(longer), pa.string())])
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), words, pa.array([ours] * len(keys), pa.bool_()), pa.array([*single.values(), *longer.values()], pa.int64())], names=["tuple", "word", "ours", "n"])
 
-        found: Counter[bytes] = Counter()
+        found: dict[bool, tuple[Counter, Counter]] = {True: (Counter(), Counter()), False: (Counter(), Counter())}
         for batch in batches:
-            for text in _texts(batch):
-                found.update(words_of(text))
-                if len(found) >= COUNTED_WORDS:
-                    yield rows()
-                    found = Counter()
-        yield rows()
-
-    counts = texts.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    with passing() as tables:
-        out = written(numbered(counts, [F.desc("n"), F.col("word")], "id", label="imp-counts"), "imp-words")
-        tables.keep(out)
-    return out
+            for text, ours in zip(_texts(batch), batch.column("ours").to_pylist()):
+                words, (single, longer) = words_of(text), found[ours]
+                single.update(words)
+                if longest > 1:
+                    each = list(map(ids.__getitem__, words))
+                    for n in range(2, longest + 1):
+                        longer.update(tuples_of(each, n))
+                if len(single) + len(longer) >= HELD:
+                    yield rows(single, longer, ours)
+                    found[ours] = Counter(), Counter()
+        for ours, (single, longer) in found.items():
+            yield rows(single, longer, ours)
+
+    rows = texts.select("text", "ours").mapInArrow(count, "tuple binary, word string, ours boolean, n bigint")
+    of = lambda ours: F.sum(F.when(F.col("ours") == ours, F.col("n")).otherwise(0))
+    return written(rows.groupBy("tuple", "word").agg(of(True).alias("s"), of(False).alias("t")), "imp-counts")
+
+
+def counted(docs: DataFrame, target: DataFrame, longest: int, bits: int = BITS) -> tuple[DataFrame, dict[bytes, bytes]]:
+    """The counts of all tuples, and the ids of words that share a hash with a lesser one; such words are a handful in billions."""
+    texts = docs.select("text", F.lit(True).alias("ours")).unionByName(target.select("text", F.lit(False).alias("ours")))
+    table = _counts(texts, longest, {}, bits)
+    shared = table.where(F.col("word").isNotNull()).groupBy("tuple").agg(F.count("*").alias("n"), F.collect_list("word").alias("words")).where("n > 1")
+    again = sorted(w for r in shared.select("words").collect() for w in sorted(r["words"], key=str.encode)[1:])
+    odd = {w.encode(): ((1 << 63) + k).to_bytes(8, "big") for k, w in enumerate(again)}
+    return (_counts(texts, longest, odd, bits) if odd else table), odd
+
+
+def gained(table: DataFrame, longest: int, buckets: int) -> DataFrame:
+    """A written table tuple, s, gain of the tuples that stand in documents."""
+    words = table.where(F.col("word").isNotNull())
+    hashed = lambda text: F.crc32(text.cast("binary")) % F.lit(buckets)
+    tuples = words.select("tuple", "s", "t", hashed(F.col("word")).alias("bucket"))
+    if longest > 1:
+        longer = table.where(F.col("word").isNull()).select("tuple", "s", "t")
+        places = F.sequence(F.lit(0), (F.octet_length("tuple") / 8).cast("int") - 1)
+        each = longer.select("tuple", F.posexplode(F.transform(places, lambda k: F.substr("tuple", k * 8 + 1, F.lit(8)))).alias("at", "id"))
+        each = each.join(words.select(F.col("tuple").alias("id"), "word"), "id").groupBy("tuple").agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("words"))
+        text = F.array_join(F.transform("words", lambda x: x["word"]), " ")
+        tuples = tuples.unionByName(longer.join(each.select("tuple", hashed(text).alias("bucket")), "tuple"))
+    tuples = written(tuples, "imp-tuples")
+    sums = written(tuples.groupBy("bucket").agg(F.sum("s").alias("bucket_s"), F.sum("t").alias("bucket_t")), "imp-buckets")  # as many rows as buckets at most
+    totals = sums.agg(F.coalesce(F.sum("bucket_s"), F.lit(0)).alias("s"), F.coalesce(F.sum("bucket_t"), F.lit(0)).alias("t")).first()
+    share = (F.col("bucket_t") + 1) * F.lit(float(totals["s"] + buckets)) / ((F.col("bucket_s") + 1) * F.lit(float(totals["t"] + buckets)))
+    gains = F.broadcast(sums.select("bucket", F.floor(1000 * F.log(share)).alias("gain")))
+    return written(tuples.where("s > 0").join(gains, "bucket").select("tuple", "s", "gain"), "imp-gains")
 
 
-def _upto(table: DataFrame, scale: Column, size: Column, most_bytes: int) -> int:
-    """The exponent e for which rows of scale < 2^e take at most most_bytes together; one sum for each power of two is looked at."""
-    sums = table.groupBy(F.floor(F.log2(scale)).cast("int").alias("e")).agg(F.sum(size).alias("bytes")).orderBy("e").collect()
-    total, e = 0, 0
-    for r in sums:
+def frequent(gains: DataFrame, most_bytes: int) -> Column:
+    """Which tuples of gains are frequent: those of the highest counts that take most_bytes together, but for those of about the least of these counts."""
+    level, size = F.floor(4 * F.log2("s")).cast("int"), F.octet_length("tuple") + F.lit(TUPLE_BYTES)
+    total, least = 0, None
+    # a row for each quarter of a power of two
+    for r in gains.groupBy(level.alias("level")).agg(F.sum(size).alias("bytes")).orderBy(F.desc("level")).collect():
         total += r["bytes"]
         if total > most_bytes:
-            return r["e"]
-        e = r["e"] + 1
-    return e
+            break
+        least = r["level"]
+    return F.lit(False) if least is None else level >= least
 
 
-def coded(docs: DataFrame, words: DataFrame, carry: list[str], most_bytes: int) -> DataFrame:
-    """A table of docs' rows: imp_row (a number of its own), imp_ids (the ids of its words, in order) and the columns to carry."""
-    known = _upto(words, F.col("id"), F.octet_length("word") + F.lit(WORD_BYTES), most_bytes)
-    frequent = words.where(F.col("id") < 2**known).orderBy("id").select("word").toArrow().column("word").to_pylist()
-    sent = docs.sparkSession.sparkContext.broadcast("\n".join(frequent).encode())
-    schema = pa.schema([pa.field("imp_ids", pa.list_(pa.int64())), pa.field("imp_rare", pa.list_(pa.struct([("at", pa.int32()), ("word", pa.string())])))])
+def weighed(docs: DataFrame, gains: DataFrame, longest: int, odd: dict[bytes, bytes], bits: int, carry: list[str], most_bytes: int) -> DataFrame:
+    """The columns to carry of docs (with text), imp_row (a number of the row's own), imp_words, imp_features, imp_weight."""
+    often = frequent(gains, most_bytes)
+    known = gains.where(often).select("tuple", "gain").toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast(dict(zip(known.column("tuple").to_pylist(), known.column("gain").to_pylist())))
+    names = ["imp_words", "imp_features", "imp_known", "imp_rare"]
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = {w: i for i, w in enumerate(sent.value.split(b"\n"), 1)} if sent.value else {}
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, gain_of = Ids(odd, bits), sent.value.get
         for batch in batches:
-            start, size, arrays, rare = 0, 0, [], []
+            start, size, rows = 0, 0, []
 
             def part(end):
-                columns = [pa.array(arrays, schema.types[0]), pa.array(rare, schema.types[1])]
-                return pa.RecordBatch.from_arrays([batch.column(c).slice(start, end - start) for c in carry] + columns, names=[*carry, *schema.names])
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary())))]
+                return pa.RecordBatch.from_arrays([batch.column(c).slice(start, end - start) for c in carry] + columns, names=[*carry, *names])
 
             for k, text in enumerate(_texts(batch)):
-                found = words_of(text)
-                each = [ids.get(w, 0) for w in found]
-                arrays.append(np.array(each, np.int64))
-                rare.append([{"at": i, "word": found[i].decode("utf-8", "replace")} for i, x in enumerate(each) if not x] if 0 in each else [])
-                size += len(each)
+                each = list(map(ids.__getitem__, words_of(text)))
+                features, total, rare = 0, 0, []
+                for n in range(1, longest + 1):
+                    keys = tuples_of(each, n)
+                    found = list(map(gain_of, keys))
+                    features += len(keys)
+                    if None in found:
+                        rare += [key for key, gain in zip(keys, found) if gain is None]
+                        found = [gain for gain in found if gain is not None]
+                    total += sum(found)
+                rows.append((len(each), features, total, rare))
+                size += len(each) + 10 * len(rare)
                 if size >= BATCH_WORDS:
                     yield part(k + 1)
-                    start, size, arrays, rare = k + 1, 0, [], []
-            if arrays:
+                    start, size, rows = k + 1, 0, []
+            if rows:
                 yield part(batch.num_rows)
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    fields = f"{kinds}{', ' if carry else ''}imp_ids array<bigint>, imp_rare array<struct<at: int, word: string>>"
-    rows = written(docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(code, fields).withColumn("imp_row", F.monotonically_increasing_id()), "imp-coded")
-    full = rows.where(F.size("imp_rare") == 0).drop("imp_rare")
-    lacking = rows.where(F.size("imp_rare") > 0)
-    found = lacking.select("imp_row", F.inline("imp_rare")).join(words.where(F.col("id") >= 2**known).select("word", "id"), "word")
-    found = found.groupBy("imp_row").agg(F.collect_list(F.struct("at", "id")).alias("imp_found"))
-    placed = F.filter(F.transform("imp_ids", lambda x, i: F.struct(i.alias("at"), x.alias("id"))), lambda x: x["id"] > 0)
-    filled = lacking.join(found, "imp_row").withColumn("imp_ids", F.transform(F.sort_array(F.concat(placed, "imp_found")), lambda x: x["id"]))
-    return full.unionByName(written(filled.select(*full.columns), "imp-filled"))
-
-
-def _names(n: int) -> list[str]:
-    return [f"g{i}" for i in range(n)]
-
-
-def tuples_of(rows: DataFrame, n: int) -> DataFrame:
-    """imp_row and g0, g1, ...: the runs of n ids."""
-    if n == 1:
-        return rows.select("imp_row", F.explode("imp_ids").alias("g0"))
-    many = F.greatest(F.size("imp_ids") - n + 1, F.lit(0))
-    runs = F.transform(F.slice("imp_ids", F.lit(1), many), lambda x, i: F.struct(x.alias("g0"), *[F.get("imp_ids", i + k).alias(f"g{k}") for k in range(1, n)]))
-    return rows.select("imp_row", F.inline(runs))
-
-
-def gained(docs: DataFrame, target: DataFrame, words: DataFrame, longest: int, buckets: int) -> list[DataFrame]:
-    """For each n a written table of distinct tuples (g0, ...): s, its count in docs, and its gain."""
-    tables = []
-    for n in range(1, longest + 1):
-        keys = _names(n)
-        s = tuples_of(docs, n).groupBy(*keys).agg(F.count("*").alias("s")).withColumn("t", F.lit(0).cast("bigint"))
-        t = tuples_of(target, n).groupBy(*keys).agg(F.count("*").alias("t")).select(*keys, F.lit(0).cast("bigint").alias("s"), "t")
-        counts = s.unionByName(t).groupBy(*keys).agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
-        for k, key in enumerate(keys):
-            counts = join_checked(counts, words.select(F.col("id").alias(key), F.col("word").alias(f"w{k}")), [key], "inner")
-        bucket = F.crc32(F.concat_ws(" ", *[f"w{k}" for k in range(n)]).cast("binary")) % F.lit(buckets)
-        tables.append(written(counts.select(*keys, "s", "t", bucket.alias("bucket")), "imp-tuples"))
-    sums = functools.reduce(DataFrame.unionByName, [x.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")) for x in tables]).groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
-    sums = written(sums, "imp-buckets")  # as many rows as buckets at most
-    totals = sums.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
-    share = (F.col("t") + 1) * F.lit(float(totals["s"] + buckets)) / ((F.col("s") + 1) * F.lit(float(totals["t"] + buckets)))
-    gains = F.broadcast(sums.select("bucket", F.floor(1000 * F.log(share)).alias("gain")))
-    return [x.where("s > 0").join(gains, "bucket").select(*_names(n), x["s"], "gain") for n, x in enumerate(tables, 1)]
-
-
-def weighed(rows: DataFrame, gains: list[DataFrame], most_bytes: int) -> DataFrame:
-    """imp_row and imp_weight of the rows with a tuple: the sum of their tuples' gains."""
-    parts = []
-    for n, table in enumerate(gains, 1):
-        keys, size = _names(n), TUPLE_BYTES + 8 * n
-        e = _upto(table, 1 / F.col("s"), F.lit(size), most_bytes)
-        often = F.col("s") * F.lit(2.0**e) > 1
-        frequent, rest = table.where(often), table.where(~often)
-        found = tuples_of(rows, n)
-        parts.append(found.join(F.broadcast(frequent.select(*keys, "gain")), keys).groupBy("imp_row").agg(F.sum("gain").alias("imp_weight")))
-        if e < 1:  # else all are frequent
-            others = found.join(F.broadcast(frequent.select(*keys)), keys, "left_anti")
-            parts.append(others.join(rest.select(*keys, "gain"), keys).groupBy("imp_row").agg(F.sum("gain").alias("imp_weight")))
-    return functools.reduce(DataFrame.unionByName, parts).groupBy("imp_row").agg(F.sum("imp_weight").alias("imp_weight"))
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
+    fields = f"{kinds}imp_words bigint, imp_features bigint, imp_known bigint, imp_rare array<binary>"
+    rows = written(docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(weigh, fields).withColumn("imp_row", F.monotonically_increasing_id()), "imp-rows")
+    rare = rows.select("imp_row", F.explode("imp_rare").alias("tuple")).join(gains.where(~often).select("tuple", "gain"), "tuple")
+    rare = rare.groupBy("imp_row").agg(F.sum("gain").alias("imp_rest"))
+    out = rows.drop("imp_rare").join(rare, "imp_row", "left")
+    return out.withColumn("imp_weight", F.col("imp_known") + F.coalesce("imp_rest", F.lit(0).cast("bigint"))).drop("imp_known", "imp_rest")
 
 
 def noise(doc_id: Column, seed: int) -> Column:
@@ -187,7 +204,7 @@ def noise(doc_id: Column, seed: int) -> Column:
 
 def ranked(
     docs: DataFrame, target: DataFrame, percent: int = 10, longest: int = 1, buckets: int = 10_000, least_words: int = 20, seed: int = 2024,
-    carry: tuple[str, ...] = ("doc_id",), most_bytes: int = FREQUENT_BYTES,
+    carry: tuple[str, ...] = ("doc_id",), most_bytes: int = FREQUENT_BYTES, bits: int = BITS,
 ) -> DataFrame:
     """The columns to carry (doc_id among them) of docs (doc_id, text) with imp_words, imp_features, imp_weight, imp_score, imp_rank.
 
@@ -195,13 +212,9 @@ def ranked(
     with at least least_words words, ties to the smaller id; others have none.
     """
     with passing() as tables:
-        words = dictionary(docs.select("text").unionByName(target.select("text")))
-        rows = coded(docs, words, list(carry), most_bytes)
-        gains = gained(rows, coded(target, words, [], most_bytes), words, longest, buckets)
-        n = F.size("imp_ids")
-        features = functools.reduce(lambda a, b: a + b, [F.greatest(n - k, F.lit(0)) for k in range(longest)])
-        base = rows.select(*carry, "imp_row", n.cast("bigint").alias("imp_words"), features.cast("bigint").alias("imp_features"))
-        scored = base.join(weighed(rows, gains, most_bytes), "imp_row", "left").withColumn("imp_weight", F.coalesce("imp_weight", F.lit(0).cast("bigint")))
+        table, odd = counted(docs, target, longest, bits)
+        gains = gained(table, longest, buckets)
+        scored = weighed(docs, gains, longest, odd, bits, list(carry), most_bytes)
         scored = written(scored.withColumn("imp_score", F.col("imp_weight") + noise(F.col("doc_id"), seed)), "imp-scores")
         fit = F.col("imp_words") >= least_words
         many = scored.where(fit).count() * percent // 100

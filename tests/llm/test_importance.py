@@ -9,7 +9,7 @@ from collections import Counter
 
 import pytest
 
-from brookmill.llm.importance import coded, dictionary, ranked, resampled, tuples_of
+from brookmill.llm.importance import counted, ranked, resampled
 from brookmill.llm.query_importance import op13_importance
 from brookmill.sources.tables import table
 
@@ -38,7 +38,7 @@ def rows(got):
     return sorted(((r.doc_id, r.imp_features, r.imp_weight, r.imp_score, r.imp_rank) for r in got.collect()), key=repr)
 
 
-@pytest.mark.parametrize("longest,most_bytes", [(1, 48_000_000), (1, 9_000), (1, 0), (3, 48_000_000), (3, 9_000)])
+@pytest.mark.parametrize("longest,most_bytes", [(1, 48_000_000), (1, 30_000), (1, 0), (3, 48_000_000), (3, 30_000)])
 def test_against_a_plain_computation(spark, longest, most_bytes):
     """Whatever part of words and tuples is looked up in tables sent to all tasks."""
     rng = random.Random(longest)
@@ -49,15 +49,23 @@ def test_against_a_plain_computation(spark, longest, most_bytes):
     assert rows(got) == sorted(plain(docs, target, longest, 500, percent=30), key=repr)
 
 
-def test_codes_and_tuples(spark):
-    docs = spark.createDataFrame([(1, "b a B c a b"), (2, "é"), (3, None)], DOCS)
-    words = dictionary(docs)
-    ids = {r.word: r.id for r in words.collect()}
-    assert ids == {"b": 1, "a": 2, "c": 3, "é": 4}
-    for most in (10_000, 400, 0):
-        found = coded(docs, words, ["doc_id"], most)
-        assert {r.doc_id: r.imp_ids for r in found.collect()} == {1: [1, 2, 1, 3, 2, 1], 2: [4], 3: []}
-        assert sorted((r.g0, r.g1) for r in tuples_of(found, 2).collect()) == [(1, 2), (1, 3), (2, 1), (2, 1), (3, 2)]
+@pytest.mark.parametrize("bits", [63, 2])
+def test_dictionary(spark, bits):
+    """Also where most words share a hash: each has an id of its own, with its counts."""
+    docs, target = spark.createDataFrame([(1, "b a B c a b"), (2, "é"), (3, None)], DOCS), spark.createDataFrame([("a d",)], "text string")
+    table, odd = counted(docs, target, 2, bits)
+    rows = table.collect()
+    assert len({r.tuple for r in rows}) == len(rows) and bool(odd) == (bits == 2)
+    word = {bytes(r.tuple): r.word for r in rows if r.word is not None}
+    text = lambda key: " ".join(word[bytes(key[i : i + 8])] for i in range(0, len(key), 8))
+    assert {text(bytes(r.tuple)): (r.s, r.t) for r in rows} == {
+        "a": (2, 1), "b": (3, 0), "c": (1, 0), "d": (0, 1), "é": (1, 0), "b a": (1, 0), "a b": (2, 0), "b c": (1, 0), "c a": (1, 0), "a d": (0, 1)}
+
+
+def test_words_that_share_a_hash(spark):
+    docs = [(k, f"w{k % 5} w{k % 7} w{k % 11} " * 9) for k in range(80)]
+    target = spark.createDataFrame([("w3 w4 w10",)], "text string")
+    assert rows(ranked(spark.createDataFrame(docs, DOCS), target, longest=2, bits=3, most_bytes=1500)) == sorted(plain(docs, ["w3 w4 w10"], 2), key=repr)
 
 
 def test_drawn_rows_keep_their_columns(spark):
