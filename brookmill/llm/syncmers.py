@@ -13,10 +13,15 @@ texts are alike only if equal. So a text of fewer than 20 code points may have
 likeness 0 to one that shares half of it.
 
 The likeness of two fingerprints is the share of anchors, of both together, that
-stand in a run which the other one has too: RUN neighbouring anchors with equal
-hashes in the same order (a diagonal), so many that they aren't there by chance.
-A run that stands several times counts as often as in the text that has it less
-often. How long a run must be does not grow with the text, so edits of one
+stand in runs which both have, in the same order. A run is RUN neighbouring
+anchors with equal hashes, so many that they aren't there by chance; neighbouring
+runs form stretches. Stretches are matched by their places: those count whose
+places increase in both texts, chosen so that they hold the most anchors. So
+text that was moved counts once, on one side of what it was moved past: of
+swapped halves one half is left, of shuffled passages few. What is inserted or
+taken away between stretches may shift them by any distance. Of a run that
+stands several times, the n-th is matched with the n-th, from the start or from
+the end. How long a run must be does not grow with the text, so edits of one
 density give one likeness at every length.
 
 Nulls: a null text is an empty one, whose fingerprint is one fixed anchor. A row
@@ -27,6 +32,7 @@ result. Texts of any length are read whole. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 from collections.abc import Iterator
@@ -105,29 +111,66 @@ def fingerprint(text: str, k: int = K, s: int = S) -> str:
     return ((code << 8) | gap).astype(">u4").tobytes().hex()
 
 
-def likeness(a: str, b: str) -> float:
-    """From 0 to 1; 1 for equal fingerprints. Symmetric."""
-    if a == b:
-        return 1.0
-    codes = [np.frombuffer(bytes.fromhex(v), ">u4").astype(np.uint64) >> np.uint64(8) for v in (a, b)]
-    run = min(max(min(map(len, codes)) // 4, 1), RUN)
-    # equal runs are paired in order: the first with the first, the second with the second
-    sides = []
+def _pairs(codes: list[np.ndarray], run: int, from_end: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Where equal runs of anchors begin in two texts, in order of the first; the n-th of equal ones is paired with the n-th
+    of the other text, counted from the start or from the end. Whether some run stands more than once."""
+    sides, again = [], False
     for v in codes:
         runs = _joined(mixed_bits(v), run)
         order = np.argsort(runs, kind="stable")
         runs = runs[order]
         start = np.flatnonzero(np.append(True, runs[1:] != runs[:-1]))
-        turn = np.arange(len(runs)) - np.repeat(start, np.diff(np.append(start, len(runs))))
+        size = np.diff(np.append(start, len(runs)))
+        turn = np.arange(len(runs)) - np.repeat(start, size)
+        if from_end:
+            turn = np.repeat(size, size) - 1 - turn
+        again |= bool((size > 1).any())
         sides.append((runs + turn.astype(np.uint64) * np.uint64(MULTIPLIER), order))
     _, *found = np.intersect1d(sides[0][0], sides[1][0], assume_unique=True, return_indices=True)
-    kept = 0
-    for v, (_, order), at in zip(codes, sides, found):
-        edge = np.zeros(len(v) + 1, np.int64)
-        edge[order[at]] += 1
-        edge[order[at] + run] -= 1
-        kept += int(np.count_nonzero(np.cumsum(edge)))
-    return kept / sum(map(len, codes))
+    first, second = sides[0][1][found[0]], sides[1][1][found[1]]
+    order = np.argsort(first)
+    return first[order], second[order], again
+
+
+def _heaviest_chain(place: list[int], weight: list[int]) -> int:
+    """The greatest weight of a selection whose places increase, in n log n steps."""
+    ends: list[int] = []
+    best: list[int] = []  # of a selection that ends at `ends`, both increasing
+    for at, w in zip(place, weight):
+        k = bisect.bisect_left(ends, at)
+        total = w + (best[k - 1] if k else 0)
+        upto = k
+        while upto < len(ends) and best[upto] <= total:
+            upto += 1
+        if k == upto and k < len(ends) and ends[k] == at:
+            continue
+        ends[k:upto], best[k:upto] = [at], [total]
+    return best[-1] if best else 0
+
+
+def _in_order(codes: list[np.ndarray], run: int, from_end: bool) -> tuple[int, bool]:
+    """How many anchors stand in common runs that have one order in both texts."""
+    first, second, again = _pairs(codes, run, from_end)
+    if not len(first):
+        return 0, again
+    # neighbouring pairs are one stretch; stretches don't interleave, as no run is paired twice
+    edge = np.flatnonzero(np.append(True, (np.diff(first) != 1) | (np.diff(second) != 1)))
+    size = np.diff(np.append(edge, len(first)))
+    return _heaviest_chain(second[edge].tolist(), (size + run - 1).tolist()), again
+
+
+def likeness(a: str, b: str) -> float:
+    """From 0 to 1; 1 for equal fingerprints. Symmetric."""
+    if a == b:
+        return 1.0
+    codes = [np.frombuffer(bytes.fromhex(v), ">u4").astype(np.uint64) >> np.uint64(8) for v in (a, b)]
+    n = list(map(len, codes))
+    run = min(max(min(n) // 4, 1), RUN)
+    kept, again = _in_order(codes, run, False)
+    if again and kept < min(n):
+        # where a repeated passage lacks its first copy, the last ones fit
+        kept = max(kept, _in_order(codes, run, True)[0])
+    return 2 * min(kept, *n) / sum(n)
 
 
 def edited(text: str, following: str) -> str:

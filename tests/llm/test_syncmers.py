@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from brookmill.llm.query_syncmers import op7_syncmers
-from brookmill.llm.syncmers import K, S, _run_hashes, anchors, fingerprint, fingerprints, in_order, likeness
+from brookmill.llm.syncmers import K, S, _heaviest_chain, _run_hashes, anchors, fingerprint, fingerprints, in_order, likeness
 from brookmill.llm.textcode import code_points
 from brookmill.sources.tables import table
 
@@ -83,6 +83,42 @@ def test_likeness_falls_with_the_share_that_changed():
         assert likeness(fingerprint(" ".join(words)), fingerprint(prose(rng, n))) < 0.05
 
 
+def test_places_count():
+    """Moved text counts on one side only: halves swapped, passages shuffled, words shuffled; a passage moved to the end."""
+    rng = random.Random(11)
+    for n in (2000, 5000, 20_000):
+        words = prose(rng, n).split()
+        f = fingerprint(" ".join(words))
+        like = lambda changed: likeness(f, fingerprint(" ".join(changed)))
+        assert 0.45 < like(words[n // 2 :] + words[: n // 2]) < 0.55
+        blocks = [words[i : i + 20] for i in range(0, n, 20)]
+        rng.shuffle(blocks)
+        assert like([w for b in blocks for w in b]) < 0.2
+        assert like(rng.sample(words, n)) < 0.02
+        assert 0.85 < like(words[: n // 2] + words[n // 2 + n // 10 :] + words[n // 2 : n // 2 + n // 10]) < 0.95
+
+
+def test_repeated_passages_without_their_first_or_last_copy():
+    rng = random.Random(12)
+    lines = [prose(rng, 30) for _ in range(3)]
+    text = lines * 40
+    for changed in (text[1:], text[:-1], ["x y z"] + text[1:]):
+        assert likeness(fingerprint("\n".join(text)), fingerprint("\n".join(changed))) > 0.95
+
+
+def test_heaviest_chain():
+    rng = random.Random(13)
+    for _ in range(200):
+        n = rng.randint(0, 9)
+        place, weight = rng.sample(range(50), n), [rng.randint(1, 9) for _ in range(n)]
+        best = 0
+        for mask in range(1 << n):
+            some = [k for k in range(n) if mask >> k & 1]
+            if all(place[x] < place[y] for x, y in zip(some, some[1:])):
+                best = max(best, sum(weight[k] for k in some))
+        assert _heaviest_chain(place, weight) == best
+
+
 def test_short_texts(spark):
     rng = random.Random(6)
     texts = [prose(rng, 60)[:n] for n in range(20, 151) for _ in range(3)]
