@@ -8,10 +8,11 @@ have errors, so that at least one piece stands unchanged in every match
 text. Around each place so found, the regex library looks for the whole notice
 with a bounded number of errors, from a word's start to a word's end, and
 reports the span and its errors. Every place where a notice stands without
-errors is found, as all its pieces stand there. A match is `sure` if the words of
-up to 3 letters, such as names of licenses, stand unchanged in it, or if its
-notice has 35 characters or more: "bit license" is one error away from a notice,
-but no sure match.
+errors is found, as all its pieces stand there. A match is `sure` if its notice has
+35 characters or more, or if it has the notice's words, each with one error at
+most (a swap of neighbours is one) and those of up to 4 letters, such as names
+of licenses, with none: "bit license" and "general publicity license" are within
+the errors of a notice, but no sure matches.
 
 Of matches of one notice that begin at one place the one with the least errors
 counts; different notices are reported apart, also where they overlap. Nulls: a
@@ -55,7 +56,37 @@ NOTICES = (
     ("licensed under cc by", "cc"),
     ("permission to use copy modify and or distribute this software for any purpose", "isc"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("academic free license", "afl"),
+    ("artistic license", "artistic"),
+    ("bsd 2 clause license", "bsd"),
+    ("bsd 3 clause license", "bsd"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "bsd"),
+    ("boost software license", "bsl"),
+    ("cecill free software license agreement", "cecill"),
+    ("common development and distribution license", "cddl"),
+    ("common public license", "cpl"),
+    ("to the extent possible under law the author s have dedicated all copyright", "cc0"),
+    ("european union public licence", "eupl"),
+    ("either version 2 of the license or at your option any later version", "gpl"),
+    ("gnu free documentation license", "gfdl"),
+    ("microsoft public license", "mspl"),
+    ("microsoft reciprocal license", "msrl"),
+    ("subject to the terms of the mozilla public license v 2 0", "mpl"),
+    ("open database license", "odbl"),
+    ("open software license", "osl"),
+    ("php license", "php"),
+    ("postgresql license", "postgresql"),
+    ("python software foundation license", "psf"),
+    ("q public license", "qpl"),
+    ("sil open font license", "ofl"),
+    ("sleepycat license", "sleepycat"),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable", "zlib"),
+    ("universal permissive license", "upl"),
+    ("university of illinois ncsa open source license", "ncsa"),
+    ("zope public license", "zpl"),
 )
+#: Characters from which on a notice within its errors is a notice.
+LONG = 35
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: How far past its window a match is followed to the end of a word.
 WORD_END = 64
@@ -72,9 +103,18 @@ def errors_allowed(phrase: str) -> int:
     return min(3, len(phrase) // 7)
 
 
-def unchanged(phrase: str) -> list[str]:
-    """The words of a notice that stand without an error in a sure match."""
-    return [w for w in phrase.split() if len(w) <= 3] if len(phrase) < 35 else []
+def one_error(a: str, b: str) -> bool:
+    """Whether a word is another but for one letter more, less or exchanged, or two neighbours swapped."""
+    n = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    ends = {a[n + 1 :] + "|" + b[n + 1 :], a[n + 1 :] + "|" + b[n:], a[n:] + "|" + b[n + 1 :]}
+    swapped = len(a) == len(b) and a[n : n + 2] == b[n : n + 2][::-1] and a[n + 2 :] == b[n + 2 :]
+    return a == b or swapped or any(x == y for x, _, y in (e.partition("|") for e in ends))
+
+
+def word_by_word(phrase: str, text: str) -> bool:
+    """Whether text has the words of a notice, the short ones unchanged, the others with one error at most."""
+    words, there = phrase.split(), text.split()
+    return len(words) == len(there) and all(w == t or (len(w) > 4 and one_error(w, t)) for w, t in zip(words, there))
 
 
 def pieces(phrase: str) -> list[tuple[int, str]]:
@@ -97,7 +137,6 @@ class Finder:
             self.automaton.add_word(piece, (len(piece), places))
         self.automaton.make_automaton()
         self.patterns = [regex.compile(rf"(?be)(?<![^ ])(?:{regex.escape(p, literal_spaces=True)}){{e<={errors_allowed(p)}}}(?![^ ])") for p, _ in notices]
-        self.whole = [unchanged(p) for p, _ in notices]
         # the same lines come again and again, within a text and over texts
         self.looked = functools.lru_cache(maxsize=REMEMBERED)(self._look)
 
@@ -107,8 +146,8 @@ class Finder:
         return (match.start(), match.end(), sum(match.fuzzy_counts)) if match else None
 
     def sure(self, n: int, text: str) -> bool:
-        words = iter(text.split())
-        return all(w in words for w in self.whole[n])  # each after the one before
+        phrase = self.notices[n][0]
+        return len(phrase) >= LONG or word_by_word(phrase, text)
 
     def hits(self, words: list[str]) -> list[tuple[str, str, int, int, int, str, bool]]:
         """label, phrase, errors, first and last word, text and sureness of each match, in order."""
