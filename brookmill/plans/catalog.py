@@ -14,8 +14,11 @@ from brookmill.operators.neighbours import nearest, usable
 from brookmill.operators.patterns import matches
 from brookmill.operators.quantiles import quantiles
 from brookmill.operators.scans import first, lag, lead, moving_sum, ntile, ordered, percent_rank, rank, running_sum
+from brookmill.operators.skyline import skyline
+from brookmill.operators.summaries import estimates, frequent_values, merged, summaries
 from brookmill.session import setting
 from brookmill.sources.tables import table
+from brookmill.sources.written import written
 from brookmill.streaming.joins import interval_join
 from brookmill.streaming.sessions import STORE, stream_sessions
 from brookmill.streaming.windows import counts_by_window, emitted, events, in_batches, run_all, without_repeats
@@ -391,6 +394,31 @@ def visits_between_purchases(read, spark, folder):
     return overlap_join(visits, gaps, ["user_id"], ("began", "ended"), ("since", "until")).select("user_id", "session", "event_id")
 
 
+@query("""
+SELECT p_partkey, p_retailprice, p_size FROM part p
+WHERE NOT EXISTS (SELECT 1 FROM part o WHERE o.p_retailprice <= p.p_retailprice AND o.p_size >= p.p_size AND (o.p_retailprice < p.p_retailprice OR o.p_size > p.p_size))""")
+def best_parts(read, spark, folder):
+    """Parts that no other part undercuts in price and exceeds in size (skyline)."""
+    return skyline(read("part").select("p_partkey", "p_retailprice", "p_size"), ["p_retailprice"], ["p_size"])
+
+
+@query("""
+WITH words AS (SELECT unnest(string_split(text, ' ')) AS word FROM documents)
+SELECT word, count(*) AS n FROM words GROUP BY word HAVING count(*) * 200 > (SELECT count(*) FROM words)""")
+def frequent_words(read, spark, folder):
+    """Words that are more than one of 200 words of all documents: candidates from a summary of bounded size, then exact counts."""
+    words = read("documents").select(F.explode(F.split("text", " ")).alias("word"))
+    return frequent_values(words, F.col("word"), 200).withColumnRenamed("value", "word")
+
+
+@query(None)
+def event_summaries(read, spark, folder):
+    """Users and median value by event type, estimated from sketches by day and type, merged; the errors are tested."""
+    daily = written(summaries(read("events").select(F.to_date("ts").alias("day"), "event_type", "user_id", F.round(F.col("value") * 100).alias("cents")), ["day", "event_type"], "user_id", "cents"), "event-summaries")
+    found = estimates(merged(daily, ["event_type"]), [0.5])
+    return found.select("event_type", "n", F.col("distinct").alias("users"), (F.col("quantiles")[0] / 100).alias("median"))
+
+
 @query("SELECT p_type, count(*) AS n, sum(l_quantity::DECIMAL(12,2))::DOUBLE AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type")
 def quantity_by_type(read, spark, folder):
     """A join whose keys may be very uneven."""
