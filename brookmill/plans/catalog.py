@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,8 @@ from brookmill.operators.quantiles import quantiles
 from brookmill.operators.scans import first, lag, lead, moving_sum, ntile, ordered, percent_rank, rank, running_sum
 from brookmill.operators.skyline import skyline
 from brookmill.operators.summaries import estimates, frequent_values, merged, summaries
-from brookmill.session import setting
+from brookmill.session import setting, shared_folder
+from brookmill.sources import keyed
 from brookmill.sources.tables import table
 from brookmill.sources.written import written
 from brookmill.streaming.joins import interval_join
@@ -394,6 +396,21 @@ def visits_between_purchases(read, spark, folder):
     return overlap_join(visits, gaps, ["user_id"], ("began", "ended"), ("since", "until")).select("user_id", "session", "event_id")
 
 
+@query("""
+SELECT o_orderkey, o_custkey, round(o_totalprice * 100)::BIGINT + CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 100 ELSE 0 END AS cents FROM orders WHERE o_orderstatus != 'P'""")
+def merged_orders(read, spark, folder):
+    """A table of early orders into which two lots of changes are merged: later orders and deletions, then dearer ones."""
+    orders = read("orders").select("o_orderkey", "o_custkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"), "o_orderstatus", "o_orderpriority", "o_orderdate")
+    columns, early = ["o_orderkey", "o_custkey", "cents"], F.col("o_orderdate") < ntz("2000-01-01")
+    root, gone = f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}", F.col("o_orderstatus") == "P"
+    keyed.create(orders.where(early).select(*columns), root, "o_orderkey", 100_000)
+    keyed.merge(root, orders.where(~early | gone).select(*columns, gone.alias("gone")), "later and gone", "gone", 100_000)
+    dearer = orders.where((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT"))
+    keyed.merge(root, dearer.select("o_orderkey", "o_custkey", (F.col("cents") + 100).alias("cents"), F.lit(False).alias("gone")), "dearer", "gone", 100_000)
+    keyed.vacuum(spark, root)
+    return keyed.read(spark, root)
+
+
 @query("""
 SELECT p_partkey, p_retailprice, p_size FROM part p
 WHERE NOT EXISTS (SELECT 1 FROM part o WHERE o.p_retailprice <= p.p_retailprice AND o.p_size >= p.p_size AND (o.p_retailprice < p.p_retailprice OR o.p_size > p.p_size))""")

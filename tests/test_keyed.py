@@ -1,0 +1,89 @@
+"""Merging changes into a table cut by keys: results, untouched groups, failures between writing and publishing, two writers."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from brookmill.sources import keyed
+
+SCHEMA = "k long, v string"
+
+
+def rows(spark, root):
+    return {r.k: r.v for r in keyed.read(spark, root).collect()}
+
+
+def changed(spark, some):
+    return spark.createDataFrame([(k, v, v is None) for k, v in some], f"{SCHEMA}, gone boolean").repartition(3)
+
+
+def test_inserts_updates_and_deletes(spark, tmp_path):
+    root, rng = f"{tmp_path}/t", random.Random(1)
+    want = {k: f"v{k}" for k in rng.sample(range(-500, 5000), 600)}
+    keyed.create(spark.createDataFrame(list(want.items()), SCHEMA), root, "k", 50)
+    assert rows(spark, root) == want and len(keyed.manifest(spark, root)["groups"]) > 8
+    for n in range(3):
+        some = [(k, rng.choice([None, f"n{n}-{k}"])) for k in rng.sample(range(-900, 6000), 200)]
+        keyed.merge(root, changed(spark, some), f"m{n}", "gone", 50)
+        for k, v in some:
+            want.pop(k, None) if v is None else want.__setitem__(k, v)
+        assert rows(spark, root) == want
+    groups = keyed.manifest(spark, root)["groups"]
+    assert sum(g["rows"] for g in groups) == len(want) and groups[0]["low"] is None
+    assert [g["low"] for g in groups[1:]] == sorted(g["low"] for g in groups[1:])
+    assert keyed.vacuum(spark, root) >= 1 and rows(spark, root) == want
+
+
+def test_only_groups_that_are_hit_are_written(spark, tmp_path):
+    root = f"{tmp_path}/t"
+    keyed.create(spark.range(1000).select(F.col("id").alias("k"), F.lit("x").alias("v")), root, "k", 100)
+    before = {g["path"] for g in keyed.manifest(spark, root)["groups"]}
+    assert keyed.merge(root, changed(spark, [(500, "y"), (501, None)]), "one", "gone", 100) == 1
+    assert len(before & {g["path"] for g in keyed.manifest(spark, root)["groups"]}) == len(before) - 1
+    assert keyed.merge(root, changed(spark, [(500, "z")]), "one", "gone", 100) == 0 and rows(spark, root)[500] == "y"
+    assert keyed.merge(root, changed(spark, []), "none", "gone") == 0 and len(rows(spark, root)) == 999
+
+
+def test_hot_range_is_split_and_emptied(spark, tmp_path):
+    """All changes fall into one group: it becomes many; then all rows go, and come back."""
+    root = f"{tmp_path}/t"
+    keyed.create(spark.createDataFrame([(0, "a"), (10_000, "b")], SCHEMA), root, "k", 100)
+    keyed.merge(root, changed(spark, [(k, "n") for k in range(1, 900)]), "many", "gone", 100)
+    sizes = [g["rows"] for g in keyed.manifest(spark, root)["groups"]]
+    assert sum(sizes) == 901 and len(sizes) >= 5 and max(sizes) <= 300
+    keyed.merge(root, changed(spark, [(k, None) for k in [*range(900), 10_000]]), "none left", "gone", 100)
+    assert rows(spark, root) == {}
+    keyed.merge(root, changed(spark, [(5, "again")]), "back", "gone", 100)
+    assert rows(spark, root) == {5: "again"}
+
+
+def test_a_failure_before_publishing_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch):
+    root = f"{tmp_path}/t"
+    keyed.create(spark.createDataFrame([(1, "a"), (2, "b")], SCHEMA), root, "k")
+    publish = keyed._publish
+
+    def fails(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(keyed, "_publish", fails)
+    with pytest.raises(RuntimeError):
+        keyed.merge(root, changed(spark, [(1, None), (3, "c")]), "m", "gone")
+    assert rows(spark, root) == {1: "a", 2: "b"}
+    monkeypatch.setattr(keyed, "_publish", publish)
+    assert keyed.merge(root, changed(spark, [(1, None), (3, "c")]), "m", "gone") == 1
+    assert rows(spark, root) == {2: "b", 3: "c"} and keyed.vacuum(spark, root) == 2 and rows(spark, root) == {2: "b", 3: "c"}
+
+
+def test_the_second_of_two_writers_is_told(spark, tmp_path, monkeypatch):
+    root = f"{tmp_path}/t"
+    keyed.create(spark.createDataFrame([(1, "a")], SCHEMA), root, "k")
+    earlier = keyed.manifest(spark, root)
+    keyed.merge(root, changed(spark, [(2, "b")]), "first", "gone")
+    monkeypatch.setattr(keyed, "manifest", lambda *_: earlier)
+    with pytest.raises(FileExistsError):
+        keyed.merge(root, changed(spark, [(3, "c")]), "second", "gone")
+    monkeypatch.undo()
+    assert rows(spark, root) == {1: "a", 2: "b"}
+    with pytest.raises(FileNotFoundError):
+        keyed.manifest(spark, f"{tmp_path}/nothing")
