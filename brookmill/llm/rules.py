@@ -11,8 +11,8 @@ more bin of the histogram. Words are taken as they are written.
 
 Nulls: a null text has no words and fails the base rule; null languages form a
 language of their own. A language with fewer than `min_reference_words` words
-gives no verdict. Repeated rows are judged alike, an empty table gives an empty
-result. The operator's own columns have the prefix `rule_`; input columns with
+gives no verdict. Repeated rows are judged alike, texts of any length are read
+whole, an empty table gives an empty result. The operator's own columns have the prefix `rule_`; input columns with
 that prefix, or `ref_`, are dropped.
 """
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookmill.llm.store import join_checked, set_apart, written
+from brookmill.llm.store import join_checked, passing, set_apart, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -163,7 +163,9 @@ def judged(
 ) -> DataFrame:
     """docs with the rule_ columns: counts, rule_base_failed, rule_class_divergence, rule_word_divergence, rule_kept."""
     docs = docs.drop(*[c for c in docs.columns if c.startswith(("rule_", "ref_"))])
-    refs = written(references(docs, min_share, min_reference_words), "rule-references")
+    with passing() as tables:
+        refs = written(references(docs, min_share, min_reference_words), "rule-references")
+        tables.keep(refs)
     most = int(1 / min_share) + 1
     out = join_checked(docs.withColumn("rule_lang", language_key(F.col("lang"))), refs, ["rule_lang"], "left")
     out = measured(out, most)

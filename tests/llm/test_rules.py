@@ -4,7 +4,9 @@ import random
 import re
 from collections import Counter
 
+from brookmill.llm.query_rules import op9_rules
 from brookmill.llm.rules import judged, kept
+from brookmill.session import shared_folder
 
 SCHEMA = "doc_id long, text string, lang string, rule_words string"
 
@@ -49,3 +51,13 @@ def test_counts_and_verdicts(spark):
 
 def test_empty_table(spark):
     assert judged(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_only_the_references_stay(spark):
+    """Of the tables written on the way the one that the result reads is left, which has a row for each language."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = lambda: {s.getPath().getName() for s in files.listStatus(path)} if files.exists(path) else set()
+    before = names()
+    assert op9_rules(spark, "/root/testdata/sf0.001").count() == 200
+    assert [n.rsplit("-", 1)[0] for n in names() - before] == ["rule-references"]
