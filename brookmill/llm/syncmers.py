@@ -149,14 +149,17 @@ def _heaviest_chain(place: list[int], weight: list[int]) -> int:
 
 
 def _in_order(codes: list[np.ndarray], run: int, from_end: bool) -> tuple[int, bool]:
-    """How many anchors stand in common runs that have one order in both texts."""
+    """How many anchors stand in common runs that have one order in both texts, and whether
+    others were left out of which some stand more than once, so that they may be paired otherwise."""
     first, second, again = _pairs(codes, run, from_end)
     if not len(first):
-        return 0, again
+        return 0, False
     # neighbouring pairs are one stretch; stretches don't interleave, as no run is paired twice
     edge = np.flatnonzero(np.append(True, (np.diff(first) != 1) | (np.diff(second) != 1)))
     size = np.diff(np.append(edge, len(first)))
-    return _heaviest_chain(second[edge].tolist(), (size + run - 1).tolist()), again
+    weight = size + run - 1
+    kept = _heaviest_chain(second[edge].tolist(), weight.tolist())
+    return kept, again and kept < weight.sum()
 
 
 def likeness(a: str, b: str) -> float:
@@ -166,8 +169,8 @@ def likeness(a: str, b: str) -> float:
     codes = [np.frombuffer(bytes.fromhex(v), ">u4").astype(np.uint64) >> np.uint64(8) for v in (a, b)]
     n = list(map(len, codes))
     run = min(max(min(n) // 4, 1), RUN)
-    kept, again = _in_order(codes, run, False)
-    if again and kept < min(n):
+    kept, lacking = _in_order(codes, run, False)
+    if lacking:
         # where a repeated passage lacks its first copy, the last ones fit
         kept = max(kept, _in_order(codes, run, True)[0])
     return 2 * min(kept, *n) / sum(n)
