@@ -39,6 +39,8 @@ from brookmill.llm.tokens import word_ids
 GROUP_BYTES = 32_000_000
 #: Rows that repeat are dealt singly where they fill more than this part of a group.
 PARTS = 8
+#: Values by which rows that repeat often are told; a power of 2.
+SLOTS = 1 << 22
 #: Most partitions that groups are shuffled to; beyond that a task packs several groups in turn.
 MOST_PARTITIONS = 10_000
 
@@ -167,36 +169,48 @@ def content():
     return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
 
 
-def repeated(docs: DataFrame, group_bytes: int) -> set[int]:
-    """content() of the rows that repeat so often that together they fill a good part of a group.
+def surveyed(docs: DataFrame, group_bytes: int) -> tuple[int, np.ndarray]:
+    """How many groups the texts' bytes ask for (each row counts 16 bytes besides), and which rows repeat often.
 
-    At most PARTS of them for each group come to the driver.
+    The latter is a bit for each of SLOTS values of content(), set where equal
+    rows together fill more than a PARTS-th of a group. So its size is the same
+    for any table. A row that shares its bit with such rows only has its own
+    number too. All comes from one pass over the texts.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
     rows = docs.select(content().alias("row"), size.alias("size")).groupBy("row").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    return {r["row"] for r in rows.where((F.col("n") > 1) & (F.col("size") * PARTS > group_bytes)).select("row").collect()}
+    often = (F.col("n") > 1) & (F.col("size") * PARTS > group_bytes)
+    bit = F.when(often, F.expr("shiftleft(1L, cast(slot & 63 as int))")).otherwise(F.lit(0).cast("long"))
+    words = rows.withColumn("slot", F.col("row").bitwiseAND(F.lit(SLOTS - 1))).groupBy(F.shiftright("slot", 6).alias("word"))
+    found = words.agg(F.bit_or(bit).alias("bits"), F.sum("size").alias("size")).toArrow()
+    bits = np.zeros(SLOTS // 64, np.int64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    groups = max(1, -(-int(found.column("size").to_numpy().sum()) // group_bytes))
+    return groups, bits if groups > 1 else np.zeros(0, np.int64)
 
 
 class Turns:
-    """Tells the rows of a task that repeat from each other; 0 for all other rows.
+    """Tells the rows of a task that repeat often from each other; 0 for all other rows.
 
     A row's number depends on its task and on how many of its like came before,
     so a rerun gives the same numbers whatever the order of the task's rows.
     """
 
-    def __init__(self, repeated: set[int]):
-        self.count = dict.fromkeys(repeated, 0)
+    def __init__(self, often: np.ndarray):
+        self.bits = often.tolist() if often.any() else None
+        self.count: dict[int, int] = {}
         self.first = TaskContext.get().partitionId() << 32
 
     def of(self, row: int) -> int:
-        if row not in self.count:
+        slot = row & (SLOTS - 1)
+        if self.bits is None or not self.bits[slot >> 6] >> (slot & 63) & 1:
             return 0
-        self.count[row] += 1
+        self.count[row] = self.count.get(row, 0) + 1
         return self.first + self.count[row]
 
 
-def pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer_path: str | None, often: set[int] = frozenset()) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, turn of every piece; docs has doc_id and text, often is of repeated()."""
+def pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer_path: str | None, often: np.ndarray) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, turn of every piece; docs has doc_id and text, often is of surveyed()."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("turn", pa.int64())])
 
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,12 +229,6 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer_path: str | No
     return docs.select("doc_id", "text", content().alias("row")).mapInArrow(tokenized, "doc_id long, piece int, start long, length long, ids_crc32 long, turn long")
 
 
-def group_count(docs: DataFrame, group_bytes: int) -> int:
-    """How many groups the texts' bytes ask for; each row counts 16 bytes besides."""
-    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16)).first()[0] or 0
-    return max(1, -(-int(total) // group_bytes))
-
-
 def by_group(dealt: DataFrame, groups: int):
     """Rows grouped by pack_group (from 0), each group in a partition of its own as long as there are not too many."""
     return dealt.repartitionById(min(groups, MOST_PARTITIONS), F.col("pack_group")).groupBy("pack_group")
@@ -228,8 +236,8 @@ def by_group(dealt: DataFrame, groups: int):
 
 def packed(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer_path: str | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Every piece of docs with its sequence and its offset there."""
-    groups = group_count(docs, group_bytes)
-    dealt = pieces(docs, capacity, end_id, tokenizer_path, repeated(docs, group_bytes) if groups > 1 else set())
+    groups, often = surveyed(docs, group_bytes)
+    dealt = pieces(docs, capacity, end_id, tokenizer_path, often)
     dealt = dealt.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "turn"), F.lit(groups)).cast("int")).drop("turn")
 
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"

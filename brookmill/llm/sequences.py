@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brookmill.llm.packing import Turns, by_group, content, group_count, repeated
+from brookmill.llm.packing import Turns, by_group, content, surveyed
 from brookmill.llm.tokens import byte_encoding, byte_ids
 
 CAPACITY = 4096
@@ -91,8 +91,8 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return sequences
 
 
-def pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer_path: str | None, often: set[int] = frozenset()) -> DataFrame:
-    """doc_id, piece, start, ids (little-endian unsigned 16-bit), turn of every piece; often is of packing's repeated()."""
+def pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer_path: str | None, often: np.ndarray) -> DataFrame:
+    """doc_id, piece, start, ids (little-endian unsigned 16-bit), turn of every piece; often is of packing's surveyed()."""
     if end_id >= 1 << 16 or capacity >= 1 << 16:
         raise ValueError("ids and positions must fit 16 bits")
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("ids", pa.binary()), ("turn", pa.int64())])
@@ -115,8 +115,8 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer_path: str | No
 
 def sequences(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer_path: str | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row per packed sequence; see SEQUENCE for the columns."""
-    groups = group_count(docs, group_bytes)
-    dealt = pieces(docs, capacity, end_id, tokenizer_path, repeated(docs, group_bytes) if groups > 1 else set())
+    groups, often = surveyed(docs, group_bytes)
+    dealt = pieces(docs, capacity, end_id, tokenizer_path, often)
     dealt = dealt.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids", "turn"), F.lit(groups)).cast("int")).drop("turn")
     names = [c.split()[0] for c in SEQUENCE.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]

@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from brookmill.llm.packing import Bins, pack, packed
+from brookmill.llm.packing import PARTS, SLOTS, Bins, content, pack, packed, surveyed
 from brookmill.llm.query_packing import op2_packing
 from brookmill.llm.tokens import byte_encoding, byte_ids, word_ids
 from brookmill.sources.tables import table
@@ -135,3 +135,20 @@ def test_repeated_rows_are_dealt_to_all_groups(spark):
         rows_in[r.sequence_id >> 32] += 1
         tokens_in[r.sequence_id >> 32] += r.length
     assert max(rows_in.values()) < 600 and max(tokens_in.values()) < 1000
+
+
+def test_survey_holds_all_rows_that_repeat_often_in_a_fixed_size(spark):
+    rows = [(i, f"text {i}") for i in range(3000)] + [(None, None)] * 500 + [(i % 90, "again") for i in range(9000)] + [(5, "twice")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    groups, often = surveyed(docs, 10_000)
+    sizes = Counter()
+    for doc_id, text in rows:
+        sizes[doc_id, text or ""] += len(text or "") + 16
+    assert groups == -(-sum(sizes.values()) // 10_000) and often.nbytes == SLOTS // 8
+    counts = Counter(rows)
+    distinct = docs.select("doc_id", "text", content().alias("row")).distinct().collect()
+    expected = {r.row & (SLOTS - 1) for r in distinct if counts[r.doc_id, r.text] > 1 and sizes[r.doc_id, r.text or ""] * PARTS > 10_000}
+    assert len(expected) == 91  # the 90 ids and the null one
+    assert {w * 64 + b for w, bits in enumerate(often.tolist()) for b in range(64) if bits >> b & 1} == expected
+    one, none = surveyed(docs, 10**9)
+    assert one == 1 and not none.any() and surveyed(docs.limit(0), 10)[0] == 1
