@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brookmill.llm.store import passing, written
 from brookmill.llm.textcode import MULTIPLIER, mixed_bits, seeded, shingle_codes, word_codes
 
 #: Buckets of features.
@@ -61,12 +62,15 @@ def patterns(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def features(text: str) -> np.ndarray:
-    """The sorted buckets of a text's features."""
+def features(text: str, kinds: tuple[str, ...] = tuple(KINDS)) -> np.ndarray:
+    """The sorted buckets of a text's features of these kinds."""
     words = word_codes(text)
-    pairs = shingle_codes(np.concatenate([ENDS[:1], words, ENDS[1:]]), 2)
-    found = [_bucket(np.unique(words), "word"), _bucket(np.unique(pairs), "pair"), _bucket(np.unique(patterns(words)), "pattern")]
-    return np.unique(np.concatenate(found))
+    codes = {
+        "word": lambda: words,
+        "pair": lambda: shingle_codes(np.concatenate([ENDS[:1], words, ENDS[1:]]), 2),
+        "pattern": lambda: patterns(words),
+    }
+    return np.unique(np.concatenate([_bucket(np.unique(codes[kind]()), kind) for kind in kinds]))
 
 
 def log_ratios(positive: np.ndarray, negative: np.ndarray) -> np.ndarray:
@@ -130,50 +134,64 @@ def logistic(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple
 class Model:
     """Weights for the buckets of features, and the curve of probabilities; or one fixed score."""
 
-    def __init__(self, weights: np.ndarray | None, scale: np.ndarray | None, offset: float, slope: float, shift: float, fixed: float = 0.5):
-        self.weights, self.scale, self.offset, self.slope, self.shift, self.fixed = weights, scale, offset, slope, shift, fixed
+    def __init__(self, weights: np.ndarray | None, scale: np.ndarray | None, offset: float, slope: float, shift: float, fixed: float = 0.5, kinds: tuple[str, ...] = tuple(KINDS)):
+        self.weights, self.scale, self.offset, self.slope, self.shift, self.fixed, self.kinds = weights, scale, offset, slope, shift, fixed, kinds
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.weights is None:
             return np.full(len(texts), self.fixed)
         found: list[np.ndarray] = []
         for at in range(0, len(texts), 64):
-            found.append(margins([features(t) for t in texts[at : at + 64]], self.weights, self.offset, self.scale))
+            found.append(margins([features(t, self.kinds) for t in texts[at : at + 64]], self.weights, self.offset, self.scale))
         margin = np.concatenate(found) if found else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
-def counted(rows: DataFrame) -> np.ndarray:
-    """Documents by class and feature of rows (text, label 0 or 1): summed within tasks, then by Spark."""
+def gone_over(rows: DataFrame, many: dict[int, int] | None = None, sample_rows: int = 0, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
+    """One pass over rows (doc_id, text, label 0 or 1), of which `many` have each label: counts and a sample.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, BUCKETS), np.int64)
+    Rows with a bucket say how many documents of a label have that feature,
+    summed within a task. Rows with `found` are of the sample: label and features
+    of about sample_rows different rows of each class, drawn by a hash of the
+    whole row. A row that repeats in a task is given once by it.
+    """
+    share = F.when(F.col("label") == 1, F.lit(sample_rows / many[1])).otherwise(F.lit(sample_rows / many[0])) if many else F.lit(0.0)
+    drawn = rows.withColumn("draw", F.xxhash64(F.lit("quality"), "doc_id", "text", "label"))
+    schema = pa.schema([("label", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("draw", pa.int64()), ("found", pa.binary())])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals, seen = np.zeros((2, BUCKETS), np.int64), set()
         for batch in batches:
-            for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
-                totals[label][features(text.as_py() or "")] += 1
+            sample: list[tuple] = []
+            for text, label, draw, chosen in zip(batch.column("text"), *[batch.column(c).to_pylist() for c in ("label", "draw", "chosen")]):
+                found = features(text.as_py() or "", kinds)
+                totals[label][found] += 1
+                if chosen and (draw, label) not in seen:
+                    seen.add((draw, label))
+                    sample.append((label, None, None, draw, found.astype("<u4").tobytes()))
+            if sample:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*sample), schema.types)], schema=schema)
         label, bucket = np.nonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(totals[label, bucket])], names=["label", "bucket", "n"])
+        counts = [label.astype(np.int32), bucket.astype(np.int32), totals[label, bucket]]
+        yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in counts], *[pa.nulls(len(label), t) for t in schema.types[3:]]], schema=schema)
+
+    columns = drawn.select("text", "label", "draw", (F.pmod("draw", F.lit(1_000_000)) < share * 1_000_000).alias("chosen"))
+    return columns.mapInArrow(go, "label int, bucket int, n long, draw long, found binary")
 
+
+def counts_in(parts: DataFrame) -> np.ndarray:
+    """Documents by class and feature, from what gone_over() gives: summed by Spark."""
     totals = np.zeros((2, BUCKETS))
-    parts = rows.select("text", "label").mapInArrow(count, "label int, bucket int, n long")
-    for r in parts.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in parts.where(F.col("bucket").isNotNull()).groupBy("label", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         totals[r["label"], r["bucket"]] = r["n"]
     return totals
 
 
-def sample_of(rows: DataFrame, many: dict[int, int], sample_rows: int, sample_features: int = SAMPLE_FEATURES) -> list[tuple[int, np.ndarray]]:
-    """label and features of about sample_rows different rows of each class, drawn by a hash of the whole row, in an order that reruns alike."""
-    share = F.when(F.col("label") == 1, F.lit(sample_rows / many[1])).otherwise(F.lit(sample_rows / many[0]))
-    drawn = rows.withColumn("draw", F.xxhash64(F.lit("quality"), "doc_id", "text", "label"))
-    chosen = drawn.where(F.pmod("draw", F.lit(1_000_000)) < share * 1_000_000).dropDuplicates(["doc_id", "draw"])
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [features(text.as_py() or "").astype("<u4").tobytes() for text in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("label"), pa.array(found, pa.binary())], names=["draw", "label", "found"])
-
+def sample_in(parts: DataFrame, sample_features: int = SAMPLE_FEATURES) -> list[tuple[int, np.ndarray]]:
+    """label and features of the sample's rows, from what gone_over() gives, in an order that reruns alike."""
     out, used = [], 0
-    for r in chosen.select("text", "draw", "label").mapInArrow(coded, "draw long, label int, found binary").orderBy("draw", "label", "found").toLocalIterator():
+    rows = parts.where(F.col("found").isNotNull()).select("draw", "label", "found").distinct()
+    for r in rows.orderBy("draw", "label", "found").toLocalIterator():
         used += len(r["found"]) // 4
         if used > sample_features:
             break
@@ -181,23 +199,36 @@ def sample_of(rows: DataFrame, many: dict[int, int], sample_rows: int, sample_fe
     return out
 
 
-def learned(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """The model of rows (doc_id, text, label 0 or 1).
+def counted(rows: DataFrame) -> np.ndarray:
+    """Documents by class and feature of rows (doc_id, text, label 0 or 1)."""
+    return counts_in(gone_over(rows))
+
+
+def sample_of(rows: DataFrame, many: dict[int, int], sample_rows: int, sample_features: int = SAMPLE_FEATURES) -> list[tuple[int, np.ndarray]]:
+    """label and features of about sample_rows different rows of each class."""
+    return sample_in(gone_over(rows, many, sample_rows), sample_features)
+
+
+def learned(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, kinds: tuple[str, ...] = tuple(KINDS)) -> Model:
+    """The model of rows (doc_id, text, label 0 or 1), from features of these kinds.
 
-    Counts by feature and class are over all rows and reach the driver as at
-    most BUCKETS numbers a class. The fit sees at most about sample_rows rows a
-    class, and SAMPLE_FEATURES features in all.
+    Texts are read once. Counts by feature and class are over all rows and reach
+    the driver as at most BUCKETS numbers a class. The fit sees at most about
+    sample_rows rows a class, and SAMPLE_FEATURES features in all.
     """
     label = F.col("label").cast("int")
     rows = rows.where(label.isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "text", label.alias("label"))
     many = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(many) < 2:
         return Model(None, None, 0.0, 0.0, 0.0, float(next(iter(many))) if many else 0.5)
-    totals = counted(rows)
-    sample = sample_of(rows, many, sample_rows)
+    with passing():
+        parts = written(gone_over(rows, many, sample_rows, kinds), "quality-parts")
+        totals, sample = counts_in(parts), sample_in(parts)
     if len({label for label, _ in sample}) < 2:
         return Model(None, None, 0.0, 0.0, 0.0, many[1] / (many[0] + many[1]))
-    return fitted([found for _, found in sample], np.array([label for label, _ in sample]), log_ratios(totals[1], totals[0]), many)
+    model = fitted([found for _, found in sample], np.array([label for label, _ in sample]), log_ratios(totals[1], totals[0]), many)
+    model.kinds = kinds
+    return model
 
 
 def fitted(rows: list[np.ndarray], label: np.ndarray, scale: np.ndarray, many: dict[int, int]) -> Model:

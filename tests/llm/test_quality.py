@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 
 from brookmill.llm import quality
-from brookmill.llm.quality import BUCKETS, counted, descend, features, learned, log_ratios, sample_of, scored
+from brookmill.llm.quality import BUCKETS, counted, counts_in, descend, features, gone_over, learned, log_ratios, sample_in, sample_of, scored
 from brookmill.llm.query_quality import op6_quality
 from brookmill.llm.textcode import shingle_codes, word_codes
 from brookmill.sources.tables import table
@@ -119,3 +119,24 @@ def test_awkward_rows(spark):
     empty = docs.limit(0)
     assert learned(empty).scores([""]) == 0.5 and scored(empty, model).collect() == []
     assert features("").size > 0
+
+
+def test_one_pass_gives_counts_and_sample_alike(spark):
+    rows = [(i, f"w{i % 7} w{i % 11} {'good' if i % 3 else 'bad bad'}", int(i % 3 > 0)) for i in range(600)] + [(1, "often often", 1)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(5)
+    many = {k: sum(r[2] == k for r in rows) for k in (0, 1)}
+    parts = gone_over(docs, many, 100)
+    assert (counts_in(parts) == counted(docs)).all()
+    sample, want = sample_in(parts), sample_of(docs.coalesce(1), many, 100)
+    assert 0 < len(sample) < 400 and len(sample) == len(want)
+    assert all(a[0] == b[0] and (a[1] == b[1]).all() for a, b in zip(sample, want))
+    assert parts.where("found is not null").count() <= len(sample) + 4  # the repeated row once a task at most
+
+
+def test_kinds_of_features(spark):
+    text = "a b a b c"
+    whole, plain = set(features(text).tolist()), set(features(text, ("word", "pair")).tolist())
+    assert plain < whole and whole - plain <= set(features(text, ("pattern",)).tolist())
+    docs = spark.createDataFrame([(i, "good words " * 3 if i % 3 else "junk " * 3, int(i % 3 > 0)) for i in range(60)], "doc_id long, text string, label int")
+    model = learned(docs, kinds=("word", "pair"))
+    assert model.kinds == ("word", "pair") and model.scores(["good words"])[0] > 0.5 > model.scores(["junk junk"])[0]
