@@ -21,7 +21,9 @@ def op5_mixing(spark, folder):
 
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, coalesce(md5(text), '') AS text_md5,
+         row_number() OVER (PARTITION BY doc_id, text, source) AS number
+  FROM documents
 ), totals AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), weighed AS (
@@ -40,7 +42,7 @@ WITH sized AS (
 ), rated AS (
   SELECT s.doc_id, s.size, t.source_size, t.target,
          least(CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END, 3.0::DOUBLE) AS rate,
-         ('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS coin
+         ('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, '') || ':' || s.text_md5 || ':' || s.number), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS coin
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,

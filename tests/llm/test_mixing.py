@@ -4,8 +4,10 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from brookmill.llm.mixing import mixed, with_copies
+from brookmill.llm.mixing import mixed, told_apart, with_copies
+from brookmill.llm.store import written
 
 SCHEMA = "doc_id long, text string, source string, mix_size string"
 
@@ -60,3 +62,40 @@ def test_mix_emits_copies_and_keeps_columns(spark):
 
 def test_empty_table(spark):
     assert mixed(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("rows", [
+    pytest.param(lambda i: (None, f"text number {i}"), id="no ids"),
+    pytest.param(lambda i: (i if i % 2 else 7, "a b c d" if i % 4 == 0 else f"text number {i}"), id="one id on half the rows"),
+    pytest.param(lambda i: (None, None) if i % 5 == 0 else (1, "all the same"), id="equal rows"),
+])
+def test_targets_are_met_where_ids_repeat(spark, rows):
+    made = [(*rows(i), f"s{i % 5}", str(i % 2)) for i in range(5000)]
+    docs = spark.createDataFrame(made, SCHEMA).repartition(6)
+    got = with_copies(docs).collect()
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r.source] += r.mix_copies * r.mix_size
+        target[r.source] = r.mix_target
+    assert len(got) == len(made)
+    for s in target:
+        assert abs(taken[s] - target[s]) <= 0.1 * target[s]
+    again = with_copies(docs.repartition(3)).collect()
+    count = lambda rows: sorted(((r.doc_id, r.text, r.source, r.mix_copies) for r in rows), key=str)
+    assert count(again) == count(got)
+
+
+def test_repeated_rows_with_columns_of_any_kind(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", {"k": i % 2}, i % 3, "own", [i]) for i in range(60)], "doc_id long, text string, source string, m map<string,int>, scan_piece int, mix_row string, `a.b` array<int>")
+    out = mixed(docs)
+    assert out.columns == docs.columns and {r.mix_row for r in out.collect()} == {"own"}
+    assert abs(out.count() - 60) <= 20 and with_copies(docs).count() == 60
+
+
+def test_equal_rows_are_numbered_over_many_pieces(spark):
+    docs = spark.createDataFrame([(1, "same", "s")] * 3000 + [(i, "x", None) for i in range(50)], "doc_id long, text string, source string").repartition(4)
+    keyed = docs.withColumn("mix_row", F.xxhash64("doc_id", "text", "source"))
+    again = written(keyed.groupBy("mix_row").count().where("count > 1").select("mix_row"), "again")
+    got = told_apart(keyed, again)
+    assert sorted(r.mix_number for r in got.where("source = 's'").collect()) == list(range(1, 3001))
+    assert {r.mix_number for r in got.where("source is null").collect()} == {1}
