@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from brookmill.functions.columns import place_among
+from brookmill.sources.written import written
 
 #: Rows to a piece of time, and the most pieces; beyond that they hold more rows, with the same result.
 PIECE_ROWS, MOST_PIECES = 5_000_000, 10_000
@@ -47,8 +48,9 @@ def sessions(df: DataFrame, by: list[str], time: str, gap_seconds: int, name: st
 
     Rows are looked at by `by` columns and piece of time (see cut); the last
     time and the number of sessions of the pieces before are carried into each
-    piece, so one key may hold most rows. A row with a null time or a null key
-    has no session.
+    piece, so one key may hold most rows. With several pieces their rows are
+    written once and read from there. A row with a null time or a null key has
+    no session.
     """
     columns = df.columns
     seconds = F.unix_micros(F.col(time).cast("timestamp"))
@@ -58,6 +60,7 @@ def sessions(df: DataFrame, by: list[str], time: str, gap_seconds: int, name: st
     before = W.partitionBy(*by).orderBy("piece")
     rows = rows.withColumn("session_last", F.lag("session_at").over(order))
     if pieces > 1:
+        rows = written(rows, "session-rows")
         ends = rows.groupBy(*by, "piece").agg(F.max("session_at").alias("end"))
         ends = ends.select(*by, "piece", F.lag("end").over(before).alias("session_end"))
         rows = rows.join(ends, [*by, "piece"]).withColumn("session_last", F.coalesce("session_last", "session_end"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from brookmill.operators.groups import cut
+from brookmill.sources.written import written
 
 #: Most bytes of a table that a join may broadcast.
 BROADCAST_BYTES = 64_000_000
@@ -30,7 +31,7 @@ def asof_join(
     Both sides are united and looked at in time order, by `by` columns and piece
     of time; the last row of the pieces before is carried into each piece. So a
     key with most rows is spread over as many tasks as there are pieces: one for
-    each PIECE_ROWS rows, cut at quantiles of all times. Of right rows of one
+    each PIECE_ROWS rows, cut at quantiles of all times and written once. Of right rows of one
     time the greatest `tie` counts. Rows with a null time or key find nothing
     and do not take part.
     """
@@ -41,6 +42,8 @@ def asof_join(
     ours = left.where(usable(left, left_time)).select(*by, F.col(left_time).alias("asof_time"), F.lit(None).alias("asof_right"), F.struct(*left.columns).alias("asof_left"))
     alone = left.where(~F.coalesce(usable(left, left_time), F.lit(False)))
     rows, pieces = cut(theirs.unionByName(ours), "asof_time", pieces)
+    if pieces > 1:
+        rows = written(rows, "asof-rows")
     latest = lambda over: F.max_by(F.col("asof_right"), F.col("asof_right.order")).over(over)
     within = W.partitionBy(*by, "piece").orderBy("asof_time").rangeBetween(W.unboundedPreceding, W.currentRow)
     known = rows.withColumn("asof_known", latest(within)).where(F.col("asof_left").isNotNull())
