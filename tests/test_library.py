@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from brookmill.operators.groups import distinct_by_parts, sessions, top_per_group
+from brookmill.operators.groups import cut, distinct_by_parts, sessions, top_per_group
 from brookmill.operators.joins import asof_join, range_join, size_in_bytes, uneven_join
 from brookmill.sources import files
 from brookmill.streaming.windows import counts_by_window, run_all, without_repeats
@@ -64,6 +64,31 @@ def test_sessions_by_pieces(spark, pieces):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_cut_reads_its_input_once_into_even_pieces(spark):
+    """Most times lie close together."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    times = [int(10 ** (6 * random.Random(i).random())) * 1000 + i % 1000 for i in range(30_000)]
+    rows = spark.createDataFrame([(t,) for t in times] + [(None,)] * 20, "t bigint").repartition(20)
+    dealt, pieces = cut(rows.mapInArrow(counted, "t bigint"), "t", piece_rows=1000)
+    assert (read.value, pieces) == (30_020, 31)
+    found = {r.piece: r for r in dealt.where("t is not null").groupBy("piece").agg(F.count("*").alias("n"), F.min("t").alias("low"), F.max("t").alias("high")).collect()}
+    assert sorted(found) == list(range(31)) and all(900 < r.n < 1050 for r in found.values())
+    assert all(found[k].high < found[k + 1].low for k in range(30))
+
+
+@pytest.mark.parametrize("rows", [[], [(None,)] * 5])
+def test_cut_without_times(spark, rows):
+    dealt, pieces = cut(spark.createDataFrame(rows, "t timestamp"), "t", pieces=4)
+    assert pieces == 4 and dealt.count() == len(rows)
+    assert cut(spark.createDataFrame(rows, "t timestamp"), "t")[1] == 1
+
+
 def test_groups(spark):
     at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
     df = spark.createDataFrame([("a", at(0)), ("a", at(10)), ("a", at(21)), ("a", at(21)), ("b", at(5))], "u string, ts timestamp")
