@@ -91,7 +91,8 @@ def overlap_join(left: DataFrame, right: DataFrame, by: list[str], left_range: t
         levels = sorted(r[0] for r in sides[stored].select(f"{stored}_level").distinct().collect())  # 64 at most
         there = sides[stored].select("*", cells(stored, f"{stored}_level"))
         here = sides[asking].withColumn("ask_level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).where(f"ask_level {wider} {asking}_level")
-        here = here.select("*", cells(asking, "ask_level"))
+        # Spark guesses sizes without the copies that explode makes, and would send them all to the driver to broadcast them
+        here = here.select("*", cells(asking, "ask_level")).hint("merge")
         on = (F.col("ask_level") == F.col(f"{stored}_level")) & (F.col(f"{asking}_cell") == F.col(f"{stored}_cell"))
         on = functools.reduce(lambda a, c: a & (here[c] == there[c]), by, on)
         meet = (F.col("left_low") <= F.col("right_high")) & (F.col("right_low") <= F.col("left_high"))

@@ -96,3 +96,13 @@ def test_overlaps_of_ranges_of_any_width(spark):
     assert got == want and len(want) > 300
     assert overlap_join(a.where("false"), b, ["k"], ("lo", "hi"), ("since", "until")).collect() == []
     assert overlap_join(a, b.where("false"), ["k"], ("lo", "hi"), ("since", "until")).collect() == []
+
+
+def test_overlap_join_broadcasts_no_copies(spark):
+    """Tables that look small to Spark become many rows, one for each level; these don't go through the driver."""
+    a = spark.range(300).selectExpr("id AS l", "id % 3 AS k", "id * 10 AS lo", "id * 10 + id % 7 AS hi")
+    b = spark.range(200).selectExpr("id AS r", "id % 3 AS k", "id * 15 AS since", "id * 15 + shiftleft(1L, int(id % 12)) AS until")
+    pairs = overlap_join(a, b, ["k"], ("lo", "hi"), ("since", "until"))
+    want = a.join(b, "k").where("lo <= until AND since <= hi")
+    assert sorted(map(tuple, pairs.select("l", "r").collect())) == sorted(map(tuple, want.select("l", "r").collect()))
+    assert "SortMergeJoin" in (plan := pairs._jdf.queryExecution().executedPlan().toString()) and "Broadcast" not in plan
