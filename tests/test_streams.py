@@ -6,14 +6,17 @@ others late comes two batches earlier here.
 
 import datetime as dt
 import random
+import threading
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from brookmill.session import setting
 from brookmill.streaming.joins import interval_join
-from brookmill.streaming.sessions import STORE, merged, stream_sessions
+from brookmill.streaming.sessions import STORE, joined, merged, stream_sessions
 from brookmill.streaming.windows import emitted, in_batches, without_repeats
 
 START = dt.datetime(2024, 1, 1)
@@ -63,6 +66,47 @@ def test_sessions_of_a_hot_key_over_batches(spark):
     assert got == sorted(want) and len(set(got)) == len(got)
 
 
+def test_joined_spans_of_many_keys():
+    """The same as merged() key by key."""
+    rng = random.Random(3)
+    for _ in range(50):
+        rows = [(rng.choice("abc"), (low := rng.randrange(200)), low + rng.choice([0, 0, rng.randrange(40)]), rng.randrange(1, 4)) for _ in range(rng.randrange(40))]
+        spans = pd.DataFrame(rows, columns=["k", "low", "high", "n"]).astype({c: "int64" for c in ("low", "high", "n")})
+        got = joined(spans, "k", 5).itertuples(index=False, name=None)
+        assert list(got) == [(k, *s) for k in "abc" for s in merged([r[1:] for r in rows if r[0] == k], 5)]
+    assert joined(pd.DataFrame({"k": [float("nan")] * 2, "low": [0, 3], "high": [0, 3], "n": [1, 1]}), "k", 5)["n"].tolist() == [2]
+
+
+class Timers(StreamingQueryListener):
+    """How many timers the streams' batches set."""
+
+    def __init__(self):
+        self.set, self.ended = 0, threading.Event()
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        self.set += sum(s.customMetrics.get("numRegisteredTimers", 0) for s in event.progress.stateOperators)
+
+    def onQueryTerminated(self, event):
+        self.ended.set()
+
+
+def test_timers_do_not_grow_with_sessions(spark):
+    """Twenty sessions of each of 200 keys in three batches: at most one timer a key and batch, not one a session."""
+    rows = [(f"u{k}", at(1000 * s + k)) for k in range(200) for s in range(20)] + [("end", at(90_000))]
+    timers = Timers()
+    spark.streams.addListener(timers)
+    try:
+        got = sessions(spark, in_batches(spark.createDataFrame(rows, "u string, ts timestamp"), "ts", 3), 15, "60 seconds")
+        assert timers.ended.wait(60)
+    finally:
+        spark.streams.removeListener(timers)
+    assert got == sorted((u, t, t, 1) for u, t in rows if u != "end")
+    assert 0 < timers.set <= 800
+
+
 @pytest.mark.parametrize("parts", [1, 4])
 def test_interval_join_of_two_streams(spark, parts):
     """Nine of ten rows are one user's; pairs and rows without one are each emitted once."""
